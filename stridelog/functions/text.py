@@ -11,6 +11,10 @@ CP1252_BYTES = bytes(
     [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]
 ).decode("latin-1")
 ESCAPE = "_x([0-9A-Fa-f]{4})_"
+# Every character stands for one byte.
+ALL_BYTES = rf"^[\x{{0}}-\x{{FF}}{CP1252_CHARS}]*$"
+# A first and a second byte of a UTF-8 sequence. Text without such a pair has nothing to undo.
+SEQUENCE_START = rf"[\x{{C2}}-\x{{F4}}][\x{{80}}-\x{{BF}}{CP1252_CHARS}]"
 
 
 def resolve_escapes(text: Column) -> Column:
@@ -25,18 +29,16 @@ def resolve_escapes(text: Column) -> Column:
 
 
 def undo_misread(text: Column) -> Column:
-    """Take the text back to its bytes and decode those as UTF-8; keep it where that fails."""
-    single_bytes = F.translate(text, CP1252_CHARS, CP1252_BYTES)
-    decoded = F.try_validate_utf8(F.encode(single_bytes, "ISO-8859-1").cast("string"))
-    # encode() raises on a character without a byte, so the test comes first.
-    return F.when(
-        single_bytes.rlike(r"^[\x{0}-\x{FF}]*$"), F.coalesce(decoded, text)
-    ).otherwise(text)
-
-
-def repaired(text: Column, passes: int = 3) -> Column:
-    """`text` with escapes resolved and up to `passes` layers of misreading undone."""
-    text = resolve_escapes(text)
-    for _ in range(passes):
-        text = undo_misread(text)
-    return text
+    """Take the text back to its bytes and decode those as UTF-8; keep it where that fails.
+
+    ASCII text (as many bytes as characters) is settled without a look at its characters. encode()
+    raises on a character that has no byte, so it stays behind the tests.
+    """
+    suspect = (
+        (F.octet_length(text) > F.char_length(text))
+        & text.rlike(SEQUENCE_START)
+        & text.rlike(ALL_BYTES)
+    )
+    single_bytes = F.encode(F.translate(text, CP1252_CHARS, CP1252_BYTES), "ISO-8859-1")
+    decoded = F.when(suspect, F.try_validate_utf8(single_bytes.cast("string")))
+    return F.coalesce(decoded, text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import repaired
+from ..functions.text import resolve_escapes, undo_misread
 from ..functions.times import local_date, local_hour, parsed_time
 from ..functions.urls import canonical_link, first_group
 from ..spec import EVENT_COLUMNS, REQUIRED_COLUMNS, EventSpec
@@ -73,15 +73,18 @@ def drop_pii(df: DataFrame, pii: Iterable[str] = PII_COLUMNS) -> DataFrame:
 
 
 def repair_text(df: DataFrame, columns: Iterable[str] | None = None, passes: int = 3) -> DataFrame:
-    """Undo misread encodings in the given text columns, or in all of them."""
+    """Undo misread encodings in the given text columns, or in all of them.
+
+    Resolves escaped code points, then undoes up to `passes` layers. Each layer is a projection of
+    its own: nested in one expression, every layer would compute the one below it several times.
+    """
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
-    wanted = text if columns is None else text & set(columns)
-    return df.select(
-        *(
-            repaired(F.col(f"`{c}`"), passes).alias(c) if c in wanted else F.col(f"`{c}`")
-            for c in df.columns
-        )
-    )
+    wanted = [c for c in df.columns if c in (text if columns is None else text & set(columns))]
+    if not wanted:
+        return df
+    for repair in (resolve_escapes, *[undo_misread] * passes):
+        df = df.withColumns({c: repair(F.col(f"`{c}`")) for c in wanted})
+    return df
 
 
 def canonical_events(raw: DataFrame, spec: EventSpec) -> DataFrame:

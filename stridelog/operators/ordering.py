@@ -18,25 +18,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from ..spec import EventSpec, Limits
+from ..spec import EventSpec
 
 CHUNK = "_chunk"  # range partition of a hot session; null elsewhere
 SALT = "_salt"  # spreads events without a session; null elsewhere
 SALTS = 4096
 
+
 # Events follow each other by time, unknown times last, the id deciding ties.
-TIME_ORDER = (F.col("create_ts").asc_nulls_last(), F.col("id").asc())
-TIME_KEY = F.struct(F.col("create_ts").isNull(), F.col("create_ts"), F.col("id"))
+def time_order() -> tuple[Column, Column]:
+    return F.col("create_ts").asc_nulls_last(), F.col("id").asc()
+
 
+def time_key() -> Column:
+    """The same order as one value to compare."""
+    return F.struct(F.col("create_ts").isNull(), F.col("create_ts"), F.col("id"))
 
-def hot_sessions(events: DataFrame, limits: Limits) -> list[tuple[str, int]]:
+
+def hot_sessions(events: DataFrame, spec: EventSpec) -> tuple[tuple[str, int], ...]:
     """(session, rows) of the sessions too large for one task.
 
     A hot session holds more than 1/hot_sessions of all rows, so there are fewer than that many.
+    Reads one column, and only if the table as a whole exceeds the limit.
     """
+    if spec.hot is not None:
+        return spec.hot
+    limits = spec.limits
     total = events.count()
     if total <= limits.hot_session_rows:
-        return []
+        return ()
     floor = max(limits.hot_session_rows, total // limits.hot_sessions)
     sizes = (
         events.filter(F.col("session_id").isNotNull())
@@ -44,7 +54,22 @@ def hot_sessions(events: DataFrame, limits: Limits) -> list[tuple[str, int]]:
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") > floor)
     )
-    return [(r["session_id"], r["rows"]) for r in sizes.collect()]
+    return tuple((r["session_id"], r["rows"]) for r in sizes.collect())
+
+
+def measured(events: DataFrame, spec: EventSpec) -> EventSpec:
+    """The spec with the session sizes looked up once for all operators that follow."""
+    return replace(spec, hot=hot_sessions(events, spec))
+
+
+def split_hot(events: DataFrame, hot: tuple[tuple[str, int], ...]) -> tuple[DataFrame, DataFrame]:
+    """(the other events, the events of the hot sessions)."""
+    names = events.sparkSession.createDataFrame([(s,) for s, _ in hot], "session_id string")
+    names = F.broadcast(names)  # at most limits.hot_sessions rows
+    return (
+        events.join(names, "session_id", "left_anti"),
+        events.join(names, "session_id", "left_semi"),
+    )
 
 
 @dataclass(frozen=True)
@@ -63,7 +88,7 @@ class Ordered:
 
     @property
     def window(self):
-        return Window.partitionBy(*self.keys).orderBy(*TIME_ORDER)
+        return Window.partitionBy(*self.keys).orderBy(*time_order())
 
     def plain(self) -> DataFrame:
         return self.frame.drop(CHUNK, SALT)
@@ -76,7 +101,7 @@ class Ordered:
         return (
             self.frame.filter(F.col(CHUNK).isNotNull())
             .groupBy("session_id", CHUNK)
-            .agg(pick(F.struct(*columns), TIME_KEY).alias("_edge"))
+            .agg(pick(F.struct(*columns), time_key()).alias("_edge"))
         )
 
     def neighbour(self, columns: Mapping[str, str], step: int) -> "Ordered":
@@ -133,7 +158,7 @@ def in_order(events: DataFrame, spec: EventSpec, keep_unknown: bool = False) ->
     are then spread over many window groups instead of sharing one.
     """
     limits = spec.limits
-    hot = hot_sessions(events, limits)
+    hot = hot_sessions(events, spec)
     keys: tuple[str, ...] = ("session_id",)
     if keep_unknown:
         salt = F.when(F.col("session_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)))
@@ -141,20 +166,12 @@ def in_order(events: DataFrame, spec: EventSpec, keep_unknown: bool = False) ->
         keys += (SALT,)
     else:
         events = events.filter(F.col("session_id").isNotNull())
-
     if not hot:
         return Ordered(events, keys, chunked=False)
 
-    rows = sum(n for _, n in hot)
-    chunks = min(limits.max_chunks, ceil(rows / limits.chunk_rows))
-    names = events.sparkSession.createDataFrame([(s,) for s, _ in hot], "session_id string")
-    ranged = written(
-        events.join(F.broadcast(names), "session_id", "left_semi")
-        .repartitionByRange(chunks, F.col("session_id"), *TIME_ORDER)
-        .withColumn(CHUNK, F.spark_partition_id()),
-        "hot-sessions",
-    )
-    rest = events.join(F.broadcast(names), "session_id", "left_anti").withColumn(
-        CHUNK, F.lit(None).cast("int")
-    )
+    chunks = min(limits.max_chunks, ceil(sum(n for _, n in hot) / limits.chunk_rows))
+    rest, large = split_hot(events, hot)
+    ranged = large.repartitionByRange(chunks, F.col("session_id"), *time_order())
+    ranged = written(ranged.withColumn(CHUNK, F.spark_partition_id()), "hot-sessions")
+    rest = rest.withColumn(CHUNK, F.lit(None).cast("int"))
     return Ordered(rest.unionByName(ranged), (*keys, CHUNK), chunked=True)

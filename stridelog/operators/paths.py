@@ -24,14 +24,14 @@ def collapse_repeats(items: Column) -> Column:
 
 
 def _parts(numbered: DataFrame, spec: EventSpec, text: str, position: str, out: str) -> DataFrame:
-    """Join `text` in order of `position` into one row per (session, part)."""
+    """Join `text` in order of `position` into one row per (session, part); nulls are skipped."""
     size = spec.limits.part_events
     part = F.floor((F.col(position) - 1) / size).cast("long")
     items = F.array_sort(F.collect_list(F.struct(position, text)))
     return (
         numbered.withColumn("part", part)
         .groupBy("session_id", "part")
-        .agg(F.count(F.lit(1)).alias("items"), items.alias("_items"))
+        .agg(F.count(text).alias("items"), items.alias("_items"))
         .select(
             "session_id",
             "part",
@@ -49,26 +49,10 @@ def event_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
 
 
 def link_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
-    """The non-null links of each session in order. A session without any has an empty sequence."""
+    """The non-null links of each session in order, in the same parts as the event sequence."""
     columns = events.select("id", "session_id", "create_ts", "link")
-    ordered = in_order(columns, spec)
-    linked = ordered.where(F.col("link").isNotNull()).numbered("position")
-    found = _parts(linked.plain(), spec, "link", "position", "link_sequence")
-    # One aggregated row per session tells which have no link at all.
-    bare = (
-        columns.filter(F.col("session_id").isNotNull())
-        .groupBy("session_id")
-        .agg(F.count("link").alias("links"))
-        .filter(F.col("links") == 0)
-    )
-    return found.unionByName(
-        bare.select(
-            "session_id",
-            F.lit(0).cast("long").alias("part"),
-            F.lit(0).cast("long").alias("items"),
-            F.lit("").alias("link_sequence"),
-        )
-    )
+    ordered = in_order(columns, spec).numbered("position")
+    return _parts(ordered.plain(), spec, "link", "position", "link_sequence")
 
 
 def _step_name(spec: EventSpec) -> Column:
@@ -119,13 +103,14 @@ def pattern_counts(session_patterns: DataFrame) -> DataFrame:
     return counts.withColumn("share_pct", percent(F.col("sessions"), total, 2))
 
 
-PATTERN_ORDER = (F.desc("sessions"), F.asc("pattern"))
+def pattern_order() -> tuple[Column, Column]:
+    return F.desc("sessions"), F.asc("pattern")
 
 
 def patterns(session_patterns: DataFrame, limit: int = 1000) -> DataFrame:
     """The most common patterns with their rank."""
-    top = pattern_counts(session_patterns).orderBy(*PATTERN_ORDER).limit(limit)
-    rank = F.row_number().over(Window.orderBy(*PATTERN_ORDER)).cast("long")
+    top = pattern_counts(session_patterns).orderBy(*pattern_order()).limit(limit)
+    rank = F.row_number().over(Window.orderBy(*pattern_order())).cast("long")
     return top.select(rank.alias("rank"), "pattern", "sessions", "share_pct")
 
 
@@ -137,18 +122,18 @@ def ranked_patterns(session_patterns: DataFrame, spec: EventSpec) -> DataFrame:
     """
     counts = pattern_counts(session_patterns)
     if session_patterns.count() <= spec.limits.rank_rows:
-        rank = F.row_number().over(Window.orderBy(*PATTERN_ORDER))
+        rank = F.row_number().over(Window.orderBy(*pattern_order()))
         return counts.select(
             rank.cast("long").alias("rank"), "pattern", "sessions", "share_pct"
         )
     ranges = written(
-        counts.repartitionByRange(*PATTERN_ORDER).withColumn("_range", F.spark_partition_id()),
+        counts.repartitionByRange(*pattern_order()).withColumn("_range", F.spark_partition_id()),
         "patterns",
     )
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*PATTERN_ORDER))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*pattern_order()))
     return (
         ranges.withColumn("_within", within)
         .join(F.broadcast(offsets), "_range")  # one row per partition

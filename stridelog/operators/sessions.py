@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rates import count_true, percent
 from ..functions.times import duration_label, elapsed_us, naive, seconds
 from ..spec import EventSpec
-from .ordering import TIME_KEY, in_order
+from .ordering import hot_sessions, in_order, split_hot, time_key
 
 FIRST_SEEN = (
     "profile_id",
@@ -30,12 +30,22 @@ def first_known(column: str, order: Column) -> Column:
 def session_rollup(events: DataFrame, spec: EventSpec) -> DataFrame:
     """Session attributes, counts, step flags and length.
 
-    One aggregation that combines before the shuffle, so a large session costs no more than others.
     date_utc is the UTC date of the first event, date_local the date at the site.
+
+    Most sessions have few events: their rows are brought together as they are, in one shuffle, as
+    the partial results would be wider than the rows. Those of hot sessions are combined first.
     """
     known = events.filter(F.col("session_id").isNotNull())
+    hot = hot_sessions(events, spec)
+    if not hot:
+        return _rolled(known.repartition("session_id"), spec)
+    rest, large = split_hot(known, hot)
+    return _rolled(rest.repartition("session_id"), spec).unionByName(_rolled(large, spec))
+
+
+def _rolled(known: DataFrame, spec: EventSpec) -> DataFrame:
     rolled = known.groupBy("session_id").agg(
-        *(first_known(c, TIME_KEY).alias(c) for c in FIRST_SEEN),
+        *(first_known(c, time_key()).alias(c) for c in FIRST_SEEN),
         F.min("create_ts").alias("first_ts"),
         F.max("create_ts").alias("last_ts"),
         F.min("date_local").alias("date_local"),

@@ -15,6 +15,7 @@ from ..functions.times import naive, parsed_time, seconds
 from ..functions.urls import canonical_link
 from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
 from ..operators import sessions as session_views
+from ..operators.ordering import measured
 from ..sources.readers import read_table
 from ..sources.writers import write_table
 from ..spec import EventSpec
@@ -56,6 +57,7 @@ def run_clean(raw: DataFrame, spec: EventSpec, folder: str, **options) -> dict[s
         "events_clean": write_table(clean, f"{folder}/events_clean", partition_by=["date_utc"])
     }
     events = cleaning.canonical_events(read_table(spark, f"{folder}/events_clean"), spec)
+    spec = measured(events, spec)
     rows["event_duration"] = write_table(
         dwell.active_events(events, spec), f"{folder}/event_duration", "csv"
     )
@@ -70,7 +72,7 @@ def run_aggregates(events: DataFrame, spec: EventSpec, folder: str) -> dict[str,
 
     Sessions, patterns and conversion pairs are read back for the tables built on them.
     """
-    spark, folder = events.sparkSession, folder.rstrip("/")
+    spark, folder, spec = events.sparkSession, folder.rstrip("/"), measured(events, spec)
     rows: dict[str, int] = {}
 
     def save(name: str, df: DataFrame, fmt: str = "parquet") -> DataFrame:
@@ -100,10 +102,11 @@ def build_report(
 
     `sessions` and `pairs` feed most of them: pass the written tables.
     """
+    spec = measured(events, spec)
     session_patterns = paths.session_pattern(events, spec)
     journeys = (
         sessions.join(paths.event_sequence(events, spec).drop("items"), "session_id")
-        .join(paths.link_sequence(events, spec).drop("items"), ["session_id", "part"], "left")
+        .join(paths.link_sequence(events, spec).drop("items"), ["session_id", "part"])
     )
     return {
         "summary": profiling.summary(events, sessions, pairs, spec),

@@ -8,7 +8,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import repaired
 from ..functions.times import local_date, local_hour, naive, parsed_time
 from ..functions.urls import canonical_link, first_group
 from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
@@ -126,7 +125,7 @@ def drop_pii(spark, folder):
 def repair_text(spark, folder):
     documents = configure(spark).read.parquet(f"{folder}/documents.parquet")
     garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return documents.select("doc_id", repaired(garbled).alias("text"))
+    return cleaning.repair_text(documents.select("doc_id", garbled.alias("text")))
 
 
 @query

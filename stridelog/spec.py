@@ -105,6 +105,9 @@ class EventSpec:
     direct_label: str = "(direct / không UTM)"
     unknown_label: str = "Unknown"
     limits: Limits = field(default_factory=Limits)
+    # (session, rows) of the sessions over the size limit, once `ordering.measured` has looked; None
+    # lets each operator look for itself.
+    hot: tuple[tuple[str, int], ...] | None = None
 
     @property
     def cap_us(self) -> int:
@@ -114,7 +117,7 @@ class EventSpec:
         return next(s for s in self.steps if s.key == key)
 
     def with_limits(self, **sizes: int) -> "EventSpec":
-        return replace(self, limits=replace(self.limits, **sizes))
+        return replace(self, limits=replace(self.limits, **sizes), hot=None)
 
 
 def homepage_spellings(host: str) -> tuple[str, ...]:
