@@ -119,13 +119,13 @@ def filter_metadata(events: DataFrame, spec: EventSpec) -> DataFrame:
     short = sizes.filter(F.col("n") <= spec.limits.list_values).select("dimension")
     long = sizes.filter(F.col("n") > spec.limits.list_values)
 
+    def of_each(value) -> Column:
+        return F.struct(*(value(F.col("dimension") == d).alias(d) for d in FILTER_LISTS))
+
     listed = choices.join(F.broadcast(short), "dimension", "left_semi").agg(  # at most three rows
-        *(
-            F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.col("value")))).alias(d)
-            for d in FILTER_LISTS
-        )
+        of_each(lambda here: F.array_sort(F.collect_list(F.when(here, F.col("value"))))).alias("l")
     )
-    omitted = long.agg(*(F.bool_or(F.col("dimension") == d).alias(d) for d in FILTER_LISTS))
+    omitted = long.agg(of_each(lambda here: F.coalesce(F.bool_or(here), F.lit(False))).alias("o"))
     totals = events.agg(
         F.min("date_local").alias("date_min"),
         F.max("date_local").alias("date_max"),
@@ -134,14 +134,9 @@ def filter_metadata(events: DataFrame, spec: EventSpec) -> DataFrame:
         F.count_distinct("profile_id").alias("total_profiles"),
     )
 
-    # Three one-row tables, matched on a constant.
-    def keyed(one_row: DataFrame) -> DataFrame:
-        return one_row.withColumn("_one", F.lit(1))
-
-    omitted = omitted.select(*(F.col(d).alias(f"_no_{d}") for d in FILTER_LISTS))
-    joined = keyed(listed).join(keyed(omitted), "_one").join(keyed(totals), "_one")
-    return joined.select(
-        *(F.when(~F.coalesce(f"_no_{d}", F.lit(False)), F.col(d)).alias(d) for d in FILTER_LISTS),
+    totals = totals.withColumns({"_listed": listed.scalar(), "_omitted": omitted.scalar()})
+    return totals.select(
+        *(F.when(~F.col("_omitted")[d], F.col("_listed")[d]).alias(d) for d in FILTER_LISTS),
         "date_min",
         "date_max",
         "total_events",
