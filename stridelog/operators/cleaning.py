@@ -91,7 +91,8 @@ def canonical_events(raw: DataFrame, spec: EventSpec) -> DataFrame:
     """The event table under its logical names, with time, link, product and place derived.
 
     Adds create_ts, insert_ts, session_start_ts, link, product_id, destination, hour_local and
-    date_local. Times that do not parse and URLs that do not match give nulls.
+    date_local. Times that do not parse and URLs that do not match give nulls. A source with
+    dwell times also gets dwell_us, and no operator then computes them again.
     """
     lost = [c for c in REQUIRED_COLUMNS if spec.columns.get(c) not in raw.columns]
     if lost:
@@ -104,6 +105,10 @@ def canonical_events(raw: DataFrame, spec: EventSpec) -> DataFrame:
     picked = []
     for logical, kind in EVENT_COLUMNS.items():
         value = source(logical)
+        if logical == "duration_sec":
+            if value is not None:
+                picked.append(F.round(value.cast(kind) * 1_000_000).cast("long").alias("dwell_us"))
+            continue
         if value is None:
             value = F.lit(None).cast(kind or "string")
         elif kind is not None:

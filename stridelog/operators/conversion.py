@@ -42,8 +42,8 @@ def product_conversion(
     showed intent for or booked that product, and the profile's attributes. Intent may precede the
     view unless `ordered_intent`. Views, intents and bookings come out of one aggregation.
     """
-    needed = ("id", "session_id", "profile_id", "name", "link", "create_ts")
-    timed = with_dwell(events.select(*needed, "product_id", "product_name"), spec)
+    needed = "id session_id profile_id name link create_ts product_id product_name".split()
+    timed = with_dwell(events, spec, needed)
     timed = timed.filter(F.col("profile_id").isNotNull() & F.col("product_id").isNotNull())
     viewed = (F.col("name") == spec.view_event) & not_homepage(spec)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,23 @@ from .ordering import in_order
 from .statistics import percentiles
 
 
-def with_dwell(events: DataFrame, spec: EventSpec, keep_unknown: bool = True) -> DataFrame:
-    """Add next_ts and dwell_us. The last event of a session, and one without a session, has none."""
+def with_dwell(
+    events: DataFrame, spec: EventSpec, columns: Iterable[str], keep_unknown: bool = True
+) -> DataFrame:
+    """The given columns and dwell_us, the microseconds to the next event of the session.
+
+    The last event of a session, and one without a session, has none. A table that holds dwell
+    times, as the clean event table does, needs no ordering any more.
+    """
+    if "dwell_us" in events.columns:
+        timed = events.select(*columns, "dwell_us")
+        return timed if keep_unknown else timed.filter(F.col("dwell_us").isNotNull())
+    needed = dict.fromkeys(("id", "session_id", "create_ts", *columns))
+    return with_next(events.select(*needed), spec, keep_unknown).select(*columns, "dwell_us")
+
+
+def with_next(events: DataFrame, spec: EventSpec, keep_unknown: bool = True) -> DataFrame:
+    """Add next_ts, the time of the session's next event, and dwell_us, the microseconds to it."""
     ordered = in_order(events, spec, keep_unknown).neighbour({"next_ts": "create_ts"}, 1)
     return ordered.plain().withColumn("dwell_us", elapsed_us(F.col("create_ts"), F.col("next_ts")))
 
@@ -28,7 +45,7 @@ def not_homepage(spec: EventSpec) -> Column:
 def dwell_events(events: DataFrame, spec: EventSpec) -> DataFrame:
     """Every event with its successor's time and its own dwell time in seconds."""
     needed = events.select("id", "session_id", "profile_id", "name", "link", "create_ts")
-    return with_dwell(needed, spec).select(
+    return with_next(needed, spec).select(
         "id",
         "session_id",
         "profile_id",
@@ -40,42 +57,36 @@ def dwell_events(events: DataFrame, spec: EventSpec) -> DataFrame:
     )
 
 
-def valid_events(events: DataFrame, spec: EventSpec, exclude_home: bool = True) -> DataFrame:
+def valid_events(
+    events: DataFrame, spec: EventSpec, columns: Iterable[str], exclude_home: bool = True
+) -> DataFrame:
     """Events with a dwell time in (0, cap], away from the home page unless told otherwise."""
-    timed = with_dwell(events, spec, keep_unknown=False)
+    timed = with_dwell(events, spec, columns, keep_unknown=False)
     timed = timed.filter((F.col("dwell_us") > 0) & (F.col("dwell_us") <= spec.cap_us))
     return timed.filter(not_homepage(spec)) if exclude_home else timed
 
 
+ACTIVE_COLUMNS = (
+    "id session_id profile_id name type journey_state link page_title product_name product_ref "
+    "create_ts utm_source utm_medium utm_campaign device_type geo_country geo_city"
+).split()
+
+
 def active_events(events: DataFrame, spec: EventSpec, exclude_home: bool = True) -> DataFrame:
     """The event-level dwell output: 17 descriptive columns of the valid events, and the id."""
-    return valid_events(events, spec, exclude_home).select(
-        "id",
-        "session_id",
-        "profile_id",
-        "name",
-        "type",
-        "journey_state",
-        "link",
-        "page_title",
-        "product_name",
-        "product_ref",
+    active = valid_events(events, spec, ACTIVE_COLUMNS, exclude_home)
+    return active.select(
+        *ACTIVE_COLUMNS[:10],
         naive(F.col("create_ts")).alias("create_ts"),
         seconds(F.col("dwell_us")).alias("duration_sec"),
-        "utm_source",
-        "utm_medium",
-        "utm_campaign",
-        "device_type",
-        "geo_country",
-        "geo_city",
+        *ACTIVE_COLUMNS[11:],
     )
 
 
 def link_dwell(events: DataFrame, spec: EventSpec, exclude_home: bool = True) -> DataFrame:
     """Dwell statistics per link over the valid events."""
-    active = valid_events(
-        events.select("id", "session_id", "profile_id", "link", "create_ts"), spec, exclude_home
-    ).filter(F.col("link").isNotNull())
+    columns = ("session_id", "profile_id", "link")
+    active = valid_events(events, spec, columns, exclude_home).filter(F.col("link").isNotNull())
     totals = active.groupBy("link").agg(
         F.count(F.lit(1)).alias("views"),
         F.count_distinct("session_id").alias("unique_sessions"),
@@ -100,8 +111,7 @@ def event_dwell(events: DataFrame, spec: EventSpec) -> DataFrame:
 
     A name that was never measured has zeros, as for a sum over nothing.
     """
-    needed = events.select("id", "session_id", "name", "create_ts")
-    timed = with_dwell(needed, spec).filter(F.col("name").isNotNull())
+    timed = with_dwell(events, spec, ["name"]).filter(F.col("name").isNotNull())
     timed = timed.withColumn("us", valid_dwell(F.col("dwell_us"), spec.cap_us))
     totals = timed.groupBy("name").agg(
         F.count(F.lit(1)).alias("events_total"),

@@ -53,15 +53,17 @@ def shortened(text: Column, size: int = 120) -> Column:
     )
 
 
-def column_profile(df: DataFrame, meanings: Mapping[str, str] | None = None) -> DataFrame:
+def column_profile(
+    df: DataFrame, meanings: Mapping[str, str] | None = None, exact: bool = True
+) -> DataFrame:
     """(column, dtype, non_null, nunique, meaning, sample) with one row per column.
 
     Cells become (column, value) rows that are counted before the shuffle; exact distinct counts
-    of any number of columns then take one pass and no group is held in memory. The sample is the
+    of any number of columns then take one pass and no group is held in memory. With `exact=False`
+    distinct counts are estimates and nothing is shuffled but one row per task. The sample is the
     smallest value as text.
     """
     meanings = meanings or {}
-    columns = df.columns
     dictionary = df.sparkSession.createDataFrame(
         [
             (i, f.name, f.dataType.simpleString(), described(f.name, meanings))
@@ -69,10 +71,22 @@ def column_profile(df: DataFrame, meanings: Mapping[str, str] | None = None) ->
         ],
         "position int, column string, dtype string, meaning string",
     )
-    cells = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).unpivot(
-        [], [F.col(f"`{c}`") for c in columns], "column", "value"
+    text = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+    found = _exact_figures(text) if exact else _estimated_figures(text)
+    return dictionary.join(found, "column", "left").select(
+        "position",
+        "column",
+        "dtype",
+        F.coalesce("non_null", F.lit(0)).alias("non_null"),
+        F.coalesce("nunique", F.lit(0)).alias("nunique"),
+        "meaning",
+        F.coalesce(shortened(F.col("least")), F.lit("")).alias("sample"),
     )
-    found = (
+
+
+def _exact_figures(text: DataFrame) -> DataFrame:
+    cells = text.unpivot([], [F.col(f"`{c}`") for c in text.columns], "column", "value")
+    return (
         cells.filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -83,15 +97,19 @@ def column_profile(df: DataFrame, meanings: Mapping[str, str] | None = None) ->
             F.min("value").alias("least"),
         )
     )
-    return dictionary.join(found, "column", "left").select(
-        "position",
-        "column",
-        "dtype",
-        F.coalesce("non_null", F.lit(0)).alias("non_null"),
-        F.coalesce("nunique", F.lit(0)).alias("nunique"),
-        "meaning",
-        F.coalesce(shortened(F.col("least")), F.lit("")).alias("sample"),
-    )
+
+
+def _estimated_figures(text: DataFrame) -> DataFrame:
+    def figures(column: str) -> Column:
+        value = F.col(f"`{column}`")
+        return F.struct(
+            F.lit(column).alias("column"),
+            F.count(value).alias("non_null"),
+            F.approx_count_distinct(value).alias("nunique"),
+            F.min(value).alias("least"),
+        )
+
+    return text.agg(F.array(*map(figures, text.columns)).alias("rows")).selectExpr("inline(rows)")
 
 
 # Filter dimension in the metadata -> event column.
@@ -196,9 +214,7 @@ def session_size_figures(events: DataFrame) -> DataFrame:
 
 def pipeline_summary(events: DataFrame, spec: EventSpec) -> DataFrame:
     """Figures on a processed event table as (metric, value) rows."""
-    timed = with_dwell(
-        events.select("id", "session_id", "profile_id", "link", "create_ts"), spec
-    )
+    timed = with_dwell(events, spec, ["link"])
     active = valid_dwell(F.col("dwell_us"), spec.cap_us).isNotNull() & not_homepage(spec)
     n = F.count(F.lit(1))
     totals = timed.agg(

@@ -40,7 +40,7 @@ def clean_events(
         parsed_time(kept, spec.columns["created"]).alias("create_ts"),
         canonical_link(kept[spec.columns["page_url"]]).alias("link"),
     )
-    return dwell.with_dwell(events, spec).select(
+    return dwell.with_dwell(events, spec, ["kept", "create_ts", "link"]).select(
         "kept.*", "create_ts", "link", seconds(F.col("dwell_us")).alias("duration_sec")
     )
 

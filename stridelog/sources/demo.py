@@ -49,6 +49,7 @@ CLICKS_SPEC = EventSpec(
         "inserted": "insert_text",
         "session_start": "session_start",
         "session_duration": "session_duration",
+        "duration_sec": "duration_sec",
         "page_url": "page_url",
         "page_title": "page_title",
         "product_name": "product_name",

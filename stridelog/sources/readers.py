@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -36,21 +37,18 @@ def read_table(
     return reader.option("mergeSchema", merge_schema).parquet(*([path] if isinstance(path, str) else path))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop_path)
-    return found is not None and len(found) > 0
-
-
 def read_first(
     spark: SparkSession,
     candidates: Iterable[tuple[str, str]],
     schema: StructType | str | None = None,
 ) -> DataFrame:
     """The first existing source among (path, format) candidates; an error names them all."""
-    candidates = list(candidates)
+    tried = []
     for path, fmt in candidates:
-        if path_exists(spark, path):
+        try:
             return read_table(spark, path, fmt, schema)
-    raise FileNotFoundError(f"no event source found, looked for: {[p for p, _ in candidates]}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            tried.append(path)
+    raise FileNotFoundError(f"no event source found, looked for: {tried}")

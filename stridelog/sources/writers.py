@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,7 @@ def write_bundle(
     }
 
 
-def folder_bytes(spark, path: str) -> int:
-    """Size of everything under `path`, from the file system's own accounting."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(hadoop_path).getLength()
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the data files under `path`. Their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]

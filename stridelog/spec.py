@@ -13,8 +13,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Logical event columns and their types. Only the first three must exist in the source; the others
-# become typed nulls when missing, so every derived schema is fixed.
+# Logical event columns and their types. The required ones must exist in the source; the others
+# become typed nulls when missing, so every derived schema is fixed. duration_sec, the dwell time
+# that a clean event table already holds, is only there when the source has it.
 REQUIRED_COLUMNS = ("id", "session_id", "created")
 EVENT_COLUMNS = {
     "id": None,  # kept in the source's own type, it only breaks ties
@@ -27,6 +28,7 @@ EVENT_COLUMNS = {
     "inserted": None,
     "session_start": None,
     "session_duration": "double",
+    "duration_sec": "double",
     "page_url": "string",
     "page_title": "string",
     "product_name": "string",
@@ -137,6 +139,7 @@ TRAVEL_COLUMNS = {
     "inserted": "insert",
     "session_start": "session_start",
     "session_duration": "session_duration",
+    "duration_sec": "duration_sec",
     "page_url": "context_page_url",
     "page_title": "context_page_title",
     "product_name": "context_page_ld_name",

@@ -9,7 +9,7 @@ from fixtures import SPEC, at
 from pyspark.sql import functions as F
 
 from stridelog import canonical_events
-from stridelog.operators import breakdowns, cleaning, funnel, profiling
+from stridelog.operators import breakdowns, cleaning, conversion, dwell, funnel, profiling, sessions
 from stridelog.plans import pipeline
 from stridelog.sources.demo import CLICKS_PII, CLICKS_SPEC, clicks
 from stridelog.sources.readers import read_first, read_table
@@ -117,7 +117,8 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
 def test_first_existing_source(spark, tmp_path):
     path = str(tmp_path / "b")
     spark.range(3).write.parquet(path)
-    assert read_first(spark, [(str(tmp_path / "a"), "csv"), (path, "parquet")]).count() == 3
+    sources = [(str(tmp_path / "a"), "csv"), (path, "parquet")]
+    assert read_first(spark, sources, "id long").count() == 3
     with pytest.raises(FileNotFoundError, match="nowhere"):
         read_first(spark, [(str(tmp_path / "nowhere"), "parquet")])
 
@@ -141,3 +142,29 @@ def test_column_profile(spark):
     assert (got["other"]["non_null"], got["other"]["nunique"], got["other"]["sample"]) == (0, 0, "")
     assert got["other"]["meaning"] == "mine"
     assert got["device_touch"]["meaning"] == "device: touch"
+
+
+def test_estimated_profile(spark):
+    df = clicks(spark, FOLDER).select("id", "name", "session_duration")
+    exact = {r["column"]: r for r in profiling.column_profile(df).collect()}
+    for row in profiling.column_profile(df, exact=False).collect():
+        full = exact[row["column"]]
+        assert (row["non_null"], row["sample"]) == (full["non_null"], full["sample"])
+        assert row["nunique"] == pytest.approx(full["nunique"], rel=0.15)
+
+
+def test_stored_dwell_times_give_the_same_tables(spark, run):
+    _, _, clean, stored, _ = run
+    fresh = canonical_events(clean.drop("duration_sec"), CLICKS_SPEC)
+    assert "dwell_us" in stored.columns and "dwell_us" not in fresh.columns
+    rolled = sessions.session_rollup(fresh, CLICKS_SPEC)
+    for job in (
+        lambda e: dwell.active_events(e, CLICKS_SPEC),
+        lambda e: dwell.link_dwell(e, CLICKS_SPEC),
+        lambda e: dwell.event_dwell(e, CLICKS_SPEC),
+        lambda e: conversion.product_conversion(e, rolled, CLICKS_SPEC),
+        lambda e: profiling.pipeline_summary(e, CLICKS_SPEC),
+    ):
+        assert sorted(map(str, job(stored).collect())) == sorted(map(str, job(fresh).collect()))
+    plan = dwell.active_events(stored, CLICKS_SPEC)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
