@@ -12,6 +12,7 @@ from ..functions.times import local_date, local_hour, naive, parsed_time
 from ..functions.urls import canonical_link, first_group
 from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
 from ..operators import sessions as session_views
+from ..operators.ordering import measured
 from ..session import configure, fresh_path
 from ..sources.demo import CLICKS_PII, CLICKS_SPEC, clicks
 from ..sources.readers import read_table
@@ -45,7 +46,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     found = events(spark, folder)
-    return conversion.product_conversion(found, session_views.session_rollup(found, SPEC), SPEC)
+    spec = measured(found, SPEC)
+    return conversion.product_conversion(found, session_views.session_rollup(found, spec), spec)
 
 
 def session_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,8 +296,9 @@ def pattern_search_totals(spark, folder):
 @query
 def patterns_filtered(spark, folder):
     found = events(spark, folder)
-    chosen = SLICE.apply(session_views.session_rollup(found, SPEC))
-    return paths.patterns(paths.patterns_of(paths.session_pattern(found, SPEC), chosen))
+    spec = measured(found, SPEC)
+    chosen = SLICE.apply(session_views.session_rollup(found, spec))
+    return paths.patterns(paths.patterns_of(paths.session_pattern(found, spec), chosen))
 
 
 # ---- funnels ------------------------------------------------------------------------------------
@@ -464,9 +467,10 @@ def os_breakdown(spark, folder):
 @query
 def summary(spark, folder):
     found = events(spark, folder)
-    rolled = session_views.session_rollup(found, SPEC)
+    spec = measured(found, SPEC)
+    rolled = session_views.session_rollup(found, spec)
     return profiling.summary(
-        found, rolled, conversion.product_conversion(found, rolled, SPEC), SPEC
+        found, rolled, conversion.product_conversion(found, rolled, spec), spec
     )
 
 
