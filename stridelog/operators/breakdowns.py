@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, percent, ratio
@@ -196,6 +196,11 @@ def _average_minutes() -> Column:
     return ratio(_minutes_sum(), F.count("session_duration_min")) / 100
 
 
+def _share_of_all() -> Column:
+    """Share of the grand total, for a result of a row per device type."""
+    return percent(F.col("sessions"), F.sum("sessions").over(Window.partitionBy()), 2)
+
+
 def device_os(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Sessions, step sessions, averages and rates per device and system, nulls kept."""
     cart, order, _ = _roles(spec)
@@ -215,7 +220,6 @@ def device_share(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Per device: sessions, share of all, rates, and averages weighted by session."""
     cart, order, _ = _roles(spec)
     n = F.count(F.lit(1))
-    total = sessions.agg(F.count(F.lit(1)).alias("total")).scalar()
     return (
         sessions.groupBy("device_type")
         .agg(
@@ -225,7 +229,7 @@ def device_share(sessions: DataFrame, spec: EventSpec) -> DataFrame:
             F.round(ratio(F.sum("num_events"), n), 2).alias("avg_events"),
             F.round(_average_minutes(), 2).alias("avg_duration_min"),
         )
-        .withColumn("share_pct", percent(F.col("sessions"), total, 2))
+        .withColumn("share_pct", _share_of_all())
         .orderBy(F.desc("sessions"), F.asc_nulls_last("device_type"))
     )
 
@@ -233,7 +237,6 @@ def device_share(sessions: DataFrame, spec: EventSpec) -> DataFrame:
 def device_share_unweighted(table: DataFrame) -> DataFrame:
     """Per device from the device-system table, its averages being means over the systems' means."""
     n = F.sum("sessions")
-    total = table.agg(F.sum("sessions").alias("total")).scalar()
     return (
         table.groupBy("device_type")
         .agg(
@@ -243,7 +246,7 @@ def device_share_unweighted(table: DataFrame) -> DataFrame:
             F.round(F.avg("avg_events"), 2).alias("avg_events"),
             F.round(F.avg("avg_duration_min"), 2).alias("avg_duration_min"),
         )
-        .withColumn("share_pct", percent(F.col("sessions"), total, 2))
+        .withColumn("share_pct", _share_of_all())
         .orderBy(F.desc("sessions"), F.asc_nulls_last("device_type"))
     )
 

@@ -48,13 +48,17 @@ def clean_events(
 def run_clean(raw: DataFrame, spec: EventSpec, folder: str, **options) -> dict[str, int]:
     """Write the clean events by date, the event dwell table and the link dwell table.
 
-    Returns the rows of each. The two dwell tables are computed from the written clean events.
+    Returns the rows of each. Files of clean events are sorted by session for the drill-down. The
+    two dwell tables are computed from the written clean events.
     """
     spark, folder = raw.sparkSession, folder.rstrip("/")
     day = F.to_date(naive(F.col("create_ts")))
     clean = clean_events(raw, spec, **options).withColumn("date_utc", day)
+    session = spec.columns["session_id"]
     rows = {
-        "events_clean": write_table(clean, f"{folder}/events_clean", partition_by=["date_utc"])
+        "events_clean": write_table(
+            clean, f"{folder}/events_clean", partition_by=["date_utc"], sort_by=[session]
+        )
     }
     events = cleaning.canonical_events(read_table(spark, f"{folder}/events_clean"), spec)
     spec = measured(events, spec)
