@@ -20,7 +20,8 @@ class BucketSpec:
     aliases: tuple[str, ...]
     null_as: float = 0.0
 
-    def _pick(self, value: Column, results: tuple) -> Column:
+    def pick(self, value: Column, results: tuple) -> Column:
+        """The result that belongs to the value's bucket."""
         value = F.coalesce(value, F.lit(self.null_as))
         choice = F.lit(results[0])
         for bound, result in zip(self.bounds[1:], results[1:]):
@@ -28,10 +29,10 @@ class BucketSpec:
         return choice
 
     def label(self, value: Column) -> Column:
-        return self._pick(value, self.labels)
+        return self.pick(value, self.labels)
 
     def order(self, value: Column) -> Column:
-        return self._pick(value, tuple(range(len(self.labels))))
+        return self.pick(value, tuple(range(len(self.labels))))
 
 
 # The view-count and dwell-time buckets. A product without a counted view has its own.

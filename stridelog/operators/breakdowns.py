@@ -11,10 +11,6 @@ from ..functions.rates import count_true, percent, ratio
 from ..spec import EventSpec, FilterSpec
 
 
-def _roles(spec: EventSpec) -> tuple[str, str, str]:
-    return tuple(spec.step(k).had for k in (spec.cart_key, spec.order_key, spec.success_key))
-
-
 # ---- time ---------------------------------------------------------------------------------------
 
 
@@ -124,7 +120,7 @@ def geo(events: DataFrame, limit: int = 30) -> DataFrame:
 
 def utm_sources(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Sessions, step sessions and rates per source and device, nulls kept."""
-    cart, order, success = _roles(spec)
+    cart, order, success = spec.conversion_flags
     n = F.col("sessions")
     return (
         sessions.groupBy("utm_source", "device_type")
@@ -141,7 +137,7 @@ def utm_sources(sessions: DataFrame, spec: EventSpec) -> DataFrame:
 
 def utm_conversion(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Rates and average events per source, largest source first."""
-    cart, order, _ = _roles(spec)
+    cart, order, _ = spec.conversion_flags
     n = F.count(F.lit(1))
     return (
         sessions.groupBy("utm_source")
@@ -203,7 +199,7 @@ def _share_of_all() -> Column:
 
 def device_os(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Sessions, step sessions, averages and rates per device and system, nulls kept."""
-    cart, order, _ = _roles(spec)
+    cart, order, _ = spec.conversion_flags
     n = F.count(F.lit(1))
     return sessions.groupBy("device_type", "os_name").agg(
         n.alias("sessions"),
@@ -218,7 +214,7 @@ def device_os(sessions: DataFrame, spec: EventSpec) -> DataFrame:
 
 def device_share(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Per device: sessions, share of all, rates, and averages weighted by session."""
-    cart, order, _ = _roles(spec)
+    cart, order, _ = spec.conversion_flags
     n = F.count(F.lit(1))
     return (
         sessions.groupBy("device_type")

@@ -152,7 +152,7 @@ def conversion_matrix(pairs: DataFrame, cell: str = "intent_pct") -> DataFrame:
         pairs.select(
             VIEW_BUCKETS.order(F.col("views")).alias("bucket_order"),
             VIEW_BUCKETS.label(F.col("views")).alias("views_bucket"),
-            TIME_BUCKETS._pick(F.col("total_time"), TIME_BUCKETS.aliases).alias("t"),
+            TIME_BUCKETS.pick(F.col("total_time"), TIME_BUCKETS.aliases).alias("t"),
             "intent",
         )
         .groupBy("bucket_order", "views_bucket")

@@ -7,6 +7,8 @@ session continues in parts 1, 2, ...
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,36 +25,61 @@ def collapse_repeats(items: Column) -> Column:
     )
 
 
-def _parts(numbered: DataFrame, spec: EventSpec, text: str, position: str, out: str) -> DataFrame:
-    """Join `text` in order of `position` into one row per (session, part); nulls are skipped."""
+def _parts(numbered: DataFrame, spec: EventSpec, texts: Mapping[str, str]) -> DataFrame:
+    """One row per session and part, with each of `texts` (output -> column) joined in order.
+
+    Nulls are skipped; `<output>_items` counts the others.
+    """
     size = spec.limits.part_events
-    part = F.floor((F.col(position) - 1) / size).cast("long")
-    items = F.array_sort(F.collect_list(F.struct(position, text)))
+    columns = list(dict.fromkeys(texts.values()))
+    rows = F.array_sort(F.collect_list(F.struct("position", *columns))).alias("_rows")
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform("_rows", lambda row: row[column]), spec.separator)
+
+    counts = [F.count(column).alias(f"{out}_items") for out, column in texts.items()]
     return (
-        numbered.withColumn("part", part)
+        numbered.withColumn("part", F.floor((F.col("position") - 1) / size).cast("long"))
         .groupBy("session_id", "part")
-        .agg(F.count(text).alias("items"), items.alias("_items"))
+        .agg(rows, *counts)
         .select(
             "session_id",
             "part",
-            "items",
-            F.array_join(F.transform("_items", lambda x: x[text]), spec.separator).alias(out),
+            *(joined(column).alias(out) for out, column in texts.items()),
+            *(f"{out}_items" for out in texts),
         )
     )
 
 
+def sequences(events: DataFrame, spec: EventSpec, texts: Mapping[str, str]) -> DataFrame:
+    """Columns of the events of each session, joined in event order."""
+    columns = dict.fromkeys(("id", "session_id", "create_ts", *texts.values()))
+    ordered = in_order(events.select(*columns), spec).numbered("position")
+    return _parts(ordered.plain(), spec, texts)
+
+
 def event_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
     """The event names of each session in order; a null name is spelled out."""
-    columns = events.select("id", "session_id", "create_ts", _step_name(spec).alias("step_name"))
-    ordered = in_order(columns, spec).numbered("position")
-    return _parts(ordered.plain(), spec, "step_name", "position", "event_sequence")
+    named = events.withColumn("step_name", _step_name(spec))
+    return sequences(named, spec, {"event_sequence": "step_name"}).withColumnRenamed(
+        "event_sequence_items", "items"
+    )
 
 
 def link_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
     """The non-null links of each session in order, in the same parts as the event sequence."""
-    columns = events.select("id", "session_id", "create_ts", "link")
-    ordered = in_order(columns, spec).numbered("position")
-    return _parts(ordered.plain(), spec, "link", "position", "link_sequence")
+    return sequences(events, spec, {"link_sequence": "link"}).withColumnRenamed(
+        "link_sequence_items", "items"
+    )
+
+
+def journeys(events: DataFrame, sessions: DataFrame, spec: EventSpec) -> DataFrame:
+    """The session rollup with both sequences, which come from one ordering of the events."""
+    texts = {"event_sequence": "step_name", "link_sequence": "link"}
+    found = sequences(events.withColumn("step_name", _step_name(spec)), spec, texts)
+    return sessions.join(
+        found.select("session_id", "part", "event_sequence", "link_sequence"), "session_id"
+    )
 
 
 def _step_name(spec: EventSpec) -> Column:
@@ -74,12 +101,12 @@ def session_pattern(events: DataFrame, spec: EventSpec) -> DataFrame:
     its length and a fingerprint of all of it, so equal paths still share one pattern.
     """
     steps = collapsed_steps(events, spec).plain()
-    parts = _parts(steps, spec, "step_name", "position", "path")
+    parts = _parts(steps, spec, {"path": "step_name"})
     whole = F.sha2(F.concat_ws("\n", F.col("part").cast("string"), F.col("path")), 256)
     halves = [F.conv(F.substring(whole, at, 15), 16, 10).cast("long") for at in (1, 16)]
     per_session = parts.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_parts"),
-        F.sum("items").alias("steps"),
+        F.sum("path_items").alias("steps"),
         F.min_by("path", "part").alias("first_part"),
         *(F.bit_xor(h).alias(f"mark_{i}") for i, h in enumerate(halves)),
     )

@@ -91,9 +91,7 @@ def session_explorer(
     limit: int = 200,
 ) -> DataFrame:
     """The longest sessions with at least `min_events`, optionally only those that converted."""
-    cart, order, success = (
-        spec.step(k).had for k in (spec.cart_key, spec.order_key, spec.success_key)
-    )
+    cart, order, success = spec.conversion_flags
     keep = F.col("num_events") >= min_events
     if only_converted:
         keep = keep & (F.col(cart) | F.col(order))
@@ -176,7 +174,7 @@ def session_timeline_totals(
 
 def kpis(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Sessions, users, events and step sessions with rates, as one row."""
-    flags = {role: spec.step(key).had for role, key in _roles(spec).items()}
+    flags = dict(zip(("cart", "order", "success"), spec.conversion_flags))
     totals = sessions.agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count_distinct("profile_id").alias("users"),
@@ -193,7 +191,3 @@ def kpis(sessions: DataFrame, spec: EventSpec) -> DataFrame:
             "order_rate_pct"
         ),
     )
-
-
-def _roles(spec: EventSpec) -> dict[str, str]:
-    return {"cart": spec.cart_key, "order": spec.order_key, "success": spec.success_key}

@@ -342,8 +342,7 @@ PLAIN = {
 ON_CLICKS = {
     "src_csv_roundtrip": "SELECT id, session_id, name, page_url, create_text FROM clicks",
     "src_glob_union": "SELECT cast(strftime(create_ts_raw, '%Y%m%d') AS INT) AS day, "
-    "count(*) AS events, count(name) AS named FROM clicks "
-    "WHERE strftime(create_ts_raw, '%Y%m') = '202401' GROUP BY 1",
+    "count(*) AS events, count(name) AS named FROM clicks GROUP BY 1",
     "sql_smoke": "SELECT 'sessions' AS source, count(*) AS n, sum(had_signup::INT)::BIGINT AS hits "
     "FROM sess UNION ALL SELECT 'pairs', count(*), sum(intent::INT)::BIGINT FROM pc",
     "filter_metadata": """
@@ -437,6 +436,14 @@ FROM sliced""",
     "link_sequence": "SELECT session_id, 0::BIGINT AS part, count(link) AS items, "
     "coalesce(string_agg(link, ' > ' ORDER BY ts ASC NULLS LAST, id), '') AS link_sequence "
     "FROM ev WHERE session_id IS NOT NULL GROUP BY session_id",
+    "journeys": """
+SELECT s.*, NULL::VARCHAR AS utm_campaign, 0::BIGINT AS part, event_sequence, link_sequence
+FROM sess s
+JOIN (SELECT session_id, string_agg(step, ' > ' ORDER BY ts ASC NULLS LAST, id) AS event_sequence
+      FROM named GROUP BY session_id) n ON n.session_id = s.session_id
+JOIN (SELECT session_id,
+             coalesce(string_agg(link, ' > ' ORDER BY ts ASC NULLS LAST, id), '') AS link_sequence
+      FROM ev WHERE session_id IS NOT NULL GROUP BY session_id) l ON l.session_id = s.session_id""",
     "session_pattern": "SELECT session_id, pattern, steps FROM pat",
     "patterns": "SELECT row_number() OVER (ORDER BY sessions DESC, pattern) AS rank, * FROM counted "
     "ORDER BY sessions DESC, pattern LIMIT 1000",

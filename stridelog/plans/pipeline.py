@@ -108,13 +108,9 @@ def build_report(
     """
     spec = measured(events, spec)
     session_patterns = paths.session_pattern(events, spec)
-    journeys = (
-        sessions.join(paths.event_sequence(events, spec).drop("items"), "session_id")
-        .join(paths.link_sequence(events, spec).drop("items"), ["session_id", "part"])
-    )
     return {
         "summary": profiling.summary(events, sessions, pairs, spec),
-        "journey_per_session": journeys,
+        "journey_per_session": paths.journeys(events, sessions, spec),
         "top_event_patterns": paths.patterns(session_patterns, 30),
         "funnel": funnel.funnel(events, spec),
         "product_view_per_user": pairs,

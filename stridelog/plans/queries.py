@@ -79,7 +79,7 @@ def src_glob_union(spark, folder):
     table = table.withColumn("day", F.date_format("create_ts_raw", "yyyyMMdd")).drop("create_ts_raw")
     path = fresh_path(spark, "events-by-day")
     write_table(table, path, partition_by=["day"])
-    union = read_table(spark, f"{path}/day=202401*", merge_schema=True, base_path=path)
+    union = read_table(spark, f"{path}/day=*", merge_schema=True, base_path=path)
     return union.groupBy("day").agg(
         F.count(F.lit(1)).alias("events"), F.count("name").alias("named")
     )
@@ -271,6 +271,13 @@ def link_sequence(spark, folder):
     return paths.link_sequence(events(spark, folder), SPEC)
 
 
+@query
+def journeys(spark, folder):
+    found = events(spark, folder)
+    spec = measured(found, SPEC)
+    return paths.journeys(found, session_views.session_rollup(found, spec), spec)
+
+
 @query
 def session_pattern(spark, folder):
     return session_patterns(spark, folder)

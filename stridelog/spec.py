@@ -118,6 +118,12 @@ class EventSpec:
     def step(self, key: str) -> Step:
         return next(s for s in self.steps if s.key == key)
 
+    @property
+    def conversion_flags(self) -> tuple[str, str, str]:
+        """The session flags of the cart, order and success steps."""
+        keys = (self.cart_key, self.order_key, self.success_key)
+        return tuple(self.step(key).had for key in keys)
+
     def with_limits(self, **sizes: int) -> "EventSpec":
         return replace(self, limits=replace(self.limits, **sizes), hot=None)
 
