@@ -102,13 +102,12 @@ def session_pattern(events: DataFrame, spec: EventSpec) -> DataFrame:
     """
     steps = collapsed_steps(events, spec).plain()
     parts = _parts(steps, spec, {"path": "step_name"})
-    whole = F.sha2(F.concat_ws("\n", F.col("part").cast("string"), F.col("path")), 256)
-    halves = [F.conv(F.substring(whole, at, 15), 16, 10).cast("long") for at in (1, 16)]
+    marks = (F.xxhash64("part", "path"), F.xxhash64("path", "part", F.lit(1)))
     per_session = parts.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_parts"),
         F.sum("path_items").alias("steps"),
         F.min_by("path", "part").alias("first_part"),
-        *(F.bit_xor(h).alias(f"mark_{i}") for i, h in enumerate(halves)),
+        *(F.bit_xor(mark).alias(f"mark_{i}") for i, mark in enumerate(marks)),
     )
     named = F.concat(
         F.col("first_part"),
