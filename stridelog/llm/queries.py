@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelog.llm import chat, licenses, mixing, secrets
+from stridelog.llm import chat, languages, licenses, mixing, quality, secrets, toxicity
 from stridelog.llm.text import rows_of, table
 
 
@@ -22,6 +22,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_report(table(spark, sf_dir, "documents"))
+
+
 def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,12 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op4_license_scan, op7_fair_queue_mix, op9_secret_ownership)
+    f.__name__: f for f in (op1_chat_windows, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op9_secret_ownership, op10_toxic_lexicon)
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
