@@ -18,7 +18,7 @@ from stridelog.llm.text import text_of, word_count
 from stridelog.session import written
 
 #: Hash ranges of a source, and ranges of finish times for each factor of e. They only set the size of a task.
-RANGES, STEPS = 1 << 16, 1024
+RANGES, STEPS = 1 << 12, 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, rounds: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelog.llm import chat, languages, licenses, mixing, quality, secrets, toxicity
+from stridelog.llm import chat, jaccard, languages, leaks, licenses, mixing, quality, secrets, toxicity
 from stridelog.llm.text import rows_of, table
 
 
@@ -18,6 +18,14 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(told.unionByName(added))
 
 
+def op2_ngram_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90).drop("set_key")
+
+
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op9_secret_ownership, op10_toxic_lexicon)
+    f.__name__: f for f in (op1_chat_windows, op2_ngram_trie_join, op3_benchmark_leaks, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op9_secret_ownership, op10_toxic_lexicon)
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.

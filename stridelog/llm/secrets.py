@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelog.llm.text import text_of
+from stridelog.llm.text import same_row, sized, text_of
+from stridelog.session import written
 
 # The base kinds, in the order in which equal starts are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -133,6 +134,5 @@ def secret_report(documents: DataFrame) -> DataFrame:
 def without_live_secrets(documents: DataFrame, example_owners: int = 3) -> DataFrame:
     """The rows without a live-looking credential; copied examples do no harm and stay."""
     judged = scan(documents, example_owners).where(F.col("n_live") > 0)
-    live = judged.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    same = documents["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit(""))) == F.col("key"))
-    return documents.join(live, same, "left_anti")
+    live = judged.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    return documents.join(sized(written(live, "live-secrets")), same_row(documents), "left_anti")

@@ -44,3 +44,26 @@ def rows_of(values: list[tuple], names: tuple[str, ...], spark: SparkSession) ->
     """A small constant table, made of literals."""
     structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in values]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def trigrams(words: Column) -> Column:
+    """A 64-bit hash for every three consecutive words; empty below three words."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
+    triples = F.zip_with(pairs, F.slice(words, F.lit(3), F.size(words)), lambda a, b: F.xxhash64(a, b))
+    return F.slice(triples, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+#: Rows of a few numbers that a broadcast may hold: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def sized(narrow: DataFrame) -> DataFrame:
+    """A stored or cheap narrow table, to be broadcast if it is counted to be small, else as it is."""
+    few = narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(narrow) if few else narrow
+
+
+def same_row(documents: DataFrame) -> Column:
+    """Whether a row of documents is the one named by columns `id` and `key` of the other side."""
+    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
+    return documents["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key"))
