@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelog.llm import chat, jaccard, languages, leaks, licenses, mixing, quality, secrets, toxicity
+from stridelog.llm import chat, jaccard, languages, leaks, licenses, lm, mixing, quality, secrets, toxicity
 from stridelog.llm.text import rows_of, table
 
 
@@ -42,6 +42,10 @@ def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_windows, op2_ngram_trie_join, op3_benchmark_leaks, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op9_secret_ownership, op10_toxic_lexicon)
+    f.__name__: f for f in (op1_chat_windows, op2_ngram_trie_join, op3_benchmark_leaks, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op8_attention_scores, op9_secret_ownership, op10_toxic_lexicon)
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
