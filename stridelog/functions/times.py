@@ -1,27 +1,57 @@
-"""Timestamps, local time and dwell ranges."""
+"""Timestamps, local time and dwell ranges.
+
+A time without a zone is a UTC time here. Spark's casts between the two kinds of timestamps read the
+zone of the session, so none is used: the same rows come out under any session zone.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+DAY_US = 86_400_000_000
+#: A zone, or an offset, behind the minutes or seconds of a time.
+ZONED = r":\d{2}(\.\d*)?\s*[A-Za-z+-]"
+
+
 def parsed_time(df: DataFrame, column: str) -> Column:
-    """Column `column` as a timestamp; text that is not one becomes null, row by row."""
+    """Column `column` as a timestamp; text that is not one becomes null, row by row.
+
+    A zone in the text counts; a text or a column without a zone is in UTC.
+    """
     kind = df.schema[column].dataType.typeName()
     value = df[column]
     if kind == "string":
-        return F.try_to_timestamp(value)
-    return value.cast("timestamp")
+        return F.when(value.rlike(ZONED), F.try_to_timestamp(value)).otherwise(
+            utc_instant(value.try_cast("timestamp_ntz"))
+        )
+    if kind == "timestamp":
+        return value
+    return utc_instant(value.cast("timestamp_ntz"))
+
+
+def utc_instant(clock: Column) -> Column:
+    """The moment at which the UTC wall clock shows `clock`, a timestamp without a zone."""
+    days = F.datediff(F.to_date(clock), F.lit(date(1970, 1, 1))).cast("long")
+    micros = (F.extract(F.lit("SECOND"), clock) * 1_000_000).cast("long")
+    minutes = (F.hour(clock) * 60 + F.minute(clock)).cast("long")
+    return F.timestamp_micros(days * DAY_US + minutes * 60_000_000 + micros)
 
 
 def naive(ts: Column) -> Column:
     """The UTC wall clock of `ts`, without a zone."""
-    return ts.cast("timestamp_ntz")
+    us = F.unix_micros(ts)
+    days = F.floor(us / F.lit(DAY_US)).cast("int")
+    seconds_of_day = (F.pmod(us, F.lit(DAY_US)).cast("decimal(18,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(days=days, secs=seconds_of_day)
 
 
 def local_time(ts: Column, offset_hours: int) -> Column:
-    return ts + F.make_dt_interval(hours=F.lit(offset_hours))
+    """The wall clock at a place `offset_hours` ahead of UTC."""
+    return naive(ts) + F.make_dt_interval(hours=F.lit(offset_hours))
 
 
 def local_hour(ts: Column, offset_hours: int) -> Column:
@@ -48,8 +78,10 @@ def valid_dwell(us: Column, cap_us: int) -> Column:
 
 def duration_label(secs: Column, cap_seconds: int) -> Column:
     """A dwell time as text: missing, an outlier above the cap, or seconds."""
+    # The texts of the two cases; "p" stands for minutes.
+    cap = f"{cap_seconds // 60}p" if cap_seconds % 60 == 0 else f"{cap_seconds}s"
     return (
         F.when(secs.isNull(), F.lit("— (event cuối / không đo được)"))
-        .when(secs > cap_seconds, F.format_string("%.0fs (> 30p, outlier)", secs))
+        .when(secs > cap_seconds, F.format_string(f"%.0fs (> {cap}, outlier)", secs))
         .otherwise(F.format_string("%.1fs", secs))
     )

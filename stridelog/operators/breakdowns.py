@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, percent, ratio
@@ -40,9 +40,9 @@ def hour_of_day(events: DataFrame, spec: EventSpec, views_only: bool = False) ->
 
 
 def hour_of_day_rate(hourly: DataFrame, filters: FilterSpec | None = None) -> DataFrame:
-    """Hour-of-day totals of the hourly table with the intent rate; only the dates filter applies."""
+    """Hour-of-day totals of the hourly table with the intent rate. The table has dates, no other parts of a filter."""
     if filters is not None:
-        hourly = filters.apply(hourly, only=("date",), date_column="date_local")
+        hourly = filters.apply(hourly, date_column="date_local")
     totals = hourly.groupBy("hour_local").agg(
         F.sum("page_views").alias("page_views"), F.sum("intent_events").alias("intent_events")
     )
@@ -74,10 +74,10 @@ def destinations(events: DataFrame, spec: EventSpec) -> DataFrame:
 def top_destinations(
     events: DataFrame, spec: EventSpec, filters: FilterSpec | None = None, limit: int = 30
 ) -> DataFrame:
-    """The most viewed destinations with exact distinct sessions and users."""
+    """The most viewed destinations with exact distinct sessions and users; a filter's dates are local."""
     views = _destination_views(events, spec)
     if filters is not None:
-        views = filters.apply(views, only=("device", "source"))
+        views = filters.apply(views, date_column="date_local")
     return (
         views.groupBy("destination")
         .agg(
@@ -95,7 +95,7 @@ def top_destinations_summed(
 ) -> DataFrame:
     """Top destinations from the slice table: sessions and users in several slices count in each."""
     if filters is not None:
-        table = filters.apply(table, only=("device", "source"))
+        table = filters.apply(table)
     return (
         table.groupBy("destination")
         .agg(*(F.sum(c).alias(c) for c in ("views", "sessions", "users")))
@@ -156,7 +156,7 @@ def utm_performance(
 ) -> DataFrame:
     """The largest sources of the source table over all (or one) device, labelled, by cart rate."""
     if filters is not None:
-        table = filters.apply(table, only=("device",))
+        table = filters.apply(table)
     top = (
         table.groupBy("utm_source")
         .agg(
@@ -192,9 +192,12 @@ def _average_minutes() -> Column:
     return ratio(_minutes_sum(), F.count("session_duration_min")) / 100
 
 
-def _share_of_all() -> Column:
-    """Share of the grand total, for a result of a row per device type."""
-    return percent(F.col("sessions"), F.sum("sessions").over(Window.partitionBy()), 2)
+def _with_share(by_device: DataFrame) -> DataFrame:
+    """Each row's share of all sessions, largest first."""
+    total = by_device.agg(F.sum("sessions").alias("total")).scalar()
+    return by_device.withColumn("share_pct", percent(F.col("sessions"), total, 2)).orderBy(
+        F.desc("sessions"), F.asc_nulls_last("device_type")
+    )
 
 
 def device_os(sessions: DataFrame, spec: EventSpec) -> DataFrame:
@@ -216,34 +219,28 @@ def device_share(sessions: DataFrame, spec: EventSpec) -> DataFrame:
     """Per device: sessions, share of all, rates, and averages weighted by session."""
     cart, order, _ = spec.conversion_flags
     n = F.count(F.lit(1))
-    return (
-        sessions.groupBy("device_type")
-        .agg(
+    return _with_share(
+        sessions.groupBy("device_type").agg(
             n.alias("sessions"),
             percent(count_true(F.col(cart)), n, 3).alias("atc_rate_pct"),
             percent(count_true(F.col(order)), n, 3).alias("order_rate_pct"),
             F.round(ratio(F.sum("num_events"), n), 2).alias("avg_events"),
             F.round(_average_minutes(), 2).alias("avg_duration_min"),
         )
-        .withColumn("share_pct", _share_of_all())
-        .orderBy(F.desc("sessions"), F.asc_nulls_last("device_type"))
     )
 
 
 def device_share_unweighted(table: DataFrame) -> DataFrame:
     """Per device from the device-system table, its averages being means over the systems' means."""
     n = F.sum("sessions")
-    return (
-        table.groupBy("device_type")
-        .agg(
+    return _with_share(
+        table.groupBy("device_type").agg(
             n.alias("sessions"),
             percent(F.sum("atc_count"), n, 3).alias("atc_rate_pct"),
             percent(F.sum("order_count"), n, 3).alias("order_rate_pct"),
             F.round(F.avg("avg_events"), 2).alias("avg_events"),
             F.round(F.avg("avg_duration_min"), 2).alias("avg_duration_min"),
         )
-        .withColumn("share_pct", _share_of_all())
-        .orderBy(F.desc("sessions"), F.asc_nulls_last("device_type"))
     )
 
 

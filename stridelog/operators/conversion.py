@@ -102,8 +102,8 @@ def product_conversion(
 
 
 def filter_conversion(pairs: DataFrame, filters: FilterSpec) -> DataFrame:
-    """The pairs of one slice. They carry no date, so only the other three parts apply."""
-    return filters.apply(pairs, only=("device", "source", "country"))
+    """The pairs of one slice. They carry no date to filter by."""
+    return filters.apply(pairs)
 
 
 def _rates() -> list[Column]:
@@ -131,9 +131,11 @@ def conversion_by_time(pairs: DataFrame) -> DataFrame:
 
 
 def conversion_cross(pairs: DataFrame) -> DataFrame:
-    """Pairs and rates per views bucket and time bucket."""
+    """Pairs and rates per views bucket and time bucket, with the sort positions of both."""
     return pairs.groupBy(
+        VIEW_BUCKETS.order(F.col("views")).alias("views_order"),
         VIEW_BUCKETS.label(F.col("views")).alias("views_bucket"),
+        TIME_BUCKETS.order(F.col("total_time")).alias("time_order"),
         TIME_BUCKETS.label(F.col("total_time")).alias("time_bucket"),
     ).agg(*_rates())
 

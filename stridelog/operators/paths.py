@@ -1,8 +1,8 @@
 """Ordered event and link sequences per session, collapsed paths, and how common they are.
 
-A sequence is text, and text has to fit a row. Sequences therefore come in parts of at most
-`limits.part_events` events: part 0 is the whole sequence for any ordinary session, and a longer
-session continues in parts 1, 2, ...
+A sequence is one text per session, whatever its length. It is put together in two levels, runs of
+`RUN` events first, so a task holds one run of events and otherwise only finished texts. A text too
+large for a row fails the job; it is never shortened.
 """
 
 from __future__ import annotations
@@ -25,27 +25,43 @@ def collapse_repeats(items: Column) -> Column:
     )
 
 
-def _parts(numbered: DataFrame, spec: EventSpec, texts: Mapping[str, str]) -> DataFrame:
-    """One row per session and part, with each of `texts` (output -> column) joined in order.
+#: Events joined at a time.
+RUN = 1000
+
+
+def _joined(numbered: DataFrame, spec: EventSpec, texts: Mapping[str, str]) -> DataFrame:
+    """One row per session, with each of `texts` (output -> column) joined in order.
 
     Nulls are skipped; `<output>_items` counts the others.
     """
-    size = spec.limits.part_events
     columns = list(dict.fromkeys(texts.values()))
-    rows = F.array_sort(F.collect_list(F.struct("position", *columns))).alias("_rows")
+    events = F.array_sort(F.collect_list(F.struct("position", *columns))).alias("_events")
+    counts = [F.count(column).alias(f"_{out}_n") for out, column in texts.items()]
 
-    def joined(column: str) -> Column:
-        return F.array_join(F.transform("_rows", lambda row: row[column]), spec.separator)
+    def text(rows: str, field: str) -> Column:
+        return F.array_join(F.transform(rows, lambda row: row[field]), spec.separator)
 
-    counts = [F.count(column).alias(f"{out}_items") for out, column in texts.items()]
+    runs = (
+        numbered.withColumn("_run", F.floor((F.col("position") - 1) / RUN).cast("long"))
+        .groupBy("session_id", "_run")
+        .agg(events, *counts)
+        .select(
+            "session_id",
+            "_run",
+            # null, and so skipped, for a run without any text
+            *(F.when(F.col(f"_{out}_n") > 0, text("_events", c)).alias(out) for out, c in texts.items()),
+            *(f"_{out}_n" for out in texts),
+        )
+    )
     return (
-        numbered.withColumn("part", F.floor((F.col("position") - 1) / size).cast("long"))
-        .groupBy("session_id", "part")
-        .agg(rows, *counts)
+        runs.groupBy("session_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("_run", *texts))).alias("_runs"),
+            *(F.sum(f"_{out}_n").alias(f"{out}_items") for out in texts),
+        )
         .select(
             "session_id",
-            "part",
-            *(joined(column).alias(out) for out, column in texts.items()),
+            *(text("_runs", out).alias(out) for out in texts),
             *(f"{out}_items" for out in texts),
         )
     )
@@ -55,7 +71,7 @@ def sequences(events: DataFrame, spec: EventSpec, texts: Mapping[str, str]) -> D
     """Columns of the events of each session, joined in event order."""
     columns = dict.fromkeys(("id", "session_id", "create_ts", *texts.values()))
     ordered = in_order(events.select(*columns), spec).numbered("position")
-    return _parts(ordered.plain(), spec, texts)
+    return _joined(ordered.plain(), spec, texts)
 
 
 def event_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
@@ -67,7 +83,7 @@ def event_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
 
 
 def link_sequence(events: DataFrame, spec: EventSpec) -> DataFrame:
-    """The non-null links of each session in order, in the same parts as the event sequence."""
+    """The non-null links of each session in order; empty for a session without any."""
     return sequences(events, spec, {"link_sequence": "link"}).withColumnRenamed(
         "link_sequence_items", "items"
     )
@@ -78,7 +94,7 @@ def journeys(events: DataFrame, sessions: DataFrame, spec: EventSpec) -> DataFra
     texts = {"event_sequence": "step_name", "link_sequence": "link"}
     found = sequences(events.withColumn("step_name", _step_name(spec)), spec, texts)
     return sessions.join(
-        found.select("session_id", "part", "event_sequence", "link_sequence"), "session_id"
+        found.select("session_id", "event_sequence", "link_sequence"), "session_id"
     )
 
 
@@ -95,31 +111,9 @@ def collapsed_steps(events: DataFrame, spec: EventSpec) -> Ordered:
 
 
 def session_pattern(events: DataFrame, spec: EventSpec) -> DataFrame:
-    """(session_id, pattern, steps): the path of each session with repeats collapsed.
-
-    A path of over `limits.part_events` steps does not fit a text. It is named by its first part,
-    its length and a fingerprint of all of it, so equal paths still share one pattern.
-    """
+    """(session_id, pattern, steps): the whole path of each session with repeats collapsed."""
     steps = collapsed_steps(events, spec).plain()
-    parts = _parts(steps, spec, {"path": "step_name"})
-    marks = (F.xxhash64("part", "path"), F.xxhash64("path", "part", F.lit(1)))
-    per_session = parts.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n_parts"),
-        F.sum("path_items").alias("steps"),
-        F.min_by("path", "part").alias("first_part"),
-        *(F.bit_xor(mark).alias(f"mark_{i}") for i, mark in enumerate(marks)),
-    )
-    named = F.concat(
-        F.col("first_part"),
-        F.lit(f"{spec.separator}… ["),
-        F.col("steps").cast("string"),
-        F.lit(" steps, "),
-        F.lower(F.hex("mark_0")),
-        F.lower(F.hex("mark_1")),
-        F.lit("]"),
-    )
-    pattern = F.when(F.col("n_parts") == 1, F.col("first_part")).otherwise(named)
-    return per_session.select("session_id", pattern.alias("pattern"), "steps")
+    return _joined(steps, spec, {"pattern": "step_name"}).withColumnRenamed("pattern_items", "steps")
 
 
 def pattern_counts(session_patterns: DataFrame) -> DataFrame:
@@ -140,29 +134,26 @@ def patterns(session_patterns: DataFrame, limit: int = 1000) -> DataFrame:
     return top.select(rank.alias("rank"), "pattern", "sessions", "share_pct")
 
 
-def ranked_patterns(session_patterns: DataFrame, spec: EventSpec) -> DataFrame:
+def ranked_patterns(session_patterns: DataFrame) -> DataFrame:
     """All patterns with their rank, however many there are.
 
-    Beyond `limits.rank_rows` sessions, the counts are written in range partitions of the ranking
-    order, and each is ranked on its own from the number of patterns before it.
+    The counts are written in range partitions of the ranking order, and each is ranked on its own
+    from the number of patterns before it.
     """
-    counts = pattern_counts(session_patterns)
-    if session_patterns.count() <= spec.limits.rank_rows:
-        rank = F.row_number().over(Window.orderBy(*pattern_order()))
-        return counts.select(
-            rank.cast("long").alias("rank"), "pattern", "sessions", "share_pct"
-        )
     ranges = written(
-        counts.repartitionByRange(*pattern_order()).withColumn("_range", F.spark_partition_id()),
+        pattern_counts(session_patterns)
+        .repartitionByRange(*pattern_order())
+        .withColumn("_range", F.spark_partition_id()),
         "patterns",
     )
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: as many as the range partitioning makes.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*pattern_order()))
     return (
         ranges.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_range")  # one row per partition
+        .join(F.broadcast(offsets), "_range")
         .select(
             (F.col("_base") + F.col("_within")).alias("rank"), "pattern", "sessions", "share_pct"
         )

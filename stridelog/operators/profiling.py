@@ -11,6 +11,7 @@ from ..functions.rates import count_true, percent, ratio
 from ..functions.times import valid_dwell
 from ..spec import EventSpec
 from .dwell import not_homepage, with_dwell
+from .statistics import percentiles
 
 # Column groups of a web event table by name prefix, the longest prefix first.
 PREFIX_MEANINGS = (
@@ -126,24 +127,19 @@ def filter_values(events: DataFrame) -> DataFrame:
     )
 
 
-def filter_metadata(events: DataFrame, spec: EventSpec) -> DataFrame:
-    """One row: sorted filter choices, first and last local date, and totals.
+def filter_metadata(events: DataFrame) -> DataFrame:
+    """One row: all filter choices sorted, first and last local date, and totals.
 
-    A list longer than `limits.list_values` does not belong in one row; it is null here and
-    `filter_values` has all of it.
+    The lists hold distinct values, found before they come together; `filter_values` has them as rows.
     """
-    choices = filter_values(events)
-    sizes = choices.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
-    short = sizes.filter(F.col("n") <= spec.limits.list_values).select("dimension")
-    long = sizes.filter(F.col("n") > spec.limits.list_values)
-
-    def of_each(value) -> Column:
-        return F.struct(*(value(F.col("dimension") == d).alias(d) for d in FILTER_LISTS))
-
-    listed = choices.join(F.broadcast(short), "dimension", "left_semi").agg(  # at most three rows
-        of_each(lambda here: F.array_sort(F.collect_list(F.when(here, F.col("value"))))).alias("l")
+    choices = filter_values(events).agg(
+        F.struct(
+            *(
+                F.array_sort(F.collect_list(F.when(F.col("dimension") == d, F.col("value")))).alias(d)
+                for d in FILTER_LISTS
+            )
+        ).alias("lists")
     )
-    omitted = long.agg(of_each(lambda here: F.coalesce(F.bool_or(here), F.lit(False))).alias("o"))
     totals = events.agg(
         F.min("date_local").alias("date_min"),
         F.max("date_local").alias("date_max"),
@@ -151,10 +147,8 @@ def filter_metadata(events: DataFrame, spec: EventSpec) -> DataFrame:
         F.count_distinct("session_id").alias("total_sessions"),
         F.count_distinct("profile_id").alias("total_profiles"),
     )
-
-    totals = totals.withColumns({"_listed": listed.scalar(), "_omitted": omitted.scalar()})
-    return totals.select(
-        *(F.when(~F.col("_omitted")[d], F.col("_listed")[d]).alias(d) for d in FILTER_LISTS),
+    return totals.withColumn("_lists", choices.scalar()).select(
+        *(F.col("_lists")[d].alias(d) for d in FILTER_LISTS),
         "date_min",
         "date_max",
         "total_events",
@@ -196,14 +190,18 @@ def _session_sizes(events: DataFrame) -> DataFrame:
     )
 
 
-def session_size_figures(events: DataFrame) -> DataFrame:
-    """One row on events per session.
+def median_of(df: DataFrame, value: str) -> Column:
+    """The exact median of whole numbers as a scalar, found by value ranges over many tasks."""
+    sized = df.select(F.lit(0).alias("_all"), F.col(value).alias("_value"))
+    return percentiles(sized, ["_all"], "_value", {"median": 0.5}).select("median").scalar()
 
-    `percentile` keeps the distinct sizes, of which N events allow fewer than sqrt(2N).
-    """
-    return _session_sizes(events).agg(
+
+def session_size_figures(events: DataFrame) -> DataFrame:
+    """One row on events per session."""
+    sizes = _session_sizes(events)
+    return sizes.agg(
         F.round(F.avg("n"), 2).alias("events_per_session_mean"),
-        F.percentile("n", 0.5).alias("events_per_session_median"),
+        median_of(sizes, "n").alias("events_per_session_median"),
         F.max("n").alias("events_per_session_max"),
         count_true(F.col("n") == 1).alias("sessions_with_1_event"),
         percent(count_true(F.col("n") == 1), F.count(F.lit(1)), 1).alias(
@@ -253,7 +251,7 @@ def summary(events: DataFrame, sessions: DataFrame, pairs: DataFrame, spec: Even
         percent(had["cart"], n, 3).alias("cart_rate_pct"),
         percent(had["order"], n, 3).alias("order_rate_pct"),
         F.round(ratio(F.sum("num_events"), n), 2).alias("avg_events_per_session"),
-        F.floor(F.percentile("num_events", 0.5)).alias("median_events_per_session"),
+        F.floor(median_of(sessions, "num_events")).alias("median_events_per_session"),
         F.round(ratio(minutes, F.count("session_duration_min")) / 100, 2).alias(
             "avg_session_minutes"
         ),

@@ -127,6 +127,9 @@ FROM sess GROUP BY ALL""",
     "sliced": """
 SELECT * FROM sess WHERE device_type = 'mobile'
   AND date_utc BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
+    "region": """
+SELECT * FROM sess WHERE utm_source = 'src1' AND geo_country = 'US'
+  AND date_utc BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'""",
     "steps": """
 SELECT session_id, row_number() OVER w AS step, ts AS time, name AS event, type, page_url AS url,
        product_name, us, us / 1e6::DOUBLE AS secs
@@ -430,14 +433,14 @@ SELECT count(*) AS sessions, count(DISTINCT profile_id) AS users,
        coalesce(round(count(*) FILTER (WHERE had_purchase)::DOUBLE / nullif(count(*), 0) * 100, 2), 0)
            AS order_rate_pct
 FROM sliced""",
-    "event_sequence": "SELECT session_id, 0::BIGINT AS part, count(*) AS items, "
+    "event_sequence": "SELECT session_id, count(*) AS items, "
     "string_agg(step, ' > ' ORDER BY ts ASC NULLS LAST, id) AS event_sequence "
     "FROM named GROUP BY session_id",
-    "link_sequence": "SELECT session_id, 0::BIGINT AS part, count(link) AS items, "
+    "link_sequence": "SELECT session_id, count(link) AS items, "
     "coalesce(string_agg(link, ' > ' ORDER BY ts ASC NULLS LAST, id), '') AS link_sequence "
     "FROM ev WHERE session_id IS NOT NULL GROUP BY session_id",
     "journeys": """
-SELECT s.*, NULL::VARCHAR AS utm_campaign, 0::BIGINT AS part, event_sequence, link_sequence
+SELECT s.*, NULL::VARCHAR AS utm_campaign, event_sequence, link_sequence
 FROM sess s
 JOIN (SELECT session_id, string_agg(step, ' > ' ORDER BY ts ASC NULLS LAST, id) AS event_sequence
       FROM named GROUP BY session_id) n ON n.session_id = s.session_id
@@ -466,7 +469,8 @@ FROM kept GROUP BY pattern ORDER BY sessions DESC, pattern LIMIT 1000""",
     "conv_by_time": f"SELECT t_order AS bucket_order, time_bucket, {RATES} FROM pcb GROUP BY 1, 2",
     "conv_filtered": f"SELECT v_order AS bucket_order, views_bucket, {RATES} FROM pcb "
     "WHERE device_type = 'mobile' GROUP BY 1, 2",
-    "conv_cross": f"SELECT views_bucket, time_bucket, {RATES} FROM pcb GROUP BY 1, 2",
+    "conv_cross": f"SELECT v_order AS views_order, views_bucket, t_order AS time_order, "
+    f"time_bucket, {RATES} FROM pcb GROUP BY 1, 2, 3, 4",
     "conv_matrix": _matrix("intent_pct"),
     "conv_matrix_users": _matrix("users"),
     "correlation": _correlation(),
@@ -549,4 +553,52 @@ SELECT coalesce(os_name, 'Unknown') AS os_name, sum(num_events)::BIGINT AS event
 FROM sess GROUP BY sess.os_name ORDER BY sessions DESC, sess.os_name NULLS LAST LIMIT 10""",
     "summary": _summary(),
 }
+# The filtered queries over the other slice.
+ON_CLICKS |= {
+    new: ON_CLICKS[old].replace("sliced", "region")
+    for new, old in {
+        "slice_kpis": "kpi_filtered",
+        "slice_funnel": "funnel_filtered",
+        "slice_patterns": "patterns_filtered",
+    }.items()
+}
+ON_CLICKS |= {
+    "slice_explorer": "SELECT session_id, profile_id, num_events, num_unique_links, "
+    "session_duration_min, utm_source, device_type, had_signup, had_purchase FROM region "
+    "WHERE num_events >= 2 AND had_purchase ORDER BY num_events DESC, session_id LIMIT 200",
+    "slice_conversion": ON_CLICKS["conv_filtered"].replace(
+        "device_type = 'mobile'", "utm_source = 'src1' AND geo_country = 'US'"
+    ),
+    "slice_destinations": ON_CLICKS["top_destinations"].replace(
+        "name = 'view'",
+        "name = 'view' AND utm_source = 'src1' AND geo_country = 'US' "
+        "AND date_local BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'",
+    ),
+    "slice_sources": ON_CLICKS["utm_performance"].replace(
+        "FROM utm GROUP BY", "FROM utm WHERE device_type = 'mobile' GROUP BY"
+    ),
+    "slice_daily_trend": " UNION ALL ".join(
+        f"SELECT date_local AS date, '{s}' AS name, count(*) AS count FROM sess WHERE had_{s} "
+        "AND utm_source = 'src1' AND geo_country = 'US' "
+        "AND date_local BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' GROUP BY 1"
+        for s in STEPS
+    ),
+    "hour_of_day_views_only": ON_CLICKS["hour_of_day"] + " HAVING sum(page_views) > 0",
+    "active_events_everywhere": ON_CLICKS["active_events"].replace(" AND away", ""),
+    "link_dwell_null_link": """
+SELECT coalesce(link, '(none)') AS link, count(*) AS views, count(DISTINCT session_id) AS unique_sessions,
+       count(DISTINCT profile_id) AS unique_users
+FROM dw WHERE valid_us IS NOT NULL AND away GROUP BY 1""",
+    "product_conversion_ordered": """
+, firsts AS (SELECT profile_id, product_id, min(ts) AS seen FROM dw
+             WHERE name = 'view' AND away AND product_id IS NOT NULL AND profile_id IS NOT NULL
+             GROUP BY ALL)
+SELECT v.profile_id, v.product_id, views,
+       EXISTS (SELECT 1 FROM ev e WHERE e.name IN ('signup', 'purchase') AND e.ts > f.seen
+               AND e.profile_id = v.profile_id AND e.product_id = v.product_id) AS intent,
+       EXISTS (SELECT 1 FROM ev e WHERE e.name = 'purchase' AND e.ts > f.seen
+               AND e.profile_id = v.profile_id AND e.product_id = v.product_id) AS booked
+FROM viewed v JOIN firsts f ON f.profile_id = v.profile_id AND f.product_id = v.product_id""",
+    "lookup_sql": "SELECT session_id, num_events, device_type, started_at FROM sess WHERE profile_id = 'u1'",
+}
 ORACLES = PLAIN | {name: PREFIX + sql for name, sql in ON_CLICKS.items()}

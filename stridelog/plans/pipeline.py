@@ -17,7 +17,7 @@ from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths,
 from ..operators import sessions as session_views
 from ..operators.ordering import measured
 from ..sources.readers import read_table
-from ..sources.writers import write_table
+from ..sources.writers import Written, folder_bytes, write_table
 from ..spec import EventSpec
 
 
@@ -45,45 +45,59 @@ def clean_events(
     )
 
 
-def run_clean(raw: DataFrame, spec: EventSpec, folder: str, **options) -> dict[str, int]:
-    """Write the clean events by date, the event dwell table and the link dwell table.
-
-    Returns the rows of each. Files of clean events are sorted by session for the drill-down. The
-    two dwell tables are computed from the written clean events.
+def run_clean(
+    raw: DataFrame,
+    spec: EventSpec,
+    folder: str,
+    mode: str = "overwrite",
+    clean_csv: bool = False,
+    **options,
+) -> dict[str, Written]:
+    """Write the clean events by date, the event dwell table and the link dwell table by views.
+
+    Returns rows and bytes of each. Files of clean events are sorted by session for the drill-down.
+    The two dwell tables are computed from the written clean events. A rerun replaces the tables;
+    `mode="error"` refuses to. `clean_csv` also writes the clean events as CSV.
     """
     spark, folder = raw.sparkSession, folder.rstrip("/")
     day = F.to_date(naive(F.col("create_ts")))
     clean = clean_events(raw, spec, **options).withColumn("date_utc", day)
     session = spec.columns["session_id"]
-    rows = {
-        "events_clean": write_table(
-            clean, f"{folder}/events_clean", partition_by=["date_utc"], sort_by=[session]
-        )
-    }
-    events = cleaning.canonical_events(read_table(spark, f"{folder}/events_clean"), spec)
+    done: dict[str, Written] = {}
+
+    def save(name: str, df: DataFrame, fmt: str, **layout) -> None:
+        rows = write_table(df, f"{folder}/{name}", fmt, mode=mode, **layout)
+        done[name] = Written(rows, folder_bytes(spark, f"{folder}/{name}"))
+
+    save("events_clean", clean, "parquet", partition_by=["date_utc"], sort_by=[session])
+    stored = read_table(spark, f"{folder}/events_clean")
+    if clean_csv:
+        save("events_clean_csv", stored, "csv")
+    events = cleaning.canonical_events(stored, spec)
     spec = measured(events, spec)
-    rows["event_duration"] = write_table(
-        dwell.active_events(events, spec), f"{folder}/event_duration", "csv"
-    )
-    rows["link_duration"] = write_table(
-        dwell.link_dwell(events, spec), f"{folder}/link_duration", "csv"
-    )
-    return rows
+    save("event_duration", dwell.active_events(events, spec), "csv")
+    by_views = dwell.link_dwell(events, spec).orderBy(F.desc("views"), "link")
+    save("link_duration", by_views, "csv")
+    return done
 
 
-def run_aggregates(events: DataFrame, spec: EventSpec, folder: str) -> dict[str, int]:
+def run_aggregates(
+    events: DataFrame, spec: EventSpec, folder: str, mode: str = "overwrite"
+) -> dict[str, Written]:
     """Write the eleven aggregate tables and the filter metadata of a canonical event table.
 
-    Sessions, patterns and conversion pairs are read back for the tables built on them.
+    Sessions, patterns and conversion pairs are read back for the tables built on them. Returns rows
+    and bytes of each. A rerun replaces the tables; `mode="error"` refuses to.
     """
     spark, folder, spec = events.sparkSession, folder.rstrip("/"), measured(events, spec)
-    rows: dict[str, int] = {}
+    done: dict[str, Written] = {}
 
     def save(name: str, df: DataFrame, fmt: str = "parquet") -> DataFrame:
-        rows[name] = write_table(df, f"{folder}/{name}", fmt)
+        rows = write_table(df, f"{folder}/{name}", fmt, mode=mode)
+        done[name] = Written(rows, folder_bytes(spark, f"{folder}/{name}"))
         return spark.read.schema(df.schema).format(fmt).load(f"{folder}/{name}")
 
-    save("meta", profiling.filter_metadata(events, spec), "json")
+    save("meta", profiling.filter_metadata(events), "json")
     save("filter_values", profiling.filter_values(events))
     sessions = save("sessions", session_views.session_rollup(events, spec))
     session_patterns = save("session_pattern", paths.session_pattern(events, spec))
@@ -96,7 +110,7 @@ def run_aggregates(events: DataFrame, spec: EventSpec, folder: str) -> dict[str,
     pairs = save("product_conversion", conversion.product_conversion(events, sessions, spec))
     save("event_duration", dwell.event_dwell(events, spec))
     save("top_products", conversion.top_products(pairs))
-    return rows
+    return done
 
 
 def build_report(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ..spec import FilterSpec
 
 SPEC = CLICKS_SPEC
 SLICE = FilterSpec(device="mobile", date_from=date(2024, 1, 5), date_to=date(2024, 1, 20))
+REGION = FilterSpec(source="src1", country="US", date_from=date(2024, 1, 3), date_to=date(2024, 1, 25))
 KEPT = ("id", "session_id", "name", "page_url", "utm_source", "utm_term", "contact_email")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,97 @@ def session_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return paths.session_pattern(events(spark, folder), SPEC)
 
 
+# ---- one slice by source, country and dates over every view ------------------------------------
+
+
+@query
+def slice_kpis(spark, folder):
+    return session_views.kpis(REGION.apply(sessions(spark, folder)), SPEC)
+
+
+@query
+def slice_funnel(spark, folder):
+    return funnel.funnel_of_sessions(REGION.apply(sessions(spark, folder)), SPEC)
+
+
+@query
+def slice_patterns(spark, folder):
+    found = events(spark, folder)
+    chosen = REGION.apply(session_views.session_rollup(found, SPEC))
+    return paths.patterns(paths.patterns_of(paths.session_pattern(found, SPEC), chosen))
+
+
+@query
+def slice_explorer(spark, folder):
+    rolled = REGION.apply(sessions(spark, folder))
+    return session_views.session_explorer(rolled, SPEC, 2, only_success=True)
+
+
+@query
+def slice_conversion(spark, folder):
+    chosen = conversion.filter_conversion(pairs(spark, folder), REGION.without("date"))
+    return conversion.conversion_by_views(chosen)
+
+
+@query
+def slice_destinations(spark, folder):
+    return breakdowns.top_destinations(events(spark, folder), SPEC, REGION)
+
+
+@query
+def slice_sources(spark, folder):
+    table = breakdowns.utm_sources(sessions(spark, folder), SPEC)
+    return breakdowns.utm_performance(table, SPEC, FilterSpec(device="mobile"))
+
+
+@query
+def slice_daily_trend(spark, folder):
+    cube = funnel.funnel_rollup(sessions(spark, folder), SPEC, date_column="date_local")
+    return funnel.daily_trend(cube, SPEC, REGION)
+
+
+# ---- options of operators -----------------------------------------------------------------------
+
+
+@query
+def hour_of_day_views_only(spark, folder):
+    return breakdowns.hour_of_day(events(spark, folder), SPEC, views_only=True)
+
+
+@query
+def active_events_everywhere(spark, folder):
+    return dwell.active_events(events(spark, folder), SPEC, exclude_home=False)
+
+
+@query
+def link_dwell_null_link(spark, folder):
+    spec = replace(SPEC, null_link="(none)")
+    table = dwell.link_dwell(cleaning.canonical_events(raw(spark, folder), spec), spec)
+    return table.select("link", "views", "unique_sessions", "unique_users")
+
+
+@query
+def product_conversion_ordered(spark, folder):
+    found = events(spark, folder)
+    rolled = session_views.session_rollup(found, SPEC)
+    return conversion.product_conversion(found, rolled, SPEC, ordered_intent=True).select(
+        "profile_id", "product_id", "views", "intent", "booked"
+    )
+
+
+@query
+def lookup_sql(spark, folder):
+    """The drill-down as SQL with a bound parameter over a view on stored Parquet."""
+    path = fresh_path(spark, "lookup-sessions")
+    write_table(sessions(spark, folder), path)
+    read_table(spark, path).createOrReplaceTempView("stride_stored_sessions")
+    return spark.sql(
+        "SELECT session_id, num_events, device_type, started_at FROM stride_stored_sessions "
+        "WHERE profile_id = :profile AND num_events >= :least",
+        args={"profile": "u1", "least": 1},
+    )
+
+
 # ---- sources and sinks --------------------------------------------------------------------------
 
 
@@ -61,7 +154,7 @@ def session_patterns(spark: SparkSession, folder: str) -> DataFrame:
 def src_parquet(spark, folder):
     table = read_table(configure(spark), f"{folder}/events.parquet")
     return table.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("events"), naive(F.max("ts").cast("timestamp")).alias("last_ts")
+        F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts")
     )
 
 
@@ -99,7 +192,7 @@ def sql_smoke(spark, folder):
 
 @query
 def filter_metadata(spark, folder):
-    one = profiling.filter_metadata(events(spark, folder), SPEC)
+    one = profiling.filter_metadata(events(spark, folder))
     lists = {c: F.array_join(c, ",") for c in profiling.FILTER_LISTS}
     return one.withColumns(lists)
 
@@ -165,8 +258,9 @@ def url_extract(spark, folder):
 
 @query
 def local_time(spark, folder):
-    ts = F.col("create_ts_raw")
-    return raw(spark, folder).select(
+    table = raw(spark, folder)
+    ts = parsed_time(table, "create_ts_raw")
+    return table.select(
         "id",
         local_hour(ts, SPEC.utc_offset_hours).alias("hour_local"),
         local_date(ts, SPEC.utc_offset_hours).alias("date_local"),
@@ -290,7 +384,7 @@ def patterns(spark, folder):
 
 @query
 def pattern_search(spark, folder):
-    ranked = paths.ranked_patterns(session_patterns(spark, folder), SPEC)
+    ranked = paths.ranked_patterns(session_patterns(spark, folder))
     return paths.pattern_search(ranked, "SIGNUP > (view|click)")
 
 
@@ -356,7 +450,7 @@ def conv_by_time(spark, folder):
 
 @query
 def conv_filtered(spark, folder):
-    chosen = conversion.filter_conversion(pairs(spark, folder), SLICE)
+    chosen = conversion.filter_conversion(pairs(spark, folder), SLICE.without("date"))
     return conversion.conversion_by_views(chosen)
 
 
@@ -406,7 +500,7 @@ def hour_of_day(spark, folder):
 @query
 def hour_of_day_rate(spark, folder):
     return breakdowns.hour_of_day_rate(
-        breakdowns.hourly_activity(events(spark, folder), SPEC), SLICE
+        breakdowns.hourly_activity(events(spark, folder), SPEC), SLICE.without("device")
     )
 
 
@@ -423,7 +517,7 @@ def top_destinations(spark, folder):
 @query
 def top_destinations_summed(spark, folder):
     return breakdowns.top_destinations_summed(
-        breakdowns.destinations(events(spark, folder), SPEC), SLICE
+        breakdowns.destinations(events(spark, folder), SPEC), SLICE.without("date")
     )
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -16,26 +14,29 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it in `spark.checkpoint.dir`.
+    """The folder all executors see: `spark.checkpoint.dir`, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stridelog_scratch"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under one folder for each Spark application.
 
-    Only a local-mode session without that setting falls back to a folder of this machine.
+    `clear_scratch` removes that folder once the application needs no intermediate tables any more.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
-    return _local_folder()
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="stridelog-")
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stridelog-{spark.sparkContext.applicationId}"
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that were read from them end, too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df, label: str):

@@ -33,7 +33,7 @@ SELECT event_id AS id,
        CASE WHEN user_id % 11 = 0 THEN NULL ELSE concat('city', user_id % 6) END AS geo_city,
        concat('u', user_id, '@mail.example') AS contact_email,
        concat('User ', user_id) AS full_name
-FROM (SELECT event_id, cast(ts AS timestamp) AS ts, user_id, event_type, value,
+FROM (SELECT event_id, ts, user_id, event_type, value,
              cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k
       FROM {events}) b
 """

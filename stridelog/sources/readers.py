@@ -16,10 +16,13 @@ def read_table(
     schema: StructType | str | None = None,
     merge_schema: bool = False,
     base_path: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Parquet or CSV at a path, a list of paths or a glob, local or remote, as one table.
 
     CSV needs a schema: identifiers must not be read as numbers because a sample looked like some.
+    `multi_line` reads CSV whose quoted fields may hold line breaks; such a file is one task, while
+    other CSV files are split.
     """
     reader = spark.read
     if base_path:
@@ -28,7 +31,7 @@ def read_table(
         if schema is None:
             raise ValueError("a CSV source needs an explicit schema")
         # Quotes inside a quoted field are doubled, as RFC 4180 has it.
-        options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+        options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
         return reader.schema(schema).options(**options).csv(path)
     if fmt != "parquet":
         raise ValueError(f"unknown format {fmt!r}: use 'parquet' or 'csv'")

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Written:
+    """A stored table: its rows, and the bytes of its files."""
+
+    rows: int
+    bytes: int
+
+
 def write_table(
     df: DataFrame,
     path: str,

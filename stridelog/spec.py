@@ -6,7 +6,7 @@ home pages, the local-time offset. Operators take ``(DataFrame, EventSpec)`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import date
 
@@ -73,12 +73,6 @@ class Limits:
     # Rows per range partition of the hot sessions, and the most partitions used for them.
     chunk_rows: int = 1_000_000
     max_chunks: int = 20_000
-    # Events per row of an event or link sequence; a longer session gives several rows.
-    part_events: int = 10_000
-    # Distinct values up to which a metadata list is held in one row.
-    list_values: int = 10_000
-    # Rows up to which a positional rank may be computed by one task.
-    rank_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -189,7 +183,8 @@ class FilterSpec:
     """Optional slice of a table by device, source, country and an inclusive date range.
 
     A part applies only where it is set; the dates apply only if both are given, and then reject a
-    null date. `only` restricts the parts, for views that use fewer of them.
+    null date. A table without the column of a part that is set is an error: a part is left out by
+    `without`, never silently.
     """
 
     device: str | None = None
@@ -198,23 +193,26 @@ class FilterSpec:
     date_from: date | None = None
     date_to: date | None = None
 
-    def predicate(self, only: Iterable[str] | None = None, date_column: str = "date_utc") -> Column:
-        parts = {
-            "device": ("device_type", self.device),
-            "source": ("utm_source", self.source),
-            "country": ("geo_country", self.country),
-        }
-        allowed = set(only) if only is not None else {*parts, "date"}
-        keep = F.lit(True)
-        for part, (column, wanted) in parts.items():
-            if part in allowed and wanted is not None:
-                keep = keep & (F.col(column) == F.lit(wanted))
-        if "date" in allowed and self.date_from is not None and self.date_to is not None:
-            day = F.col(date_column)
-            keep = keep & day.isNotNull() & day.between(F.lit(self.date_from), F.lit(self.date_to))
-        return keep
+    def without(self, *parts: str) -> "FilterSpec":
+        """The filter without some of its parts (device, source, country, date)."""
+        names = {"device": ("device",), "source": ("source",), "country": ("country",), "date": ("date_from", "date_to")}
+        return replace(self, **{field: None for part in parts for field in names[part]})
 
-    def apply(
-        self, df: DataFrame, only: Iterable[str] | None = None, date_column: str = "date_utc"
-    ) -> DataFrame:
-        return df.filter(self.predicate(only, date_column))
+    def parts(self, date_column: str = "date_utc") -> dict[str, Column]:
+        """The conditions that are set, by the column each one reads."""
+        wanted = {"device_type": self.device, "utm_source": self.source, "geo_country": self.country}
+        found = {c: F.col(c) == F.lit(value) for c, value in wanted.items() if value is not None}
+        if self.date_from is not None and self.date_to is not None:
+            day = F.col(date_column)
+            found[date_column] = day.isNotNull() & day.between(F.lit(self.date_from), F.lit(self.date_to))
+        return found
+
+    def apply(self, df: DataFrame, date_column: str = "date_utc") -> DataFrame:
+        """The rows of the slice."""
+        parts = self.parts(date_column)
+        missing = sorted(set(parts) - set(df.columns))
+        if missing:
+            raise ValueError(f"the table cannot be filtered by {', '.join(missing)}: it has no such column")
+        for condition in parts.values():
+            df = df.filter(condition)
+        return df

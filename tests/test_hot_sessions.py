@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 from itertools import groupby
 
 import pytest
@@ -101,15 +102,10 @@ def brute_force_names(events):
     return [r["name"] or "None" for r in rows]
 
 
-def test_large_sequence_against_brute_force(events):
-    names = brute_force_names(events)
-    spec = HOT.with_limits(part_events=30)
-    parts = (
-        paths.event_sequence(events, spec).filter("session_id = 'big'").orderBy("part").collect()
-    )
-    assert [p["part"] for p in parts] == list(range(14))
-    assert max(p["items"] for p in parts) == 30
-    assert " > ".join(p["event_sequence"] for p in parts) == " > ".join(names)
+def test_large_sequence_against_brute_force(events, monkeypatch):
+    monkeypatch.setattr(paths, "RUN", 30)
+    row = paths.event_sequence(events, HOT).filter("session_id = 'big'").first()
+    assert row["event_sequence"] == " > ".join(brute_force_names(events)) and row["items"] == 400
 
 
 def test_large_pattern_against_brute_force(events):
@@ -126,15 +122,39 @@ def test_long_paths_share_a_pattern_only_if_equal(events):
         "name", F.when(F.col("id") == 170, F.lit("other")).otherwise(F.col("name"))
     )
     four = big.unionByName(copies[0]).unionByName(copies[1]).unionByName(changed)
-    spec = HOT.with_limits(part_events=30)
-    found = paths.patterns(paths.session_pattern(four, spec)).collect()
+    found = paths.patterns(paths.session_pattern(four, HOT)).collect()
     assert [r["sessions"] for r in found] == [3, 1]
-    assert all("steps, " in r["pattern"] for r in found)
+    assert len(paths.pattern_search(paths.pattern_counts(paths.session_pattern(four, HOT)), "other").collect()) == 1
+
+
+@pytest.mark.parametrize("spec", [SPEC, HOT], ids=["whole", "split"])
+def test_a_very_long_path_is_searched_to_its_end(spark, spec):
+    n = 50_000
+    long = spark.range(n).select(
+        F.col("id"),
+        F.lit("long").alias("session_id"),
+        F.timestamp_seconds(F.col("id")).alias("create_ts"),
+        F.when(F.col("id") == n - 1, "order").when(F.col("id") % 2 == 0, "view").otherwise("search").alias("name"),
+        F.lit("https://a.example/").alias("link"),
+    )
+    patterns = paths.session_pattern(long, spec)
+    row = patterns.first()
+    assert row["steps"] == n and row["pattern"].count(" > ") == n - 1
+    assert paths.pattern_search(paths.pattern_counts(patterns), "search > view > order$").count() == 1
+    assert paths.event_sequence(long, spec).count() == paths.link_sequence(long, spec).count() == 1
+
+
+def test_plain_session_jobs_run_nothing_before_an_action(spark):
+    few = canonical_events(raw_events(spark, {"id": 1, "session_id": "a", "created": at(0), "name": "view"}), SPEC)
+    group = "building"
+    spark.sparkContext.setJobGroup(group, group)
+    paths.patterns(paths.session_pattern(few, replace(SPEC, hot=())))
+    sessions.session_rollup(few, replace(SPEC, hot=()))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
 
 
 def test_all_pattern_ranks_by_ranges(events):
     patterns = paths.session_pattern(events, SPEC)
-    same(
-        paths.ranked_patterns(patterns, SPEC.with_limits(rank_rows=1)),
-        paths.ranked_patterns(patterns, SPEC),
-    )
+    counts = paths.pattern_counts(patterns).orderBy(*paths.pattern_order()).collect()
+    ranked = paths.ranked_patterns(patterns).orderBy("rank").collect()
+    assert [(i + 1, *c) for i, c in enumerate(map(tuple, counts))] == [tuple(r) for r in ranked]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from fixtures import SPEC, at
 from pyspark.sql import functions as F
 
@@ -36,10 +37,10 @@ def table(spark, run, name):
 
 def test_clean_table(spark, run):
     folder, rows, clean, events, _ = run
-    assert rows["events_clean"] == clean.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert rows["events_clean"].rows == clean.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
     assert not set(CLICKS_PII) & set(clean.columns)
     assert {"create_ts", "link", "duration_sec", "date_utc"} <= set(clean.columns)
-    assert rows["event_duration"] > 0 and rows["link_duration"] > 0
+    assert rows["event_duration"].rows > 0 and rows["link_duration"].bytes > 0
     assert folder_bytes(spark, f"{folder}/events_clean") > 0
     measured = clean.filter("duration_sec IS NOT NULL").count()
     sessions = events.filter("session_id IS NOT NULL")
@@ -50,7 +51,7 @@ def test_aggregates_agree_with_each_other(spark, run):
     _, _, _, events, rows = run
     sessions = table(spark, run, "sessions")
     n = sessions.count()
-    assert n == rows["sessions"] == events.select("session_id").distinct().count() - 1  # the null
+    assert n == rows["sessions"].rows == events.select("session_id").distinct().count() - 1  # the null
     total = F.sum("sessions").alias("n")
     for name in ("funnel_rollup", "utm_sources", "device", "patterns"):
         assert table(spark, run, name).agg(total).first()["n"] == n, name
@@ -88,6 +89,30 @@ def test_report_bundle(spark, run, tmp_path):
     assert study == {"per_event_duration": run[3].count(), "events_per_session": sessions.count(), "summary": 10}
 
 
+def test_the_batch_can_be_rerun(spark, run, tmp_path):
+    raw = clicks(spark, FOLDER).drop("create_ts_raw")
+    runs = []
+    for _ in range(2):
+        done = pipeline.run_clean(raw, CLICKS_SPEC, str(tmp_path), keep=raw.columns, pii=CLICKS_PII, clean_csv=True)
+        events = canonical_events(read_table(spark, f"{tmp_path}/events_clean"), CLICKS_SPEC)
+        runs.append({k: w.rows for k, w in (done | pipeline.run_aggregates(events, CLICKS_SPEC, f"{tmp_path}/agg")).items()})
+    assert runs[0] == runs[1] and runs[0]["events_clean_csv"] == runs[0]["events_clean"]
+    with pytest.raises(AnalysisException):
+        pipeline.run_clean(raw, CLICKS_SPEC, str(tmp_path), mode="error", keep=raw.columns, pii=CLICKS_PII)
+    views = [int(r["views"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/link_duration").collect()]
+    assert views == sorted(views, reverse=True)
+
+
+def test_a_csv_file_is_split(spark, tmp_path):
+    spark.range(200_000).select(F.col("id"), F.repeat(F.lit("x"), 50).alias("t")).coalesce(1).write.csv(str(tmp_path / "c"), header=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        table = read_table(spark, str(tmp_path / "c"), "csv", "id long, t string")
+        assert table.rdd.getNumPartitions() > 4 and table.count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_travel_table_keeps_57_columns_and_three_derived(spark):
     schema = ", ".join(f"`{c}` string" for c in cleaning.KEEP_COLUMNS[:40]) + ", extra string"
     values = {c: None for c in cleaning.KEEP_COLUMNS[:40]} | {"extra": "gone"}
@@ -106,7 +131,7 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     rows = [(1, 'a "quoted", one'), (2, "two\nlines"), (3, "back\\slash"), (4, None), (5, "Huế")]
     df = spark.createDataFrame(rows, "id long, t string")
     assert write_table(df, str(tmp_path / "t"), "csv") == 5
-    back = read_table(spark, str(tmp_path / "t"), "csv", "id long, t string")
+    back = read_table(spark, str(tmp_path / "t"), "csv", "id long, t string", multi_line=True)
     assert sorted(map(tuple, back.collect())) == rows
     with pytest.raises(ValueError, match="schema"):
         read_table(spark, str(tmp_path / "t"), "csv")

@@ -127,19 +127,40 @@ def test_local_date_and_utc_date_of_an_evening_event(spark):
 
 def test_all_null_dimension(spark):
     events = events_of(spark, ev("a", 0), ev("b", 0))
-    meta = only(profiling.filter_metadata(events, SPEC))
+    meta = only(profiling.filter_metadata(events))
     assert meta["countries"] == [] and meta["total_sessions"] == 2
     cube = funnel.funnel_rollup(views.session_rollup(events, SPEC), SPEC)
     assert only(cube)["sessions"] == 2
     assert breakdowns.geo(events).count() == 0
 
 
-def test_long_metadata_list_moves_to_the_long_table(spark):
-    events = events_of(spark, *(ev("a", i, utm_source=f"s{i}", device_type="pc") for i in range(5)))
-    spec = SPEC.with_limits(list_values=3)
-    meta = only(profiling.filter_metadata(events, spec))
-    assert meta["utm_sources"] is None and meta["devices"] == ["pc"]
-    assert profiling.filter_values(events).filter("dimension = 'utm_sources'").count() == 5
+def test_a_long_metadata_list_is_whole(spark):
+    events = events_of(spark, ev("a", 0, utm_source="s", device_type="pc"))
+    many = events.crossJoin(spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("other")))
+    many = many.withColumn("utm_source", F.col("other")).drop("other")
+    meta = only(profiling.filter_metadata(many))
+    assert len(meta["utm_sources"]) == 20_000 and meta["devices"] == ["pc"]
+    assert profiling.filter_values(many).filter("dimension = 'utm_sources'").count() == 20_000
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Ho_Chi_Minh", "America/New_York"])
+def test_the_session_zone_decides_nothing(spark, zone):
+    created = [
+        "2024-01-01T20:00:00Z", "2024-03-10 02:30:00", "2024-01-01T20:00:00.123456+07:00", "2024-01-02", "1969-12-31T23:59:59.5Z", "no date",
+    ]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        events = events_of(spark, *({"id": i, "session_id": f"s{i}", "created": c, "name": "view"} for i, c in enumerate(created)))
+        got = records(events.select("id", naive(F.col("create_ts")).cast("string").alias("t"), "hour_local", F.col("date_local").cast("string").alias("d")), "id")
+        rolled = records(views.session_rollup(events, SPEC).select("session_id", F.col("started_at").cast("string").alias("s"), F.col("date_utc").cast("string").alias("d")), "session_id")
+        hours = sorted(map(str, breakdowns.hourly_activity(events, SPEC).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r["t"] for r in got] == [
+        "2024-01-01 20:00:00", "2024-03-10 02:30:00", "2024-01-01 13:00:00.123456", "2024-01-02 00:00:00", "1969-12-31 23:59:59.5", None]
+    assert [(r["hour_local"], r["d"]) for r in got][:2] == [(3, "2024-01-02"), (9, "2024-03-10")]
+    assert [r["d"] for r in rolled] == ["2024-01-01", "2024-03-10", "2024-01-01", "2024-01-02", "1969-12-31", None]
+    assert rolled[0]["s"] == "2024-01-01 20:00:00" and len(hours) == 5
 
 
 # ---- paths --------------------------------------------------------------------------------------
@@ -211,7 +232,11 @@ def test_filter_needs_both_dates_and_rejects_null_dates(spark):
     assert FilterSpec(date_from=date(2024, 1, 1)).apply(table).count() == 3
     both = FilterSpec(date_from=date(2024, 1, 1), date_to=date(2024, 1, 1))
     assert both.apply(table).count() == 1
-    assert both.apply(table, only=("device",)).count() == 3
+    assert both.without("date").apply(table).count() == 3
+    with pytest.raises(ValueError, match="date_utc"):
+        both.apply(table.drop("date_utc"))
+    with pytest.raises(ValueError, match="geo_country"):
+        breakdowns.utm_performance(table.drop("geo_country"), SPEC, FilterSpec(country="VN"))
     assert FilterSpec(device="pc", source="x", country="VN").apply(table).count() == 1
 
 
@@ -328,6 +353,8 @@ def test_duration_labels(spark):
     table = spark.createDataFrame([(None,), (12.34,), (1800.0,), (1801.4,)], "s double")
     got = [r["l"] for r in records(table.select(duration_label(F.col("s"), 1800).alias("l")))]
     assert got == ["— (event cuối / không đo được)", "12.3s", "1800.0s", "1801s (> 30p, outlier)"]
+    over = table.select(duration_label(F.col("s"), 600).alias("l")).filter("l LIKE '%outlier%'")
+    assert {r["l"] for r in records(over)} == {"1800s (> 10p, outlier)", "1801s (> 10p, outlier)"}
 
 
 def test_timeline(spark):
