@@ -15,31 +15,30 @@ from ..spec import EVENT_COLUMNS, REQUIRED_COLUMNS, EventSpec
 
 # The columns of the travel-site table that carry analytic meaning.
 KEEP_COLUMNS = (
-    "id name type hit_name journey_state session_id profile_id "
-    "create insert session_start session_duration "
-    "context_page_url context_page_path context_page_title context_page_referer_host "
-    "hit_url hit_referer "
-    "context_page_ld_category context_page_ld_name context_page_ld_productID context_page_ld_sku "
-    "context_page_ld_offers_price context_page_ld_offers_priceCurrency "
-    "context_page_ld_offers_availability context_page_ld_aggregateRating_ratingValue "
-    "context_page_ld_aggregateRating_reviewCount "
-    "utm_source utm_medium utm_campaign utm_content utm_term "
-    "device_type device_name device_brand device_model device_resolution device_orientation "
-    "os_name os_version app_name app_version "
-    "device_geo_country_code device_geo_country_name device_geo_city "
-    "properties_tour_code properties_tour_name properties_tour_price properties_tourCode "
-    "properties_tourType properties_code properties_name properties_page_code properties_button "
-    "properties_bookingNo properties_bookingAmount properties_paymentType properties_customerNo "
-    "properties_fullName properties_gender "
-    "properties_contactInfo_contactName properties_contactInfo_email "
-    "properties_contactInfo_phoneNumber properties_contactInfo_address properties_contactInfo_note"
-).split()
+    "id", "name", "type", "hit_name", "journey_state", "session_id", "profile_id", "create",
+    "insert", "session_start", "session_duration", "context_page_url", "context_page_path",
+    "context_page_title", "context_page_referer_host", "hit_url", "hit_referer",
+    "context_page_ld_category", "context_page_ld_name", "context_page_ld_productID",
+    "context_page_ld_sku", "context_page_ld_offers_price", "context_page_ld_offers_priceCurrency",
+    "context_page_ld_offers_availability", "context_page_ld_aggregateRating_ratingValue",
+    "context_page_ld_aggregateRating_reviewCount", "utm_source", "utm_medium", "utm_campaign",
+    "utm_content", "utm_term", "device_type", "device_name", "device_brand", "device_model",
+    "device_resolution", "device_orientation", "os_name", "os_version", "app_name", "app_version",
+    "device_geo_country_code", "device_geo_country_name", "device_geo_city",
+    "properties_tour_code", "properties_tour_name", "properties_tour_price",
+    "properties_tourCode", "properties_tourType", "properties_code", "properties_name",
+    "properties_page_code", "properties_button", "properties_bookingNo",
+    "properties_bookingAmount", "properties_paymentType", "properties_customerNo",
+    "properties_fullName", "properties_gender", "properties_contactInfo_contactName",
+    "properties_contactInfo_email", "properties_contactInfo_phoneNumber",
+    "properties_contactInfo_address", "properties_contactInfo_note",
+)
 # The kept columns that identify a person.
 PII_COLUMNS = (
-    "properties_contactInfo_email properties_contactInfo_phoneNumber "
-    "properties_contactInfo_address properties_contactInfo_contactName "
-    "properties_contactInfo_note properties_fullName properties_gender"
-).split()
+    "properties_contactInfo_email", "properties_contactInfo_phoneNumber",
+    "properties_contactInfo_address", "properties_contactInfo_contactName",
+    "properties_contactInfo_note", "properties_fullName", "properties_gender",
+)
 
 
 def missing_columns(df: DataFrame, keep: Iterable[str]) -> list[str]:
@@ -87,12 +86,17 @@ def repair_text(df: DataFrame, columns: Iterable[str] | None = None, passes: int
     return df
 
 
+#: Columns of a clean event table that need not be derived again.
+STORED = {("create_ts", "timestamp"), ("link", "string"), ("date_utc", "date")}
+
+
 def canonical_events(raw: DataFrame, spec: EventSpec) -> DataFrame:
     """The event table under its logical names, with time, link, product and place derived.
 
     Adds create_ts, insert_ts, session_start_ts, link, product_id, destination, hour_local and
-    date_local. Times that do not parse and URLs that do not match give nulls. A source with
-    dwell times also gets dwell_us, and no operator then computes them again.
+    date_local. Times that do not parse and URLs that do not match give nulls. What a clean event
+    table has stored is taken from it: create_ts, link, the partition column date_utc, and dwell times
+    as dwell_us, so that no operator computes them again.
     """
     lost = [c for c in REQUIRED_COLUMNS if spec.columns.get(c) not in raw.columns]
     if lost:
@@ -114,16 +118,20 @@ def canonical_events(raw: DataFrame, spec: EventSpec) -> DataFrame:
         elif kind is not None:
             value = value.cast(kind)
         picked.append(value.alias(logical))
-    events = raw.select(*picked)
+    stored = {f.name for f in raw.schema.fields if (f.name, f.dataType.typeName()) in STORED}
+    stored = stored if {"create_ts", "link"} <= stored else set()
+    events = raw.select(*picked, *(raw[c].alias(f"_{c}") for c in sorted(stored)))
 
     url = F.col("page_url")
-    link = canonical_link(url)
+    link = F.col("_link") if stored else canonical_link(url)
     if spec.null_link is not None:
         link = F.coalesce(link, F.lit(spec.null_link))
-    kept = [c for c in events.columns if c not in ("created", "inserted", "session_start")]
+    gone = {"created", "inserted", "session_start", *(f"_{c}" for c in stored)}
+    kept = [c for c in events.columns if c not in gone]
     events = events.select(
         *kept,
-        parsed_time(events, "created").alias("create_ts"),
+        (F.col("_create_ts") if stored else parsed_time(events, "created")).alias("create_ts"),
+        *([F.col("_date_utc").alias("date_utc")] if "date_utc" in stored else []),
         parsed_time(events, "inserted").alias("insert_ts"),
         parsed_time(events, "session_start").alias("session_start_ts"),
         link.alias("link"),

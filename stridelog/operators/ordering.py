@@ -1,11 +1,12 @@
 """Event order inside a session, for sessions of any size.
 
 A window over `session_id` puts a whole session into one task. That is the right plan until one
-session (a crawler, a default id) holds a good part of the table. `in_order` therefore looks at the
-session sizes first. Sessions over the limit are written once in range partitions over
-(session, time, id), which stay even however the rows are spread because the id breaks every tie,
-and are windowed per (session, partition). Only the edges of those partitions, two rows each, are
-then matched across. Both plans give the same rows.
+session (a crawler, a default id) holds a good part of the table. `measured` looks at the session
+sizes once per table, and operators given its result treat the sessions over the limit apart: these are
+written once in range partitions over (session, time, id), which stay even however the rows are
+spread because the id breaks every tie, and are windowed per (session, partition). Only the edges of
+those partitions, two rows each, are then matched across. Both plans give the same rows, and an
+operator given a spec that was not measured uses the plain one without looking at the data.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..spec import EventSpec
 
 CHUNK = "_chunk"  # range partition of a hot session; null elsewhere
 SALT = "_salt"  # spreads events without a session; null elsewhere
-SALTS = 4096
+SALTS = 1 << 20
 
 
 # Events follow each other by time, unknown times last, the id deciding ties.
@@ -35,37 +36,38 @@ def time_key() -> Column:
     return F.struct(F.col("create_ts").isNull(), F.col("create_ts"), F.col("id"))
 
 
-def hot_sessions(events: DataFrame, spec: EventSpec) -> tuple[tuple[str, int], ...]:
-    """(session, rows) of the sessions too large for one task.
+@dataclass(frozen=True)
+class HotSessions:
+    """The sessions too large for one task: a stored table of their names, their number and rows."""
 
-    A hot session holds more than 1/hot_sessions of all rows, so there are fewer than that many.
-    Reads one column, and only if the table as a whole exceeds the limit.
-    """
-    if spec.hot is not None:
-        return spec.hot
-    limits = spec.limits
-    total = events.count()
-    if total <= limits.hot_session_rows:
-        return ()
-    floor = max(limits.hot_session_rows, total // limits.hot_sessions)
+    names: DataFrame
+    sessions: int
+    rows: int
+
+    #: Up to this many names, or edges of them, are sent to every task.
+    MOST_SENT = 500_000
+
+    def sent(self, narrow: DataFrame) -> DataFrame:
+        return F.broadcast(narrow) if self.sessions <= self.MOST_SENT else narrow
+
+
+def measured(events: DataFrame, spec: EventSpec) -> EventSpec:
+    """The spec with the sessions of over `limits.hot_session_rows` rows, found by one read of one column."""
     sizes = (
         events.filter(F.col("session_id").isNotNull())
         .groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > floor)
+        .filter(F.col("rows") > spec.limits.hot_session_rows)
     )
-    return tuple((r["session_id"], r["rows"]) for r in sizes.collect())
-
-
-def measured(events: DataFrame, spec: EventSpec) -> EventSpec:
-    """The spec with the session sizes looked up once for all operators that follow."""
-    return replace(spec, hot=hot_sessions(events, spec))
+    names = written(sizes, "hot-session-names")
+    found = names.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
+    hot = HotSessions(names.select("session_id"), found["n"], found["rows"]) if found["n"] else None
+    return replace(spec, hot=hot)
 
 
-def split_hot(events: DataFrame, hot: tuple[tuple[str, int], ...]) -> tuple[DataFrame, DataFrame]:
+def split_hot(events: DataFrame, hot: HotSessions) -> tuple[DataFrame, DataFrame]:
     """(the other events, the events of the hot sessions)."""
-    names = events.sparkSession.createDataFrame([(s,) for s, _ in hot], "session_id string")
-    names = F.broadcast(names)  # at most limits.hot_sessions rows
+    names = hot.sent(hot.names)
     return (
         events.join(names, "session_id", "left_anti"),
         events.join(names, "session_id", "left_semi"),
@@ -78,7 +80,7 @@ class Ordered:
 
     frame: DataFrame
     keys: tuple[str, ...]
-    chunked: bool
+    hot: HotSessions | None = None
 
     def where(self, condition: Column) -> "Ordered":
         return replace(self, frame=self.frame.filter(condition))
@@ -96,7 +98,7 @@ class Ordered:
     def _edges(self, columns: tuple[str, ...], pick: Callable) -> DataFrame:
         """One row per (session, partition): its first or last event's columns.
 
-        At most max_chunks + hot_sessions rows.
+        At most as many as there are hot sessions and partitions of them.
         """
         return (
             self.frame.filter(F.col(CHUNK).isNotNull())
@@ -113,12 +115,12 @@ class Ordered:
         near = F.lead if step > 0 else F.lag
         beside = near(F.struct(*names)).over(self.window)
         frame = self.frame.withColumn("_beside", beside)
-        if self.chunked:
+        if self.hot:
             across = Window.partitionBy("session_id").orderBy(CHUNK)
             edges = self._edges(names, F.min_by if step > 0 else F.max_by).select(
                 "session_id", CHUNK, near("_edge").over(across).alias("_across")
             )
-            frame = frame.join(F.broadcast(edges), ["session_id", CHUNK], "left").withColumn(
+            frame = frame.join(self.hot.sent(edges), ["session_id", CHUNK], "left").withColumn(
                 "_beside", F.coalesce("_beside", "_across")
             )
             frame = frame.drop("_across")
@@ -131,7 +133,7 @@ class Ordered:
     def numbered(self, name: str) -> "Ordered":
         """Add the 1-based position of each event among the session's events of this frame."""
         frame = self.frame.withColumn(name, F.row_number().over(self.window).cast("long"))
-        if self.chunked:
+        if self.hot:
             before = (
                 Window.partitionBy("session_id")
                 .orderBy(CHUNK)
@@ -144,7 +146,7 @@ class Ordered:
                 .select("session_id", CHUNK, F.sum("_n").over(before).alias("_offset"))
             )
             frame = (
-                frame.join(F.broadcast(offsets), ["session_id", CHUNK], "left")
+                frame.join(self.hot.sent(offsets), ["session_id", CHUNK], "left")
                 .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
                 .drop("_offset")
             )
@@ -157,8 +159,7 @@ def in_order(events: DataFrame, spec: EventSpec, keep_unknown: bool = False) ->
     Events without a session take no part in any order. They are dropped unless `keep_unknown`, and
     are then spread over many window groups instead of sharing one.
     """
-    limits = spec.limits
-    hot = hot_sessions(events, spec)
+    limits, hot = spec.limits, spec.hot
     keys: tuple[str, ...] = ("session_id",)
     if keep_unknown:
         salt = F.when(F.col("session_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)))
@@ -167,11 +168,11 @@ def in_order(events: DataFrame, spec: EventSpec, keep_unknown: bool = False) ->
     else:
         events = events.filter(F.col("session_id").isNotNull())
     if not hot:
-        return Ordered(events, keys, chunked=False)
+        return Ordered(events, keys)
 
-    chunks = min(limits.max_chunks, ceil(sum(n for _, n in hot) / limits.chunk_rows))
+    chunks = min(limits.max_chunks, ceil(hot.rows / limits.chunk_rows))
     rest, large = split_hot(events, hot)
     ranged = large.repartitionByRange(chunks, F.col("session_id"), *time_order())
     ranged = written(ranged.withColumn(CHUNK, F.spark_partition_id()), "hot-sessions")
     rest = rest.withColumn(CHUNK, F.lit(None).cast("int"))
-    return Ordered(rest.unionByName(ranged), (*keys, CHUNK), chunked=True)
+    return Ordered(rest.unionByName(ranged), (*keys, CHUNK), hot)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, percent
 from ..functions.times import duration_label, elapsed_us, naive, seconds
 from ..spec import EventSpec
-from .ordering import hot_sessions, in_order, split_hot, time_key
+from .ordering import in_order, split_hot, time_key
 
 FIRST_SEEN = (
     "profile_id",
@@ -36,10 +38,9 @@ def session_rollup(events: DataFrame, spec: EventSpec) -> DataFrame:
     the partial results would be wider than the rows. Those of hot sessions are combined first.
     """
     known = events.filter(F.col("session_id").isNotNull())
-    hot = hot_sessions(events, spec)
-    if not hot:
+    if not spec.hot:
         return _rolled(known.repartition("session_id"), spec)
-    rest, large = split_hot(known, hot)
+    rest, large = split_hot(known, spec.hot)
     return _rolled(rest.repartition("session_id"), spec).unionByName(_rolled(large, spec))
 
 
@@ -115,9 +116,14 @@ def session_explorer(
     )
 
 
-def _timed_steps(events: DataFrame, spec: EventSpec, session_id: str | None) -> DataFrame:
+Days = tuple[date, date]
+
+
+def _timed_steps(events: DataFrame, spec: EventSpec, session_id: str | None, days: Days | None) -> DataFrame:
     if session_id is not None:
         events = events.filter(F.col("session_id") == session_id)
+    if days is not None:
+        events = events.filter(F.col("date_utc").between(*days))
     columns = ("id", "session_id", "create_ts", "name", "type", "page_url", "product_name")
     ordered = in_order(events.select(*columns), spec)
     steps = ordered.numbered("step").neighbour({"next_ts": "create_ts"}, 1).plain()
@@ -125,15 +131,17 @@ def _timed_steps(events: DataFrame, spec: EventSpec, session_id: str | None) ->
 
 
 def session_timeline(
-    events: DataFrame, spec: EventSpec, session_id: str | None = None
+    events: DataFrame, spec: EventSpec, session_id: str | None = None, days: Days | None = None
 ) -> DataFrame:
     """The events of one session, or of every session in `events`, step by step.
 
-    The filter on the session reaches the scan. `duration_plot` is 0 where the time is not valid.
+    The filter on the session reaches the scan. `days`, the first and last UTC date of the session as
+    its rollup has them, also leaves out the other dates of a table stored by date; events without a
+    time are then left out. `duration_plot` is 0 where the time is not valid.
     """
     secs = seconds(F.col("us"))
     name = F.coalesce("name", F.lit(spec.null_name))
-    return _timed_steps(events, spec, session_id).select(
+    return _timed_steps(events, spec, session_id, days).select(
         "session_id",
         "step",
         naive(F.col("create_ts")).alias("time"),
@@ -150,10 +158,10 @@ def session_timeline(
 
 
 def session_timeline_totals(
-    events: DataFrame, spec: EventSpec, session_id: str | None = None
+    events: DataFrame, spec: EventSpec, session_id: str | None = None, days: Days | None = None
 ) -> DataFrame:
     """Per session: events, minutes from first to last, and seconds with each gap capped."""
-    steps = _timed_steps(events, spec, session_id)
+    steps = _timed_steps(events, spec, session_id, days)
     capped = F.least(F.col("us"), F.lit(spec.cap_us))
     return (
         steps.groupBy("session_id")

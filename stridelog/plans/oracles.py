@@ -214,8 +214,25 @@ def _profile() -> str:
         "page_url page_title product_name utm_source utm_medium device_type os_name geo_country "
         "geo_city contact_email full_name"
     ).split()
+    meanings = {
+        "id": "number of the event",
+        "session_start": "session: start",
+        "session_duration": "session: duration",
+        "session_id": "session: id",
+        "name": "what happened",
+        "page_url": "page: url",
+        "page_title": "page: title",
+        "product_name": "product: name",
+        "utm_source": "campaign attribution: source",
+        "utm_medium": "campaign attribution: medium",
+        "device_type": "device: type",
+        "os_name": "operating system: name",
+        "geo_country": "place: country",
+        "geo_city": "place: city",
+    }
     return " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS \"column\", '{kinds.get(c, 'string')}' AS dtype, "
+        f"'{meanings.get(c, '(unknown)')}' AS meaning, "
         f"count({c}) AS non_null, count(DISTINCT {c}) AS nunique, "
         f"coalesce(CASE WHEN length(min({c}::VARCHAR)) <= 120 THEN min({c}::VARCHAR) "
         f"ELSE left(min({c}::VARCHAR), 117) || '...' END, '') AS sample FROM clicks"
@@ -336,6 +353,7 @@ def _summary() -> str:
 PLAIN = {
     "src_parquet": "SELECT event_type, count(*) AS events, max(ts) AS last_ts FROM events GROUP BY 1",
     "repair_text": "SELECT doc_id, text FROM documents",
+    "repair_deep_text": "SELECT doc_id, text FROM documents",
     "repair_clean_text": "SELECT doc_id, text, lang FROM documents",
     "canonical_link": "SELECT page_id, split_part(url, '#', 1) AS link, "
     "split_part(split_part(url, '#', 1), '?', 1) AS bare_link FROM pages",

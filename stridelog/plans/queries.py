@@ -9,11 +9,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CP1252_BYTES, CP1252_CHARS
 from ..functions.times import local_date, local_hour, naive, parsed_time
 from ..functions.urls import canonical_link, first_group
 from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
 from ..operators import sessions as session_views
-from ..operators.ordering import measured
 from ..session import configure, fresh_path
 from ..sources.demo import CLICKS_PII, CLICKS_SPEC, clicks
 from ..sources.readers import read_table
@@ -47,8 +47,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    found = events(spark, folder)
-    spec = measured(found, SPEC)
+    found, spec = events(spark, folder), SPEC
     return conversion.product_conversion(found, session_views.session_rollup(found, spec), spec)
 
 
@@ -223,6 +222,24 @@ def repair_text(spark, folder):
     return cleaning.repair_text(documents.select("doc_id", garbled.alias("text")))
 
 
+@query
+def repair_deep_text(spark, folder):
+    """Texts garbled twice, through Windows-1252, or with escaped code points, by their number."""
+    documents = configure(spark).read.parquet(f"{folder}/documents.parquet")
+
+    def misread(text):
+        return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+    once = misread(F.col("text"))
+    kind = F.col("doc_id") % 3
+    garbled = (
+        F.when(kind == 0, misread(once))
+        .when(kind == 1, F.translate(once, CP1252_BYTES, CP1252_CHARS))
+        .otherwise(F.replace(once, F.lit("\u00c3"), F.lit("_x00C3_")))
+    )
+    return cleaning.repair_text(documents.select("doc_id", garbled.alias("text")))
+
+
 @query
 def repair_clean_text(spark, folder):
     documents = configure(spark).read.parquet(f"{folder}/documents.parquet")
@@ -269,7 +286,8 @@ def local_time(spark, folder):
 
 @query
 def column_profile(spark, folder):
-    return profiling.column_profile(raw(spark, folder).drop("create_ts_raw")).drop("meaning")
+    told = {"id": "number of the event", "name": "what happened"}
+    return profiling.column_profile(raw(spark, folder).drop("create_ts_raw"), told)
 
 
 # ---- dwell --------------------------------------------------------------------------------------
@@ -368,7 +386,7 @@ def link_sequence(spark, folder):
 @query
 def journeys(spark, folder):
     found = events(spark, folder)
-    spec = measured(found, SPEC)
+    spec = SPEC
     return paths.journeys(found, session_views.session_rollup(found, spec), spec)
 
 
@@ -397,7 +415,7 @@ def pattern_search_totals(spark, folder):
 @query
 def patterns_filtered(spark, folder):
     found = events(spark, folder)
-    spec = measured(found, SPEC)
+    spec = SPEC
     chosen = SLICE.apply(session_views.session_rollup(found, spec))
     return paths.patterns(paths.patterns_of(paths.session_pattern(found, spec), chosen))
 
@@ -568,7 +586,7 @@ def os_breakdown(spark, folder):
 @query
 def summary(spark, folder):
     found = events(spark, folder)
-    spec = measured(found, SPEC)
+    spec = SPEC
     rolled = session_views.session_rollup(found, spec)
     return profiling.summary(
         found, rolled, conversion.product_conversion(found, rolled, spec), spec

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import date
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,6 @@ class Limits:
 
     # A session with more rows than this is ordered over many partitions.
     hot_session_rows: int = 2_000_000
-    # At most this many sessions can be hot: a hot one also holds over 1/hot_sessions of all rows.
-    hot_sessions: int = 10_000
     # Rows per range partition of the hot sessions, and the most partitions used for them.
     chunk_rows: int = 1_000_000
     max_chunks: int = 20_000
@@ -101,9 +100,8 @@ class EventSpec:
     direct_label: str = "(direct / không UTM)"
     unknown_label: str = "Unknown"
     limits: Limits = field(default_factory=Limits)
-    # (session, rows) of the sessions over the size limit, once `ordering.measured` has looked; None
-    # lets each operator look for itself.
-    hot: tuple[tuple[str, int], ...] | None = None
+    # The sessions over the size limit, once `ordering.measured` has looked; None is the plain plan.
+    hot: Any = None
 
     @property
     def cap_us(self) -> int:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import replace
 from itertools import groupby
 
 import pytest
@@ -12,10 +11,10 @@ from pyspark.sql import functions as F
 
 from stridelog import canonical_events
 from stridelog.operators import conversion, dwell, paths, sessions
-from stridelog.operators.ordering import hot_sessions, in_order
+from stridelog.operators.ordering import in_order, measured
 
 NAMES = ("view", "view", "search", None, "cart", "cart", "cart", "order", "view")
-HOT = SPEC.with_limits(hot_session_rows=60, hot_sessions=100, chunk_rows=25)
+LOW = SPEC.with_limits(hot_session_rows=60, chunk_rows=25)
 
 
 @pytest.fixture(scope="module")
@@ -48,18 +47,23 @@ def events(spark):
     return canonical_events(table, SPEC).persist()
 
 
+@pytest.fixture(scope="module")
+def hot(events):
+    return measured(events, LOW)
+
+
 def same(left, right):
     assert left.columns == right.columns
     assert Counter(map(tuple, left.collect())) == Counter(map(tuple, right.collect()))
 
 
-def test_only_the_large_session_is_hot(events):
-    assert [s for s, _ in hot_sessions(events, HOT)] == ["big"]
-    assert hot_sessions(events, SPEC) == ()
+def test_only_the_large_session_is_hot(events, hot):
+    assert [r["session_id"] for r in hot.hot.names.collect()] == ["big"] and hot.hot.rows == 400
+    assert measured(events, SPEC).hot is None
 
 
-def test_the_large_session_is_spread_evenly(events):
-    ordered = in_order(events, HOT)
+def test_the_large_session_is_spread_evenly(events, hot):
+    ordered = in_order(events, hot)
     sizes = [
         r["count"]
         for r in ordered.frame.filter("_chunk IS NOT NULL").groupBy("_chunk").count().collect()
@@ -83,17 +87,17 @@ def test_the_large_session_is_spread_evenly(events):
     ],
     ids=lambda f: f.__name__,
 )
-def test_same_rows_as_the_plain_plan(events, job):
-    same(job(events, HOT), job(events, SPEC))
+def test_same_rows_as_the_plain_plan(events, hot, job):
+    same(job(events, hot), job(events, SPEC))
 
 
-def test_conversion_is_the_same(events):
+def test_conversion_is_the_same(events, hot):
     def pairs(spec):
         return conversion.product_conversion(
             events, sessions.session_rollup(events, spec), spec
         )
 
-    same(pairs(HOT), pairs(SPEC))
+    same(pairs(hot), pairs(SPEC))
 
 
 def brute_force_names(events):
@@ -102,15 +106,15 @@ def brute_force_names(events):
     return [r["name"] or "None" for r in rows]
 
 
-def test_large_sequence_against_brute_force(events, monkeypatch):
+def test_large_sequence_against_brute_force(events, hot, monkeypatch):
     monkeypatch.setattr(paths, "RUN", 30)
-    row = paths.event_sequence(events, HOT).filter("session_id = 'big'").first()
+    row = paths.event_sequence(events, hot).filter("session_id = 'big'").first()
     assert row["event_sequence"] == " > ".join(brute_force_names(events)) and row["items"] == 400
 
 
-def test_large_pattern_against_brute_force(events):
+def test_large_pattern_against_brute_force(events, hot):
     collapsed = [name for name, _ in groupby(brute_force_names(events))]
-    row = paths.session_pattern(events, HOT).filter("session_id = 'big'").first()
+    row = paths.session_pattern(events, hot).filter("session_id = 'big'").first()
     assert row["pattern"] == " > ".join(collapsed) and row["steps"] == len(collapsed)
 
 
@@ -122,13 +126,14 @@ def test_long_paths_share_a_pattern_only_if_equal(events):
         "name", F.when(F.col("id") == 170, F.lit("other")).otherwise(F.col("name"))
     )
     four = big.unionByName(copies[0]).unionByName(copies[1]).unionByName(changed)
-    found = paths.patterns(paths.session_pattern(four, HOT)).collect()
+    spec = measured(four, LOW)
+    found = paths.patterns(paths.session_pattern(four, spec)).collect()
     assert [r["sessions"] for r in found] == [3, 1]
-    assert len(paths.pattern_search(paths.pattern_counts(paths.session_pattern(four, HOT)), "other").collect()) == 1
+    assert len(paths.pattern_search(paths.pattern_counts(paths.session_pattern(four, spec)), "other").collect()) == 1
 
 
-@pytest.mark.parametrize("spec", [SPEC, HOT], ids=["whole", "split"])
-def test_a_very_long_path_is_searched_to_its_end(spark, spec):
+@pytest.mark.parametrize("split", [False, True])
+def test_a_very_long_path_is_searched_to_its_end(spark, split):
     n = 50_000
     long = spark.range(n).select(
         F.col("id"),
@@ -137,6 +142,8 @@ def test_a_very_long_path_is_searched_to_its_end(spark, spec):
         F.when(F.col("id") == n - 1, "order").when(F.col("id") % 2 == 0, "view").otherwise("search").alias("name"),
         F.lit("https://a.example/").alias("link"),
     )
+    spec = measured(long, SPEC.with_limits(hot_session_rows=1000, chunk_rows=5000)) if split else SPEC
+    assert bool(spec.hot) == split
     patterns = paths.session_pattern(long, spec)
     row = patterns.first()
     assert row["steps"] == n and row["pattern"].count(" > ") == n - 1
@@ -148,8 +155,8 @@ def test_plain_session_jobs_run_nothing_before_an_action(spark):
     few = canonical_events(raw_events(spark, {"id": 1, "session_id": "a", "created": at(0), "name": "view"}), SPEC)
     group = "building"
     spark.sparkContext.setJobGroup(group, group)
-    paths.patterns(paths.session_pattern(few, replace(SPEC, hot=())))
-    sessions.session_rollup(few, replace(SPEC, hot=()))
+    paths.patterns(paths.session_pattern(few, SPEC))
+    sessions.session_rollup(few, SPEC)
     assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
 
 

@@ -6,11 +6,16 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from stridelog import canonical_events
+from stridelog.functions.times import naive
 from stridelog.operators import dwell, funnel, paths, sessions
+from stridelog.plans.pipeline import clean_events
 from stridelog.plans.queries import QUERIES
 from stridelog.session import fresh_path
 from stridelog.sources.demo import CLICKS_SPEC, clicks
+from stridelog.sources.writers import write_table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +67,20 @@ def test_drill_down_filter_reaches_the_scan(events):
 def test_scans_read_only_what_they_need(events):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan_of(funnel.funnel(events, CLICKS_SPEC)))[1]
     assert sorted(c.split(":")[0] for c in schema.split(",")) == ["name", "session_id"]
+
+
+def test_drill_down_reads_only_the_days_of_the_session(spark, events):
+    path = fresh_path(spark, "plan-clean")
+    clean = clean_events(clicks(spark, FOLDER).drop("create_ts_raw"), CLICKS_SPEC, keep=clicks(spark, FOLDER).columns, repair=False)
+    clean = clean.withColumn("date_utc", F.to_date(naive(F.col("create_ts"))))
+    write_table(clean, path, partition_by=["date_utc"], sort_by=["session_id"])
+    stored = canonical_events(spark.read.parquet(path), CLICKS_SPEC)
+    chosen = stored.filter("session_id IS NOT NULL").first()["session_id"]
+    whole = sessions.session_timeline(stored, CLICKS_SPEC, chosen).filter("time IS NOT NULL")
+    day = stored.filter(F.col("session_id") == chosen).agg(F.min("date_utc"), F.max("date_utc")).first()
+    short = sessions.session_timeline(stored, CLICKS_SPEC, chosen, tuple(day))
+    assert sorted(map(str, short.collect())) == sorted(map(str, whole.collect()))
+    plan = plan_of(short)
+    assert re.search(r"PartitionFilters: \[[^\]]*date_utc", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(session_id", plan)
+    assert "try_to_timestamp" not in plan
