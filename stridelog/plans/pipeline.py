@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import naive, parsed_time, seconds
+from ..functions.times import elapsed_us, naive, parsed_time, seconds
 from ..functions.urls import canonical_link
 from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
 from ..operators import sessions as session_views
-from ..operators.ordering import measured
+from ..operators.ordering import measured, time_order
 from ..sources.readers import read_table
 from ..sources.writers import Written, folder_bytes, write_table
 from ..spec import EventSpec
@@ -28,21 +28,50 @@ def clean_events(
     pii: Iterable[str] = cleaning.PII_COLUMNS,
     repair: bool = True,
 ) -> DataFrame:
-    """The kept columns without personal data, repaired, with create_ts, link and duration_sec."""
+    """The kept columns without personal data, repaired, with create_ts, link, duration_sec and date_utc.
+
+    The wide rows move once, into ranges of (date, session): the layout in which they are stored. The
+    successor of a session's last event of a day comes from a narrow table of first times per day; it
+    travels as a row of its own behind that event and is dropped after the ordering. Text is
+    repaired after the move.
+    """
     kept = cleaning.drop_pii(cleaning.project_keep(raw, keep), pii)
-    if repair:
-        kept = cleaning.repair_text(kept)
-    # The kept columns travel as one struct beside the four that the ordering reads.
-    events = kept.select(
-        F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("kept"),
+    times = kept.select(
         kept[spec.columns["id"]].alias("id"),
         kept[spec.columns["session_id"]].alias("session_id"),
         parsed_time(kept, spec.columns["created"]).alias("create_ts"),
-        canonical_link(kept[spec.columns["page_url"]]).alias("link"),
+        F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("kept"),
+    ).withColumn("date_utc", F.to_date(naive(F.col("create_ts"))))
+    days = (
+        times.filter(F.col("session_id").isNotNull() & F.col("date_utc").isNotNull())
+        .groupBy("session_id", "date_utc")
+        .agg(F.min("create_ts").alias("first_ts"))
     )
-    return dwell.with_dwell(events, spec, ["kept", "create_ts", "link"]).select(
-        "kept.*", "create_ts", "link", seconds(F.col("dwell_us")).alias("duration_sec")
+    next_day = F.lead("first_ts").over(Window.partitionBy("session_id").orderBy("date_utc"))
+    markers = days.select(
+        F.lit(None).cast(times.schema["id"].dataType).alias("id"),
+        "session_id",
+        next_day.alias("create_ts"),
+        F.lit(None).cast(times.schema["kept"].dataType).alias("kept"),
+        "date_utc",
+    ).filter(F.col("create_ts").isNotNull())
+    # Events without a session are spread; they have no successor.
+    spread = F.when(F.col("session_id").isNull(), F.xxhash64("id"))
+    keys = ("date_utc", "session_id", "_spread")
+    moved = times.unionByName(markers).withColumn("_spread", spread).repartitionByRange(*keys)
+    order = Window.partitionBy(*keys).orderBy(*time_order())
+    next_ts = F.when(F.col("session_id").isNotNull(), F.lead("create_ts").over(order))
+    timed = moved.withColumn("next_ts", next_ts).filter(F.col("kept").isNotNull())
+    clean = timed.select(
+        "kept.*",
+        F.col("create_ts"),
+        seconds(elapsed_us(F.col("create_ts"), F.col("next_ts"))).alias("duration_sec"),
+        "date_utc",
     )
+    if repair:
+        clean = cleaning.repair_text(clean, kept.columns)
+    link = canonical_link(F.col(f"`{spec.columns['page_url']}`"))
+    return clean.select(*(f"`{c}`" for c in kept.columns), "create_ts", link.alias("link"), "duration_sec", "date_utc")
 
 
 def run_clean(
@@ -60,8 +89,7 @@ def run_clean(
     `mode="error"` refuses to. `clean_csv` also writes the clean events as CSV.
     """
     spark, folder = raw.sparkSession, folder.rstrip("/")
-    day = F.to_date(naive(F.col("create_ts")))
-    clean = clean_events(raw, spec, **options).withColumn("date_utc", day)
+    clean = clean_events(raw, spec, **options)
     session = spec.columns["session_id"]
     done: dict[str, Written] = {}
 
@@ -69,7 +97,8 @@ def run_clean(
         rows = write_table(df, f"{folder}/{name}", fmt, mode=mode, **layout)
         done[name] = Written(rows, folder_bytes(spark, f"{folder}/{name}"))
 
-    save("events_clean", clean, "parquet", partition_by=["date_utc"], sort_by=[session])
+    # The rows are in ranges of (date, session) already.
+    save("events_clean", clean, "parquet", partition_by=["date_utc"], sort_by=[session], rebalance=False)
     stored = read_table(spark, f"{folder}/events_clean")
     if clean_csv:
         save("events_clean_csv", stored, "csv")

@@ -24,17 +24,18 @@ def write_table(
     partition_by: Iterable[str] = (),
     sort_by: Iterable[str] = (),
     mode: str = "error",
+    rebalance: bool = True,
 ) -> int:
     """Write `df` as zstd Parquet, CSV with a header, or JSON, and return the number of rows.
 
-    With `partition_by`, rows are first rebalanced on those columns: a small partition gets one
-    file, and a large one is split over several tasks. `sort_by` orders the rows of each file, so
+    With `partition_by`, rows are first rebalanced on those columns, unless they are laid out already: a
+    small partition gets one file, and a large one is split over several tasks. `sort_by` orders the rows of each file, so
     that a filter on those columns skips most row groups.
     """
     seen = Observation()
     partition_by, sort_by = list(partition_by), list(sort_by)
     df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *(F.col(c) for c in partition_by))
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)

@@ -103,6 +103,22 @@ def test_the_batch_can_be_rerun(spark, run, tmp_path):
     assert views == sorted(views, reverse=True)
 
 
+def test_clean_dwell_times_cross_midnight_and_move_wide_rows_once(spark):
+    raw = clicks(spark, FOLDER).drop("create_ts_raw")
+    # Sessions of two users' whole lives, so that most cross midnight.
+    raw = raw.withColumn("session_id", F.regexp_extract("session_id", "^(s[0-9]+)", 1)).withColumn(
+        "session_id", F.when(F.col("id") % 89 == 0, None).otherwise(F.col("session_id"))
+    )
+    clean = pipeline.clean_events(raw, CLICKS_SPEC, keep=raw.columns, pii=CLICKS_PII)
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["duration_sec"] for r in clean.collect()}
+    fresh = dwell.dwell_events(canonical_events(raw, CLICKS_SPEC), CLICKS_SPEC).collect()
+    assert got == {r["id"]: r["duration_sec"] for r in fresh}
+    assert sum(v is not None for v in got.values()) > 500
+    wide = [line for line in plan.split("\n") if "Exchange" in line and "rangepartitioning" in line]
+    assert len(wide) == 1
+
+
 def test_a_csv_file_is_split(spark, tmp_path):
     spark.range(200_000).select(F.col("id"), F.repeat(F.lit("x"), 50).alias("t")).coalesce(1).write.csv(str(tmp_path / "c"), header=True)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
@@ -122,7 +138,7 @@ def test_travel_table_keeps_57_columns_and_three_derived(spark):
     assert len(cleaning.KEEP_COLUMNS) == 64
     assert len(cleaning.missing_columns(raw, cleaning.KEEP_COLUMNS)) == 24
     clean = pipeline.clean_events(raw, travel_spec("shop.example"))
-    assert len(clean.columns) == 60
+    assert len(clean.columns) == 61  # 57 kept, three derived, and the date it is stored by
     row = clean.first()
     assert row["link"] == "https://shop.example/x" and row["context_page_title"] == "Huế"
 

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelog import canonical_events
-from stridelog.functions.times import naive
 from stridelog.operators import dwell, funnel, paths, sessions
 from stridelog.plans.pipeline import clean_events
 from stridelog.plans.queries import QUERIES
@@ -72,7 +71,6 @@ def test_scans_read_only_what_they_need(events):
 def test_drill_down_reads_only_the_days_of_the_session(spark, events):
     path = fresh_path(spark, "plan-clean")
     clean = clean_events(clicks(spark, FOLDER).drop("create_ts_raw"), CLICKS_SPEC, keep=clicks(spark, FOLDER).columns, repair=False)
-    clean = clean.withColumn("date_utc", F.to_date(naive(F.col("create_ts"))))
     write_table(clean, path, partition_by=["date_utc"], sort_by=["session_id"])
     stored = canonical_events(spark.read.parquet(path), CLICKS_SPEC)
     chosen = stored.filter("session_id IS NOT NULL").first()["session_id"]
