@@ -328,12 +328,12 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     """
     found = jaccard_classes(documents, n, percent)
     found = written(found, "gram-components")
-    going = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("id")).distinct()
-    kept = documents.join(sized(written(going, "gram-going")), documents["doc_id"] == F.col("id"), "left_anti")
+    going = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("llm_id")).distinct()
+    kept = documents.join(sized(written(going, "gram-going")), documents["doc_id"] == F.col("llm_id"), "left_anti")
     twice = found.where((F.col("n_shingles") > 0) & (F.col("component_id") == F.col("doc_id"))).groupBy("doc_id").count().where("count > 1")
-    twice = written(twice.select(F.col("doc_id").alias("id")), "gram-twice")
+    twice = written(twice.select(F.col("doc_id").alias("llm_id")), "gram-twice")
     if twice.isEmpty():
         return kept
-    again = documents["doc_id"] == F.col("id")
+    again = documents["doc_id"] == F.col("llm_id")
     single = kept.join(sized(twice), again, "left_semi").dropDuplicates(["doc_id"])
     return kept.join(sized(twice), again, "left_anti").unionByName(single)

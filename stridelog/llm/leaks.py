@@ -107,7 +107,7 @@ def leaked_windows(documents: DataFrame, benchmark: DataFrame, least: float = 0.
     starts = (
         hits.join(sized(placed), "gram")
         .join(able, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("item_key") == F.col("i")), "left_semi")
-        .select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start"), "n")
+        .select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key"), F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("start"), "n")
         .distinct()
     )
     starts = written(starts, "leak-starts")
@@ -115,7 +115,7 @@ def leaked_windows(documents: DataFrame, benchmark: DataFrame, least: float = 0.
     windows = (
         documents.select("doc_id", "text")
         .transform(lambda d: d.join(sized(starts), same_row(d)))
-        .select("id", "key", "start", "n", F.slice(_words(text_of()), F.col("start") + 1, F.col("n")).alias("words"))
+        .select(F.col("llm_id").alias("id"), F.col("llm_key").alias("key"), "start", "n", F.slice(_words(text_of()), F.col("start") + 1, F.col("n")).alias("words"))
         .distinct()
         .withColumn("mark", fingerprint(F.col("words")))
         .withColumn("grams", F.array_distinct(trigrams(F.col("words"))))
@@ -147,7 +147,7 @@ def leaked_windows(documents: DataFrame, benchmark: DataFrame, least: float = 0.
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows that hold no benchmark item, as they are."""
-    leaks = leaked_windows(documents, benchmark, least).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    leaks = leaked_windows(documents, benchmark, least).select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key")).distinct()
     return documents.join(sized(written(leaks, "leaks")), same_row(documents), "left_anti")
 
 

@@ -134,5 +134,5 @@ def secret_report(documents: DataFrame) -> DataFrame:
 def without_live_secrets(documents: DataFrame, example_owners: int = 3) -> DataFrame:
     """The rows without a live-looking credential; copied examples do no harm and stay."""
     judged = scan(documents, example_owners).where(F.col("n_live") > 0)
-    live = judged.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    live = judged.select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key")).distinct()
     return documents.join(sized(written(live, "live-secrets")), same_row(documents), "left_anti")

@@ -64,6 +64,6 @@ def sized(narrow: DataFrame) -> DataFrame:
 
 
 def same_row(documents: DataFrame) -> Column:
-    """Whether a row of documents is the one named by columns `id` and `key` of the other side."""
+    """Whether a row of documents is the one named by columns `llm_id` and `llm_key` of the other side."""
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    return documents["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("key"))
+    return documents["doc_id"].eqNullSafe(F.col("llm_id")) & (F.xxhash64(text) == F.col("llm_key"))
