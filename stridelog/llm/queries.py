@@ -1,4 +1,7 @@
-"""The registered queries of the operators: each over its whole table, with production parameters."""
+"""The registered queries of the operators: each over its whole table, with production parameters.
+
+The queries without SQL in `oracles.py` are held against brute force by the tests.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelog.llm import chat, jaccard, languages, leaks, licenses, lm, mixing, quality, secrets, toxicity
+from stridelog.llm.oracles import ORACLES as ORACLES
 from stridelog.llm.text import rows_of, table
 
 
@@ -57,6 +61,3 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_windows, op2_ngram_trie_join, op3_benchmark_leaks, op4_license_scan, op5_quality_divergence, op6_language_ppm, op7_fair_queue_mix, op8_attention_scores, op9_secret_ownership, op10_toxic_lexicon)
 }
-
-#: Only what SQL can express; the tests hold the others against brute force.
-ORACLES: dict[str, str] = {}

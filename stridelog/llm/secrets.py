@@ -21,22 +21,23 @@ HEX = r"[0-9a-f]{24,}"
 # Added kinds: key blocks, three-part web tokens, and long values that mix letters of both cases with digits.
 BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 WEB = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}"
+OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 
-#: kind, its rank, pattern, the group that holds the value, least length of that group
+#: kind, its rank, pattern, the group that holds the value, least length of that group, what it must contain
 KINDS = (
-    ("assign", 0, ASSIGN, 2, 6),
-    ("access", 1, ACCESS, 0, 20),
-    ("hex", 2, HEX, 0, 24),
-    ("block", 3, BLOCK, 0, 1),
-    ("web", 4, WEB, 0, 1),
-    ("opaque", 5, OPAQUE, 0, 24),
+    ("assign", 0, ASSIGN, 2, 6, ()),
+    ("access", 1, ACCESS, 0, 20, ()),
+    ("hex", 2, HEX, 0, 24, ()),
+    ("block", 3, BLOCK, 0, 1, ()),
+    ("web", 4, WEB, 0, 1, ()),
+    ("opaque", 5, OPAQUE, 0, 24, MIXED),
 )
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def _matches(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+def _matches(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, holds: tuple[str, ...]) -> Column:
     """Spans of all matches, leftmost first, in code points.
 
     Splitting at the pattern gives the gaps between the matches; what stands before a match is all
@@ -55,6 +56,8 @@ def _matches(text: Column, kind: str, rank: int, pattern: str, group: int, least
             piece.value.alias("value"),
         )
         good = F.coalesce(F.length(piece.value) >= F.lit(least), F.lit(False))
+        for part in holds:
+            good = good & piece.value.rlike(part)
         added = F.when(good, F.concat(done.spans, F.array(span))).otherwise(done.spans)
         return F.struct(F.coalesce(end, start).alias("at"), added.alias("spans"))
 
