@@ -1,16 +1,18 @@
 """N-gram Jaccard join with a prefix tree.
 
 Documents become sets of hashed word n-grams. Equal sets are one class. Links between classes are found
-in three steps, each without loss:
+in steps, each without loss:
 
 1. Signatures. The hash range is cut into more segments than two similar sets of that size can differ in,
-   so they agree on a segment as a whole. Sets without an agreeing partner are done.
-2. Prefixes. The rest is put in one global order, n-grams that stand in many sets last. Two similar
-   sets have a common n-gram among the first few of each. A document goes to the blocks of these n-grams.
-3. Trees. The sets of a block form a prefix tree that is walked by each of them (`trie.py`).
-
-A large block is cut into chunks, each with the block's first set. Sets that are linked to it need no
-further look, as they are in one component; only those that are not meet the other chunks.
+   so they agree on some segments as a whole; how many is known. Sets that have fewer segments in common
+   with any others are done.
+2. Trees. Sets that hang together by signatures form one prefix tree, which each of them walks
+   (`trie.py`), if they fit one.
+3. Prefixes. Larger groups are put in one global order, n-grams that stand in many sets last. Two similar
+   sets have a common n-gram among the first few of each. A document goes to the blocks of these
+   n-grams, and a block is a tree. One too large for a tree is cut into chunks, each with the block's
+   first set. Sets that are linked to it need no further look, as they are in one component; only those
+   that are not meet the other chunks.
 """
 
 from __future__ import annotations
@@ -85,13 +87,17 @@ def apart(both: int, percent: int) -> int:
     return both * (100 - percent) // (100 + percent)
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """One number for each segment's content, for the set's own level and the one before."""
+def signatures(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """One number for each segment's content, for the set's own level and the one before.
+
+    The lowest bit tells the levels apart. Also returned, by that bit, how many of its numbers a set
+    must at least have in common with a set it is linked to; 0 where it takes no part.
+    """
     first, segments = levels(percent)
     n = len(hashes)
     own = int(np.searchsorted(first, n, "right")) - 1
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes ^ U(0x5851F42D4C957F2D)))])
-    out = []
+    out, least = [], [0, 0]
     for level in (own, own - 1):
         if level < 0 or not segments[level]:
             continue
@@ -104,10 +110,14 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
         m = int(segments[level])
         edges = np.searchsorted(((hashes >> U(32)) * U(m)) >> U(32), np.arange(m + 1, dtype=U))
         marks = mixed(sums[edges[1:]] - sums[edges[:-1]] + mixed(np.arange(m, dtype=U) + U(level << 40)))
+        marks = (marks & ~U(1)) | U(level & 1)
         filled = edges[1:] > edges[:-1]
-        # Empty segments tell nothing; they are needed only if the others could all differ.
-        out.append(marks[filled] if filled.sum() > differ else marks)
-    return np.concatenate(out) if out else np.zeros(0, U)
+        # Every n-gram that differs spoils one segment. Empty segments tell nothing; they are needed
+        # only if the others could all be spoiled.
+        spare = int(filled.sum()) - differ
+        out.append(marks[filled] if spare > 0 else marks)
+        least[level & 1] = max(spare, 1)
+    return np.concatenate(out) if out else np.zeros(0, U), least
 
 
 def _array_of(lists: list[np.ndarray]) -> pa.Array:
@@ -122,20 +132,26 @@ def _profiles(documents: DataFrame, n: int, percent: int) -> DataFrame:
     def profiled(batches):
         known, seen = Words(), set()
         for batch in slices(batches):
-            sizes, keys, marks = [], [], []
+            sizes, keys, marks, least = [], [], [], []
             for text in texts(batch):
                 hashes = grams(text, n, known)
                 key = xxhash.xxh64_intdigest(hashes.tobytes())
                 sizes.append(len(hashes))
                 keys.append(key)
-                marks.append(np.zeros(0, U) if key in seen else signatures(hashes, percent))
+                made = (np.zeros(0, U), [0, 0]) if key in seen else signatures(hashes, percent)
+                marks.append(made[0])
+                least.append(made[1])
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(keys, U).view(np.int64)), _array_of(marks)],
-                ["doc_id", "n_shingles", "set_key", "marks"],
-            )
+                [
+                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(keys, U).view(np.int64)),
+                    _array_of(marks), pa.array(least, pa.list_(pa.int32())),
+                ],
+                ["doc_id", "n_shingles", "set_key", "marks", "least"],
+            )
 
-    return _narrow(documents).mapInArrow(profiled, "doc_id long, n_shingles long, set_key long, marks array<long>")
+    schema = "doc_id long, n_shingles long, set_key long, marks array<long>, least array<int>"
+    return _narrow(documents).mapInArrow(profiled, schema)
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
@@ -162,14 +178,24 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"))
     )
     classes = written(classes, "gram-classes")
-    # Node here is the set itself.
-    marks = profiles.where(F.size("marks") > 0).select(F.col("set_key").alias("node"), F.explode("marks").alias("mark"))
+    marks = profiles.where(F.size("marks") > 0).select("set_key", F.explode("marks").alias("mark"))
+    # Both sides of the join read this one exchange.
     dealt = marks.repartition("mark")
-    several = dealt.groupBy("mark").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("mark")
-    open_sets = dealt.join(several, "mark").select(F.col("node").alias("set_key")).distinct()
-    searched = written(classes.join(open_sets, "set_key"), "gram-open")
+    several = dealt.groupBy("mark").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a < b").select("mark")
+    shared = written(dealt.join(several, "mark").distinct(), "gram-marks")
+    least = profiles.where(F.size("marks") > 0).select("set_key", "least", "n_shingles").dropDuplicates(["set_key"])
+    side = F.col("mark").bitwiseAND(1).cast("int")
+    able = (
+        shared.groupBy("set_key", side.alias("side"))
+        .agg(F.count(F.lit(1)).alias("have"))
+        .join(least, "set_key")
+        .where(F.col("have") >= F.get("least", F.col("side")))
+        .select("set_key", F.col("n_shingles").alias("size"))
+        .distinct()
+    )
+    searched = written(classes.join(able, "set_key"), "gram-open")
 
-    links = _links(documents, searched, n, percent)
+    links = _links(documents, searched, shared, n, percent)
     parts = components(links.unionByName(_same_id(profiles, classes)))
     found = classes.join(parts, "node", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component_id"))
     return profiles.join(found, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").select(
@@ -191,15 +217,50 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return sized(wanted).join(_narrow(documents).withColumnRenamed("doc_id", "node"), "node")
 
 
-def _links(documents: DataFrame, searched: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(documents: DataFrame, searched: DataFrame, shared: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes that join all nodes of a component."""
-    spark = documents.sparkSession
-    common = spark.sparkContext.broadcast(_common(_texts_of(documents, searched), n))
+    marks = shared.join(searched, "set_key").select("mark", "node")
+    # What hangs together by signatures is one unit if it fits a tree, so each of its texts is sent once.
+    whole = components(_shared(marks, "mark", "gram-pairs").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    whole = written(whole.join(searched, "node"), "gram-groups")
+    totals = whole.groupBy("component").agg(((F.sum("size") <= CHUNK_GRAMS) & (F.count(F.lit(1)) <= CHUNK_SETS)).alias("fits"))
+    whole = whole.join(totals, "component")
+    fitting = whole.where("fits").select(F.col("component").alias("pivot"), "node", "size", F.lit(1).alias("chunks"), F.lit(0).alias("chunk"))
+    members = written(fitting.unionByName(_blocks(documents, whole.where(~F.col("fits")), n, percent)), "gram-members")
+    # The pivot is in every chunk of its block.
+    pivots = members.where("chunks > 1 AND node = pivot").select("pivot", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    first = members.select("pivot", "chunk", "node").unionByName(pivots.select("pivot", "chunk", "node")).distinct()
+    joined = written(_trees(documents, searched, first.withColumn("piece", F.lit(0)), n, percent), "gram-links")
+
+    # Sets of cut blocks that are not linked to the pivot meet all chunks.
+    apart_ = (
+        joined.select("pivot", "node", "with_pivot").groupBy("pivot", "node").agg(F.max("with_pivot").alias("with_pivot"))
+        .where(~F.col("with_pivot"))
+        .join(members.where("chunks > 1"), ["pivot", "node"])
+    )
+    pieces = apart_.groupBy("pivot").agg(
+        F.greatest(F.ceil(F.sum("size") / CHUNK_GRAMS), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).cast("int").alias("pieces")
+    )
+    apart_ = apart_.join(pieces, "pivot").select(
+        "pivot", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int").alias("piece")
+    )
+    others = members.join(pieces, "pivot").select("pivot", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    second = apart_.unionByName(others.select("pivot", "node", "chunk", "piece")).distinct()
+    rest = _trees(documents, searched, second, n, percent)
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select(F.col("node").alias("a"), F.col("root").alias("b"))).where("a != b")
+
+
+def _blocks(documents: DataFrame, searched: DataFrame, n: int, percent: int) -> DataFrame:
+    """Members of prefix blocks (pivot, node, size, chunks, chunk), a large block in chunks by the hash of the node."""
+    wanted = written(searched.select("node", "set_key", "size"), "gram-large")
+    if wanted.isEmpty():
+        return wanted.select(F.col("node").alias("pivot"), "node", "size", F.lit(1).alias("chunks"), F.lit(0).alias("chunk"))
+    common = documents.sparkSession.sparkContext.broadcast(_common(_texts_of(documents, wanted), n))
 
     def beginnings(batches):
         known, (names, counts) = Words(), common.value
         for batch in slices(batches):
-            sizes, firsts, right = [], [], []
+            firsts, right = [], []
             for text, key in zip(texts(batch), batch.column("set_key").to_numpy(), strict=True):
                 hashes = grams(text, n, known)
                 right.append(U(xxhash.xxh64_intdigest(hashes.tobytes())) == key.astype(np.int64).view(U))
@@ -210,49 +271,19 @@ def _links(documents: DataFrame, searched: DataFrame, n: int, percent: int) -> D
                     often = np.where(names[at] == hashes, counts[at], 0)
                 # The least overlap with any linked set is percent of this one.
                 length = size - -(-percent * size // 100) + 1
-                sizes.append(size)
                 firsts.append(hashes[np.lexsort((hashes, often))[:length]])
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("set_key"), pa.array(sizes, pa.int64()), _array_of(firsts)], ["node", "set_key", "size", "firsts"]
-            )
+            out = pa.RecordBatch.from_arrays([batch.column("node"), _array_of(firsts)], ["node", "firsts"])
             yield out.filter(pa.array(right, pa.bool_()))
 
-    schema = "node long, set_key long, size long, firsts array<long>"
-    starts = _texts_of(documents, searched).mapInArrow(beginnings, schema)
-    starts = written(starts, "gram-starts")
+    starts = _texts_of(documents, wanted).mapInArrow(beginnings, "node long, firsts array<long>")
     blocks = _shared(starts.select("node", F.explode("firsts").alias("gram")), "gram", "gram-blocks")
-
-    sizes = starts.groupBy("node").agg(F.max("size").alias("size"))
-    # The sets of a block, in chunks by the hash of the node.
-    members = blocks.join(sizes, "node")
+    members = blocks.join(wanted.groupBy("node").agg(F.max("size").alias("size")), "node")
     chunks = members.groupBy("pivot").agg(
         F.greatest(F.ceil(F.sum("size") / CHUNK_GRAMS), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).cast("int").alias("chunks")
     )
-    members = written(
-        members.join(chunks, "pivot").select("pivot", "node", "size", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")),
-        "gram-members",
+    return members.join(chunks, "pivot").select(
+        "pivot", "node", "size", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
     )
-    # The pivot is in every chunk of its block.
-    pivots = members.where("chunks > 1 AND node = pivot").select("pivot", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    first = members.select("pivot", "chunk", "node").unionByName(pivots.select("pivot", "chunk", "node")).distinct()
-    joined = written(_trees(documents, searched, first.withColumn("piece", F.lit(0)), n, percent), "gram-links")
-
-    # Sets of cut blocks that are not linked to the pivot meet all chunks.
-    apart_ = (
-        joined.select("pivot", "node", "with_pivot").groupBy("pivot", "node").agg(F.max("with_pivot").alias("with_pivot"))
-        .where(~F.col("with_pivot"))
-        .join(members.where("chunks > 1"), ["pivot", "node"])
-    )
-    pieces = apart_.groupBy("pivot").agg(
-        F.greatest(F.ceil(F.sum("size") / CHUNK_GRAMS), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).cast("int").alias("pieces")
-    )
-    apart_ = apart_.join(pieces, "pivot").select(
-        "pivot", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int").alias("piece")
-    )
-    others = members.join(pieces, "pivot").select("pivot", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    second = apart_.unionByName(others.select("pivot", "node", "chunk", "piece")).distinct()
-    rest = _trees(documents, searched, second, n, percent)
-    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select(F.col("node").alias("a"), F.col("root").alias("b"))).where("a != b")
 
 
 def _common(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
