@@ -6,7 +6,7 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
-from fixtures import SPEC, at
+from fixtures import at
 from pyspark.sql import functions as F
 
 from stridelog import canonical_events
