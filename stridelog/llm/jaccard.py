@@ -308,8 +308,11 @@ def _common(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         yield out()
 
     sums = rows.mapInArrow(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-    # A bounded list; which n-grams it has changes the work, not the result.
-    top = sums.where("times >= 8").orderBy(F.desc("times"), "gram").limit(COMMON_GRAMS).toPandas().sort_values("times")
+    sums = written(sums.where("times >= 8"), "gram-common")
+    total = sums.agg(F.sum("times").alias("n")).first()["n"] or 0
+    # Those with a share of at least 1 / COMMON_GRAMS are at most so many. Which n-grams the list has
+    # changes the work, not the result.
+    top = sums.where(F.col("times") * COMMON_GRAMS >= total).toPandas()
     names, counts = top["gram"].to_numpy(np.int64).view(U), top["times"].to_numpy(np.int64)
     order = np.argsort(names)
     return names[order], counts[order]

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stridelog.llm import chat, jaccard, languages, leaks, licenses, lm, mixing, quality, secrets, toxicity
 from stridelog.llm.oracles import ORACLES as ORACLES

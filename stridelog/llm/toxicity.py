@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
-from math import exp, log, log1p
+from math import exp, log1p
 
 import ahocorasick
 import numpy as np
