@@ -35,7 +35,11 @@ def _scratch(spark: SparkSession) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application; results that were read from them end, too."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    remove(spark, _scratch(spark))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

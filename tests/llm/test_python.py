@@ -229,6 +229,43 @@ def test_lm_gradients():
         assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[name][place], rel=1e-3)
 
 
+def test_lm_learns_from_all_windows(spark):
+    """Ten long texts: no sample of texts would have any; in many shards, whatever the partitions, and better than untrained."""
+    random = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'red green blue one two three four'.split()[j % 7]}" for j in range(int(random.integers(0, 7)), 6000))) for i in range(1, 21)]
+    rows += [(None, None), (1, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    counts = lm.word_counts(docs).cache()
+    ids = lm._id_counts(counts, lm.TOKENIZER)
+    start = lm.untrained(ids, len(ids) - 1)
+    subwords = lm.Subwords(lm.TOKENIZER)
+    teach = [(i, (t or "").encode().split()) for i, t in rows if not held(i, 10, 0)]
+    _, lengths, _, _ = subwords.sequence([t for _, t in teach])
+    stored = lm._windows(docs, start, lm.TOKENIZER, 4, 5).collect()
+    size = lm._stored(start).itemsize * (lm.SPAN + 1)
+    assert sum(len(r.windows) for r in stored) == size * len(start.windows(lengths)[0])
+    assert {(r.round, r.shard) for r in stored} == {(i, j) for i in range(4) for j in range(5)}
+    tests = [(t or "").encode().split() for i, t in rows if held(i, 10, 0)]
+    assert tests
+    told, lengths, _, _ = subwords.sequence(tests)
+    before = start.logprobs(told, lengths)
+    models = [lm.learn(d, counts, 1, lm.TOKENIZER, shard_windows=300, rounds=4) for d in (docs, docs.repartition(7))]
+    assert (models[0].logprobs(told, lengths) > before * 0.5).all()
+    assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in models[0].weights)
+
+
+def test_lm_held_out_beats_untrained(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    scored = lm.language_model_scores(docs).where("held_out").agg({"score": "sum"}).first()[0]
+    counts = lm.word_counts(docs).cache()
+    ids = lm._id_counts(counts, lm.TOKENIZER)
+    start, subwords = lm.untrained(ids, len(ids) - 1), lm.Subwords(lm.TOKENIZER)
+    told, lengths, _, _ = subwords.sequence([(r.text or "").encode().lower().split() for r in docs.where(lm.held_out()).collect()])
+    before = start.logprobs(told, lengths).sum()
+    print(f"held-out log10 of {len(told)} subwords: untrained {before:.0f}, trained {scored:.0f}")
+    assert scored > before
+
+
 # decontamination -------------------------------------------------------------------------------
 
 ITEM = "It was a bright cold day in April and the clocks were striking thirteen when Winston slipped quickly through the glass doors of the mansions"
