@@ -74,7 +74,8 @@ def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """
     first, segments = [1], []
     while first[-1] < 1 << 40:
-        first.append(max(first[-1] + 1, -(-first[-1] * 3 // 2)))
+        # At least 100 / percent times as wide.
+        first.append(max(first[-1] + 1, -(-first[-1] * max(3 * percent, 200) // (2 * percent))))
         small = first[-1] - 1
         differ = apart(small + small * 100 // percent, percent)
         # Some more than needed, so that enough of them are not empty.

@@ -125,6 +125,26 @@ def test_signatures_lose_no_pair():
                 assert any(c and need_a[k] and need_b[k] and c >= max(need_a[k], need_b[k]) for k, c in enumerate(sides))
 
 
+def test_signatures_of_sizes_that_differ_by_the_full_ratio(spark):
+    """One set inside the other, as large as a link allows, at every size."""
+    random_ = np.random.default_rng(8)
+    for percent in (34, 50, 60, 66, 67, 80, 90):
+        for size in range(1, 160):
+            b = np.unique(random_.integers(0, 1 << 63, size * 100 // percent).astype(np.uint64))
+            a = b[np.sort(random_.permutation(len(b))[:size])]
+            if len(a) < len(b):
+                (left, need_a), (right, need_b) = jaccard.signatures(a, percent), jaccard.signatures(b, percent)
+                common = np.intersect1d(left, right) & np.uint64(1)
+                sides = [int((common == side).sum()) for side in (0, 1)]
+                assert any(c and need_a[k] and need_b[k] and c >= max(need_a[k], need_b[k]) for k, c in enumerate(sides)), (percent, size)
+    rows = []
+    for i, (small, large) in enumerate([(11, 18), (3, 5), (30, 50), (60, 100), (7, 11)]):
+        words = [f"g{i}w{k}" for k in range(large + 1)]
+        rows += [(2 * i, " ".join(words[: small + 1])), (2 * i + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(jaccard.jaccard_classes(docs, 2, 60)) == brute(rows, 2, 60)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 300)] + [(7, 3), (9, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
