@@ -32,7 +32,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = _star(large).select(F.col("u").alias("w"), "low")
         small = large.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = written(_clean(small.unionByName(low.select(F.col("w").alias("u"), F.col("low").alias("v")))), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum("u"), F.countDistinct("v")).first()
+        now = edges.agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("decimal(20,0)")) for c in ("v", "u")), F.countDistinct("v")).first()
         if now == state:
             break
         state = now

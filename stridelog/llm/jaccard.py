@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stridelog.llm.batches import mixed, slices, texts
 from stridelog.llm.components import components
-from stridelog.llm.text import sized
+from stridelog.llm.text import same_row, sized, text_of
 from stridelog.llm.trie import linked_groups
 from stridelog.session import written
 
@@ -128,7 +128,7 @@ def _array_of(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _profiles(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key and the signatures; a set repeated within a task has them once."""
+    """doc_id, text_key, n_shingles, set_key and the signatures; a set repeated within a task has them once."""
 
     def profiled(batches):
         known, seen = Words(), set()
@@ -145,18 +145,18 @@ def _profiles(documents: DataFrame, n: int, percent: int) -> DataFrame:
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(keys, U).view(np.int64)),
+                    batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(np.array(keys, U).view(np.int64)),
                     _array_of(marks), pa.array(least, pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "set_key", "marks", "least"],
+                ["doc_id", "text_key", "n_shingles", "set_key", "marks", "least"],
             )
 
-    schema = "doc_id long, n_shingles long, set_key long, marks array<long>, least array<int>"
+    schema = "doc_id long, text_key long, n_shingles long, set_key long, marks array<long>, least array<int>"
     return _narrow(documents).mapInArrow(profiled, schema)
 
 
 def _narrow(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
 def _shared(postings: DataFrame, what: str, label: str) -> DataFrame:
@@ -174,10 +174,28 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     hashes. Rows without words have no set and are linked with nothing; rows with a null doc_id are
     not linked and have no component. Rows with one doc_id are one node. Other columns are not read.
     """
+    profiles, classes, links = _joined(documents, n, percent)
+    parts = components(links.unionByName(_same_id(profiles)))
+    named = classes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    named = written(named, "gram-parts")
+    least = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    found = named.join(least, "component").select(F.col("node").alias("k"), "component_id")
+    return profiles.join(found, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").select(
+        "doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The profiles, the classes (node, first) and links (a, b) between them.
+
+    A node is the key of a set, so texts that share a doc_id are different nodes; `first` is the least row
+    (doc_id, text_key) that has the set.
+    """
     profiles = written(_profiles(documents, n, percent), "gram-profiles")
     classes = (
-        profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    )
+        profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+        .groupBy(F.col("set_key").alias("node")).agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    )
     classes = written(classes, "gram-classes")
     marks = profiles.where(F.size("marks") > 0).select("set_key", F.explode("marks").alias("mark"))
     # Both sides of the join read this one exchange.
@@ -194,33 +212,26 @@ def jaccard_classes(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         .select("set_key", F.col("n_shingles").alias("size"))
         .distinct()
     )
-    searched = written(classes.join(able, "set_key"), "gram-open")
-
-    links = _links(documents, searched, shared, n, percent)
-    parts = components(links.unionByName(_same_id(profiles, classes)))
-    found = classes.join(parts, "node", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("component_id"))
-    return profiles.join(found, (F.col("set_key") == F.col("k")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").select(
-        "doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    searched = written(classes.join(able.withColumnRenamed("set_key", "node"), "node"), "gram-open")
+    return profiles, classes, _links(documents, searched, shared, n, percent)
 
 
-def _same_id(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_id(profiles: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a doc_id."""
-    rows = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "set_key").distinct()
-    ids = rows.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
-    named = rows.join(ids, "doc_id").join(classes, "set_key")
-    least = named.groupBy("doc_id").agg(F.min("node").alias("b"))
-    return named.join(least, "doc_id").select(F.col("node").alias("a"), "b")
+    rows = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("set_key").alias("node")).distinct()
+    least = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high").select("doc_id", "b")
+    return rows.join(least, "doc_id").select(F.col("node").alias("a"), "b")
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `wanted` (node, set_key, ...) with the text of document `node`."""
-    return sized(wanted).join(_narrow(documents).withColumnRenamed("doc_id", "node"), "node")
+    """Rows of `wanted` (node, first, ...) with the text of row `first`, as often as that row is repeated."""
+    wanted = wanted.select("*", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")).drop("first")
+    return sized(wanted).join(_narrow(documents), ["doc_id", "text_key"])
 
 
 def _links(documents: DataFrame, searched: DataFrame, shared: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between nodes that join all nodes of a component."""
-    marks = shared.join(searched, "set_key").select("mark", "node")
+    marks = shared.withColumnRenamed("set_key", "node").join(searched, "node").select("mark", "node")
     # What hangs together by signatures is one unit if it fits a tree, so each of its texts is sent once.
     whole = components(_shared(marks, "mark", "gram-pairs").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     whole = written(whole.join(searched, "node"), "gram-groups")
@@ -253,7 +264,7 @@ def _links(documents: DataFrame, searched: DataFrame, shared: DataFrame, n: int,
 
 def _blocks(documents: DataFrame, searched: DataFrame, n: int, percent: int) -> DataFrame:
     """Members of prefix blocks (pivot, node, size, chunks, chunk), a large block in chunks by the hash of the node."""
-    wanted = written(searched.select("node", "set_key", "size"), "gram-large")
+    wanted = written(searched.select("node", "first", "size"), "gram-large")
     if wanted.isEmpty():
         return wanted.select(F.col("node").alias("pivot"), "node", "size", F.lit(1).alias("chunks"), F.lit(0).alias("chunk"))
     common = documents.sparkSession.sparkContext.broadcast(_common(_texts_of(documents, wanted), n))
@@ -261,10 +272,9 @@ def _blocks(documents: DataFrame, searched: DataFrame, n: int, percent: int) ->
     def beginnings(batches):
         known, (names, counts) = Words(), common.value
         for batch in slices(batches):
-            firsts, right = [], []
-            for text, key in zip(texts(batch), batch.column("set_key").to_numpy(), strict=True):
+            firsts = []
+            for text in texts(batch):
                 hashes = grams(text, n, known)
-                right.append(U(xxhash.xxh64_intdigest(hashes.tobytes())) == key.astype(np.int64).view(U))
                 size = len(hashes)
                 often = np.zeros(size, np.int64)
                 if len(names):
@@ -273,8 +283,7 @@ def _blocks(documents: DataFrame, searched: DataFrame, n: int, percent: int) ->
                 # The least overlap with any linked set is percent of this one.
                 length = size - -(-percent * size // 100) + 1
                 firsts.append(hashes[np.lexsort((hashes, often))[:length]])
-            out = pa.RecordBatch.from_arrays([batch.column("node"), _array_of(firsts)], ["node", "firsts"])
-            yield out.filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _array_of(firsts)], ["node", "firsts"])
 
     starts = _texts_of(documents, wanted).mapInArrow(beginnings, "node long, firsts array<long>")
     blocks = _shared(starts.select("node", F.explode("firsts").alias("gram")), "gram", "gram-blocks")
@@ -322,7 +331,7 @@ def _common(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _trees(documents: DataFrame, searched: DataFrame, units: DataFrame, n: int, percent: int) -> DataFrame:
     """pivot, node, root, with_pivot: nodes of each unit (pivot, chunk, piece) with the least node of their group."""
     unit = ["pivot", "chunk", "piece"]
-    rows = _texts_of(documents, searched.select("node", "set_key").join(units, "node"))
+    rows = _texts_of(documents, searched.select("node", "first").join(units, "node"))
     rows = rows.repartition(*unit).sortWithinPartitions(*unit, "node").select(*unit, "node", "text")
 
     def walked(batches):
@@ -348,6 +357,8 @@ def _trees(documents: DataFrame, searched: DataFrame, units: DataFrame, n: int,
                     if nodes:
                         yield out()
                     at, nodes, sets = place, [], []
+                elif nodes[-1] == node:
+                    continue  # the row is repeated
                 nodes.append(node)
                 sets.append(grams(text, n, known))
         if nodes:
@@ -357,18 +368,26 @@ def _trees(documents: DataFrame, searched: DataFrame, units: DataFrame, n: int,
 
 
 def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of which no other row of the same component has a smaller doc_id; repeated doc_ids once.
+    """Of the rows that links join, the least by (doc_id, set, text); rows are told by doc_id and text.
 
-    Rows without words or without a doc_id stay.
+    Only sets link here: other texts under the same doc_id stay. Of rows repeated as a whole the
+    least by all columns that have an order stays. Rows without words or without a doc_id stay.
     """
-    found = jaccard_classes(documents, n, percent)
-    found = written(found, "gram-components")
-    going = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("llm_id")).distinct()
-    kept = documents.join(sized(written(going, "gram-going")), documents["doc_id"] == F.col("llm_id"), "left_anti")
-    twice = found.where((F.col("n_shingles") > 0) & (F.col("component_id") == F.col("doc_id"))).groupBy("doc_id").count().where("count > 1")
-    twice = written(twice.select(F.col("doc_id").alias("llm_id")), "gram-twice")
+    profiles, classes, links = _joined(documents, n, percent)
+    parts = classes.join(components(links), "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component", "node").alias("component"))
+    found = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).join(parts, "set_key").select("component", F.struct("doc_id", "set_key", "text_key").alias("row"))
+    found = written(found.groupBy("component", "row").agg(F.count(F.lit(1)).alias("times")), "gram-components")
+    first = written(found.groupBy("component").agg(F.min("row").alias("first")), "gram-first")
+    named = [F.col("row.doc_id").alias("llm_id"), F.col("row.text_key").alias("llm_key")]
+    judged = found.join(first, "component")
+    going = written(judged.where("row != first").select(*named), "gram-going")
+    kept = documents.join(sized(going), same_row(documents), "left_anti")
+    twice = written(judged.where("row = first AND times > 1").select(*named), "gram-twice")
     if twice.isEmpty():
         return kept
-    again = documents["doc_id"] == F.col("llm_id")
-    single = kept.join(sized(twice), again, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sized(twice), again, "left_anti").unionByName(single)
+    names = [f"`{c}`" for c in documents.columns]
+    sortable = [f"`{f.name}`" for f in documents.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    again = kept.join(sized(twice), same_row(documents), "left_semi")
+    whole, order = F.struct(*names), F.struct(*sortable)
+    single = again.groupBy(F.col("doc_id").alias("llm_id"), F.xxhash64(text_of()).alias("llm_key")).agg(F.min_by(whole, order).alias("llm_row")).select("llm_row.*")
+    return kept.join(sized(twice), same_row(documents), "left_anti").unionByName(single)

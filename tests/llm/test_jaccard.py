@@ -90,6 +90,24 @@ def test_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in jaccard.one_of_each(df).collect()) == ["1", "2", "4", "5", "6", "None"]
 
 
+def test_one_of_each_tells_rows_by_text(spark):
+    """A third of all rows under one doc_id: only near copies go, the other texts of the id stay."""
+    rnd = random.Random(9)
+    base = [[f"t{i}w{rnd.randrange(1000)}" for _ in range(60)] for i in range(12)]
+    near = [[*b[:59], "changed"] for b in base]
+    rows = [(i, " ".join(b), "x") for i, b in enumerate(base)] + [(99, " ".join(b), "x") for b in near[:6]]
+    clean = [(99, " ".join(f"c{i}w{k}" for k in range(40)), "x") for i in range(5)]
+    close = [(98, " ".join([*(f"d{k}" for k in range(59)), end]), "x") for end in ("one", "two", "three")]
+    repeated = [(97, "only this one text here", s) for s in "cab"]
+    rows += clean + close + repeated
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = [sorted(map(tuple, jaccard.one_of_each(d).collect())) for d in (docs, docs.repartition(2))]
+    assert got[0] == got[1]
+    left = [r for r in got[0] if r[0] == 98]
+    assert len(left) == 1 and left[0] in close
+    assert [r for r in got[0] if r[0] != 98] == sorted([*rows[:12], *clean, (97, "only this one text here", "a")])
+
+
 def test_trie_against_all_pairs():
     random_ = np.random.default_rng(3)
     for percent in (50, 80, 90):
