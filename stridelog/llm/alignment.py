@@ -19,6 +19,7 @@ import hashlib
 import os
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,11 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         visible = _byte_letters()
-        self.bytes_a = {i: bytes(visible[c] for c in token) if all(c in visible for c in token) else token.encode() for token, i in self.a.get_vocab().items()}
+        names = [self.a.id_to_token(i) or "" for i in range(1 + max(self.a.get_vocab().values()))]
+        self.bytes_a = [bytes(visible[c] for c in token) if all(c in visible for c in token) else token.encode() for token in names]
         ids = range(self.b.get_piece_size())
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
+        self.lengths = [np.array([len(table[i]) for i in range(len(table))]) for table in (self.bytes_a, self.bytes_b)]
         # Cutting before a blank is only right if no piece has one after another character.
         self.cuts = not any(" " in piece.lstrip(b" ").decode("utf-8", "replace") for piece in self.bytes_b)
         self.clear()
@@ -73,8 +76,8 @@ class Aligner:
         self.done = 0
         #: Per stretch: whether both give its bytes, numbers of A and B tokens, groups and links, the groups as text.
         self.whole, self.sizes, self.groups = array("b"), array("q"), []
-        #: Pairs of all stretches one after the other, how often each, and where a stretch begins.
-        self.pairs, self.times, self.starts = array("q"), array("q"), array("q", [0])
+        #: The pairs linked in all stretches one after the other, and where a stretch begins.
+        self.pairs, self.starts = array("q"), array("q", [0])
 
     def cut(self, text: str) -> list[str]:
         """The text with a blank before it, cut before every blank after a character that is no white space."""
@@ -99,44 +102,48 @@ class Aligner:
     def align(self) -> None:
         """Aligns the stretches that are new."""
         new = list(self.known)[self.done :]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            encoded = self.a.encode_batch([" " + s for s in some], add_special_tokens=False)
-            for stretch, one, b in zip(some, encoded, self.b.encode(some, num_threads=1), strict=True):
-                self._one((" " + stretch).encode(), one.ids, b)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            a = [e.ids for e in self.a.encode_batch([" " + s for s in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            wanted = [(" " + s).encode() for s in some]
+            joined = [b"".join(chain.from_iterable(map(table.__getitem__, ids) for ids in side)) for table, side in ((self.bytes_a, a), (self.bytes_b, b))]
+            whole = [True] * len(some)
+            if not joined[0] == joined[1] == b"".join(wanted):
+                whole = [b"".join(map(self.bytes_a.__getitem__, x)) == b"".join(map(self.bytes_b.__getitem__, y)) == w for x, y, w in zip(a, b, wanted, strict=True)]
+                a, b, wanted = ([x if ok else x[:0] for x, ok in zip(side, whole, strict=True)] for side in (a, b, wanted))
+            self.whole.extend(whole)
+            self._several(a, b, np.fromiter(map(len, wanted), np.int64, len(wanted)))
         self.done = len(self.known)
 
-    def _one(self, wanted: bytes, a: list[int], b: list[int]) -> None:
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = b"".join(bytes_a) == wanted and b"".join(bytes_b) == wanted
-        pairs: dict[int, int] = {}
-        groups, links = [], 0
-        if whole:
-            i = j = first_a = first_b = 0
-            end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
-            while True:
-                pair = a[i] << B_BITS | b[j]
-                pairs[pair] = pairs.get(pair, 0) + 1
-                links += 1
-                if end_a == end_b:
-                    groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                    i, j = i + 1, j + 1
-                    first_a, first_b = i, j
-                    if i == len(a):
-                        break
-                    end_a, end_b = end_a + len(bytes_a[i]), end_b + len(bytes_b[j])
-                elif end_a < end_b:
-                    i += 1
-                    end_a += len(bytes_a[i])
-                else:
-                    j += 1
-                    end_b += len(bytes_b[j])
-        self.whole.append(whole)
-        self.sizes.extend((len(a), len(b), len(groups), links))
-        self.groups.append(";".join(groups))
-        self.pairs.extend(pairs)
-        self.times.extend(pairs.values())
-        self.starts.append(len(self.pairs))
+    def _several(self, a: list[list[int]], b: list[list[int]], sizes: np.ndarray) -> None:
+        """Aligns stretches, told by their ids and numbers of bytes, as if they were one text."""
+        counts = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip((a, b), counts, strict=True)]
+        ends = [np.cumsum(lengths[i]) for lengths, i in zip(self.lengths, ids, strict=True)]
+        last = np.cumsum(sizes)
+        # Between two neighbouring ends, of whichever side, lies the overlap of one A and one B token.
+        cuts = np.union1d(*ends)
+        both = np.intersect1d(*ends, assume_unique=True)
+        pairs = ids[0][np.searchsorted(ends[0], cuts)] << B_BITS | ids[1][np.searchsorted(ends[1], cuts)]
+        upto = np.searchsorted(cuts, last, "right")
+        groups = np.diff(np.searchsorted(both, last, "right"), prepend=0)
+        self.sizes.frombytes(np.stack([*counts, groups, np.diff(upto, prepend=0)], axis=1).astype(np.int64).tobytes())
+        self.starts.frombytes((upto + self.starts[-1]).astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+
+        # Written as text: the A ids of a group, then its B ids, each with the sign that follows it.
+        group = [np.searchsorted(both, e) for e in ends]
+        closes = [np.isin(e, both, assume_unique=True) for e in ends]
+        follow = [np.where(closes[0], "|", ","), np.where(closes[1], np.where(np.isin(ends[1], last), "", ";"), ",")]
+        signs = np.concatenate(follow).tolist()
+        told = list(map(str.__add__, map(str, np.concatenate(ids).tolist()), signs))
+        order = np.lexsort((np.repeat([0, 1], [len(g) for g in group]), np.concatenate(group)))
+        told = [told[i] for i in order.tolist()]
+        at = 0
+        for n in (counts[0] + counts[1]).tolist():
+            self.groups.append("".join(told[at : at + n]))
+            at += n
 
 
 def _byte_letters() -> dict[str, int]:
@@ -154,12 +161,12 @@ def _aligner(byte_path: str, piece_path: str) -> Aligner:
 
 def or_merged(stretch: np.ndarray, document: np.ndarray, times: np.ndarray, aligner: Aligner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, document, links) by pair and document: the OR of the bitmaps of all stretches with the pair."""
-    starts, pairs, each = (np.array(x) for x in (aligner.starts, aligner.pairs, aligner.times))
+    starts, pairs = np.array(aligner.starts), np.array(aligner.pairs)
     counts = np.diff(starts)[stretch]
     upto = np.cumsum(counts)
     at = np.repeat(starts[stretch] - (upto - counts), counts) + np.arange(int(counts.sum()))
     places = pairs[at] * BLOCK + np.repeat(document, counts)
-    links = each[at] * np.repeat(times, counts)
+    links = np.repeat(times, counts)
     order = np.argsort(places, kind="stable")
     places = places[order]
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.zeros(0, np.int64)
