@@ -130,6 +130,25 @@ class Ordered:
         )
         return replace(self, frame=frame.drop("_beside"))
 
+    def largest_before(self, name: str, value: str) -> "Ordered":
+        """Add `name`, the largest `value` among the session's events before this one; null if there is none."""
+        earlier = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        frame = self.frame.withColumn(name, F.max(value).over(earlier))
+        if self.hot:
+            across = Window.partitionBy("session_id").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+            parts = (
+                self.frame.filter(F.col(CHUNK).isNotNull())
+                .groupBy("session_id", CHUNK)
+                .agg(F.max(value).alias("_part"))
+                .select("session_id", CHUNK, F.max("_part").over(across).alias("_parts"))
+            )
+            frame = (
+                frame.join(self.hot.sent(parts), ["session_id", CHUNK], "left")
+                .withColumn(name, F.greatest(name, "_parts"))
+                .drop("_parts")
+            )
+        return replace(self, frame=frame)
+
     def numbered(self, name: str) -> "Ordered":
         """Add the 1-based position of each event among the session's events of this frame."""
         frame = self.frame.withColumn(name, F.row_number().over(self.window).cast("long"))

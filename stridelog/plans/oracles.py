@@ -619,4 +619,62 @@ SELECT v.profile_id, v.product_id, views,
 FROM viewed v JOIN firsts f ON f.profile_id = v.profile_id AND f.product_id = v.product_id""",
     "lookup_sql": "SELECT session_id, num_events, device_type, started_at FROM sess WHERE profile_id = 'u1'",
 }
+REGION = "utm_source = 'src1' AND geo_country = 'US' AND date_local BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'"
+KEYS = ("date", "device_type", "utm_source", "geo_country")
+
+
+def _grains() -> str:
+    sets = {15: "overall", 11: "device", 7: "day", 0: "cube"}
+    names = "CASE g " + " ".join(f"WHEN {bits} THEN '{name}'" for bits, name in sets.items()) + " END"
+    reached = ", ".join(f"count(*) FILTER (WHERE had_{s}) AS reached_{s}" for s in STEPS)
+    return f"""
+SELECT {names} AS grain, * EXCLUDE (g) FROM (
+  SELECT grouping_id({", ".join(KEYS)}) AS g, {", ".join(KEYS)}, count(*) AS sessions, {reached}
+  FROM (SELECT *, date_utc AS date FROM sess)
+  GROUP BY GROUPING SETS ((), (device_type), (date), ({", ".join(KEYS)})))"""
+
+
+def _reach(seconds: int | None) -> str:
+    """Steps in order, each level a running maximum of the start times that lead to the level before."""
+    parts = [f"l1 AS (SELECT session_id, id, ts, name, CASE WHEN name = '{STEPS[0]}' THEN epoch_us(ts) END AS f1 FROM ev WHERE session_id IS NOT NULL AND ts IS NOT NULL)"]
+    for i, step in enumerate(STEPS[1:], 2):
+        within = f"AND epoch_us(ts) - b{i} <= {seconds * 1_000_000}" if seconds else ""
+        before = f"max(f{i - 1}) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        parts.append(f"l{i} AS (SELECT *, CASE WHEN name = '{step}' {within} THEN b{i} END AS f{i} FROM (SELECT *, {before} AS b{i} FROM l{i - 1}))")
+    columns = ", ".join(
+        f"first(ts ORDER BY ts, id) FILTER (WHERE f{i} IS NOT NULL) AS at_{s}, first(epoch_us(ts) - f{i} ORDER BY ts, id) FILTER (WHERE f{i} IS NOT NULL) AS us_{s}"
+        for i, s in enumerate(STEPS, 1)
+    )
+    parts.append(f"reach AS (SELECT session_id, {columns} FROM l{len(STEPS)} WHERE name IN {STEPS} GROUP BY session_id)")
+    return ", " + ",\n".join(parts) + "\n"
+
+
+def _in_order(seconds: int | None) -> str:
+    rows = []
+    for i, s in enumerate(STEPS):
+        before = f"round(count(us_{s})::DOUBLE / nullif(count(us_{STEPS[i - 1]}), 0) * 100, 2)" if i else "NULL::DOUBLE"
+        rows.append(
+            f"SELECT {i + 1} AS step_order, '{s}' AS step, count(us_{s}) AS sessions, round(count(us_{s})::DOUBLE / nullif(count(us_{STEPS[0]}), 0) * 100, 2) AS from_first_pct, "
+            f"{before} AS from_previous_pct, quantile_cont(us_{s}::DOUBLE, 0.5) / 1e6 AS median_sec, quantile_cont(us_{s}::DOUBLE, 0.9) / 1e6 AS p90_sec FROM reach"
+        )
+    return _reach(seconds) + " UNION ALL ".join(rows)
+
+
+ON_CLICKS |= {
+    "destination_sketches": "SELECT *, true AS sessions_near, true AS users_near FROM (" + ON_CLICKS["slice_destinations"] + ")",
+    "visitor_sketches": " UNION ALL ".join(
+        f"SELECT {i} AS step_order, '{s}' AS step, count(*) AS sessions, count(DISTINCT profile_id) AS users, true AS users_near FROM sliced{'' if s == 'all' else f' WHERE had_{s}'}"
+        for i, s in enumerate(("all", *STEPS))
+    ),
+    "link_dwell_sketches": f"""
+SELECT link, count(*) AS views, round(sum(valid_us) / 1e6::DOUBLE, 6) AS total_time_sec, true AS median_near, true AS p90_near
+FROM dw WHERE valid_us IS NOT NULL AND away AND link IS NOT NULL AND {REGION} GROUP BY link""",
+    "event_dwell_sketches": """
+SELECT name, count(valid_us) AS views, round(sum(valid_us) / 1e6::DOUBLE, 6) AS total_time_sec, round(sum(valid_us) / 1e6::DOUBLE / count(valid_us), 6) AS avg_time_sec
+FROM dw WHERE valid_us IS NOT NULL AND name IS NOT NULL GROUP BY name""",
+    "funnel_grains": _grains(),
+    "funnel_in_order": _in_order(None),
+    "funnel_in_order_within": _in_order(7200),
+    "reach_in_order": _reach(86_400) + "SELECT * FROM reach",
+}
 ORACLES = PLAIN | {name: PREFIX + sql for name, sql in ON_CLICKS.items()}

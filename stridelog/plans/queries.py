@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import CP1252_BYTES, CP1252_CHARS
 from ..functions.times import local_date, local_hour, naive, parsed_time
 from ..functions.urls import canonical_link, first_group
-from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
+from ..operators import breakdowns, cleaning, conversion, cubes, dwell, funnel, ordered_funnel, paths, profiling
 from ..operators import sessions as session_views
 from ..session import configure, fresh_path
 from ..sources.demo import CLICKS_PII, CLICKS_SPEC, clicks
@@ -596,3 +596,84 @@ def summary(spark, folder):
 # The inventory's names for two queries whose functions would hide a module or an import.
 QUERIES["funnel"] = QUERIES.pop("funnel_steps")
 QUERIES["canonical_link"] = QUERIES.pop("canonical_links")
+
+
+# ---- stored cubes with sketches, grains, ordered steps ------------------------------------------
+
+
+def _near(estimate: str, exact: str, percent: int = 2):
+    """Whether the estimate is off by that many percent at most."""
+    return F.abs(F.col(estimate) - F.col(exact)) * 100 <= F.col(exact) * percent
+
+
+@query
+def destination_sketches(spark, folder):
+    """A slice answered by the stored cube beside the exact counts over the events."""
+    found = events(spark, folder)
+    path = fresh_path(spark, "destination-cube")
+    write_table(cubes.destination_cube(found, SPEC), path)
+    near = cubes.destinations_of(read_table(spark, path), REGION).withColumnsRenamed({"unique_sessions": "s", "unique_users": "u"})
+    exact = breakdowns.top_destinations(found, SPEC, REGION)
+    return exact.join(near.drop("views"), "destination").select(
+        "destination", "views", "unique_sessions", "unique_users", _near("s", "unique_sessions").alias("sessions_near"), _near("u", "unique_users").alias("users_near")
+    )
+
+
+@query
+def visitor_sketches(spark, folder):
+    """Sessions and users per step of a slice by the stored cube; users beside their exact count."""
+    found = sessions(spark, folder)
+    path = fresh_path(spark, "visitor-cube")
+    write_table(cubes.visitor_cube(found, SPEC), path)
+    near = cubes.visitors_of(read_table(spark, path), SPEC, SLICE).withColumnRenamed("users", "near")
+    chosen = SLICE.apply(found)
+    users = [F.count_distinct("profile_id").alias("all"), *(F.count_distinct(F.when(F.col(s.had), F.col("profile_id"))).alias(s.name) for s in SPEC.steps)]
+    exact = chosen.agg(*users).unpivot([], ["all", *(s.name for s in SPEC.steps)], "step", "users")
+    return near.join(exact, "step").select("step_order", "step", "sessions", "users", _near("near", "users").alias("users_near"))
+
+
+@query
+def link_dwell_sketches(spark, folder):
+    """Dwell statistics of a slice by the stored cube, with a check of the percentiles' ranks among the measured times."""
+    found = events(spark, folder)
+    path = fresh_path(spark, "dwell-cube")
+    write_table(cubes.dwell_cube(found, SPEC), path)
+    near = cubes.dwell_of(read_table(spark, path), "link", REGION)
+    timed = dwell.valid_events(found, SPEC, ("link", "date_local", *cubes.SLICES))
+    timed = REGION.apply(timed, date_column="date_local").withColumn("sec", F.col("dwell_us") / F.lit(1_000_000.0))
+
+    def rank(column: str, fraction: float):
+        below, upto = (F.avg(c.cast("double")) for c in (F.col("sec") < F.col(column), F.col("sec") <= F.col(column)))
+        return (below <= fraction + 0.02) & (upto >= fraction - 0.02)
+
+    ranked = timed.join(near, "link").groupBy("link").agg(rank("median_time_sec", 0.5).alias("median_near"), rank("p90_time_sec", 0.9).alias("p90_near"))
+    return near.join(ranked, "link").select("link", "views", F.round("total_time_sec", 6).alias("total_time_sec"), "median_near", "p90_near")
+
+
+@query
+def event_dwell_sketches(spark, folder):
+    """All measured events per name from the cube of names."""
+    near = cubes.dwell_of(cubes.dwell_cube(events(spark, folder), SPEC, by="name"), "name")
+    return near.select("name", "views", F.round("total_time_sec", 6).alias("total_time_sec"), F.round("avg_time_sec", 6).alias("avg_time_sec"))
+
+
+@query
+def funnel_grains(spark, folder):
+    return cubes.funnel_grains(sessions(spark, folder), SPEC)
+
+
+@query
+def funnel_in_order(spark, folder):
+    return ordered_funnel.ordered_funnel(events(spark, folder), SPEC)
+
+
+@query
+def funnel_in_order_within(spark, folder):
+    """Chains of at most two hours."""
+    return ordered_funnel.ordered_funnel(events(spark, folder), SPEC, 7200)
+
+
+@query
+def reach_in_order(spark, folder):
+    """When each session reaches each step within a day, by one session per row."""
+    return ordered_funnel.reach_in_order(events(spark, folder), SPEC, 86_400)
