@@ -6,13 +6,14 @@ zone of the session, so none is used: the same rows come out under any session z
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+#: The start of 1970 without a zone; arithmetic on it is in UTC whatever the session's zone.
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 #: A zone, or an offset, behind the minutes or seconds of a time.
 ZONED = r":\d{2}(\.\d*)?\s*[A-Za-z+-]"
 
@@ -35,7 +36,8 @@ def parsed_time(df: DataFrame, column: str) -> Column:
 
 def utc_instant(clock: Column) -> Column:
     """The moment at which the UTC wall clock shows `clock`, a timestamp without a zone."""
-    days = F.datediff(F.to_date(clock), F.lit(date(1970, 1, 1))).cast("long")
+    # A difference of two times would read them in the zone of the session.
+    days = F.unix_date(F.to_date(clock)).cast("long")
     micros = (F.extract(F.lit("SECOND"), clock) * 1_000_000).cast("long")
     minutes = (F.hour(clock) * 60 + F.minute(clock)).cast("long")
     return F.timestamp_micros(days * DAY_US + minutes * 60_000_000 + micros)
@@ -43,10 +45,7 @@ def utc_instant(clock: Column) -> Column:
 
 def naive(ts: Column) -> Column:
     """The UTC wall clock of `ts`, without a zone."""
-    us = F.unix_micros(ts)
-    days = F.floor(us / F.lit(DAY_US)).cast("int")
-    seconds_of_day = (F.pmod(us, F.lit(DAY_US)).cast("decimal(18,6)") / F.lit(1_000_000)).cast("decimal(18,6)")
-    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(days=days, secs=seconds_of_day)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.expr(EPOCH))
 
 
 def local_time(ts: Column, offset_hours: int) -> Column:
@@ -54,12 +53,18 @@ def local_time(ts: Column, offset_hours: int) -> Column:
     return naive(ts) + F.make_dt_interval(hours=F.lit(offset_hours))
 
 
+def _local_us(ts: Column, offset_hours: int) -> Column:
+    return F.unix_micros(ts) + F.lit(offset_hours * HOUR_US)
+
+
 def local_hour(ts: Column, offset_hours: int) -> Column:
-    return F.hour(local_time(ts, offset_hours))
+    in_day = F.pmod(_local_us(ts, offset_hours), F.lit(DAY_US))
+    return ((in_day - in_day % HOUR_US) / HOUR_US).cast("int")
 
 
 def local_date(ts: Column, offset_hours: int) -> Column:
-    return F.to_date(local_time(ts, offset_hours))
+    us = _local_us(ts, offset_hours)
+    return F.date_from_unix_date(((us - F.pmod(us, F.lit(DAY_US))) / DAY_US).cast("int"))
 
 
 def elapsed_us(start: Column, end: Column) -> Column:

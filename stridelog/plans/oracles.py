@@ -660,6 +660,21 @@ def _in_order(seconds: int | None) -> str:
     return _reach(seconds) + " UNION ALL ".join(rows)
 
 
+def _windows() -> str:
+    """Stretches of a session without a silence of 30 minutes, closed an hour before the newest event."""
+    first = ", ".join(
+        f"first({c} ORDER BY ts, id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in "profile_id utm_source utm_medium device_type os_name geo_country geo_city".split()
+    )
+    flags = ", ".join(f"coalesce(bool_or(name = '{s}'), false) AS had_{s}" for s in STEPS)
+    return f"""
+, gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM ev
+           WHERE session_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)),
+stretches AS (SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS stretch FROM gaps)
+SELECT session_id, {first}, NULL::VARCHAR AS utm_campaign, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS num_events, {flags}, cast(min(ts) AS DATE) AS date_utc,
+       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0::DOUBLE, 2) AS session_duration_min
+FROM stretches GROUP BY session_id, stretch HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)"""
+
+
 ON_CLICKS |= {
     "destination_sketches": "SELECT *, true AS sessions_near, true AS users_near FROM (" + ON_CLICKS["slice_destinations"] + ")",
     "visitor_sketches": " UNION ALL ".join(
@@ -675,6 +690,17 @@ FROM dw WHERE valid_us IS NOT NULL AND name IS NOT NULL GROUP BY name""",
     "funnel_grains": _grains(),
     "funnel_in_order": _in_order(None),
     "funnel_in_order_within": _in_order(7200),
+    "refreshed_sessions": ON_CLICKS["session_rollup"],
+    "session_index": ON_CLICKS["session_lookup"],
+    "published_funnel": ON_CLICKS["funnel"],
+    "routed_slice": "SELECT device_type, count(*) AS sessions, " + ", ".join(f"count(*) FILTER (WHERE had_{s}) AS reached_{s}" for s in STEPS) + " FROM region GROUP BY device_type",
+    "quarantine_counts": "SELECT 'unreadable create_text' AS reason, count(*) AS rows FROM ev WHERE ts IS NULL",
+    "streamed_hours": """
+SELECT cast(h + INTERVAL 7 HOUR AS DATE) AS date_local, hour(h + INTERVAL 7 HOUR)::INT AS hour_local,
+       count(*) FILTER (WHERE name = 'view') AS page_views, count(*) FILTER (WHERE name IN ('signup', 'purchase')) AS intent_events
+FROM (SELECT *, date_trunc('hour', ts) AS h FROM ev WHERE name IN ('view', 'signup', 'purchase') AND ts IS NOT NULL)
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev) GROUP BY h""",
+    "streamed_sessions": _windows(),
     "reach_in_order": _reach(86_400) + "SELECT * FROM reach",
 }
 ORACLES = PLAIN | {name: PREFIX + sql for name, sql in ON_CLICKS.items()}

@@ -6,18 +6,19 @@ an executor, as files do.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import elapsed_us, naive, parsed_time, seconds
 from ..functions.urls import canonical_link
-from ..operators import breakdowns, cleaning, conversion, dwell, funnel, paths, profiling
+from ..operators import breakdowns, cleaning, conversion, cubes, dwell, funnel, ordered_funnel, paths, profiling
 from ..operators import sessions as session_views
-from ..operators.ordering import measured, time_order
+from ..operators.ordering import in_order, measured, split_hot, time_order
+from ..sources.generations import Generation, publish
 from ..sources.readers import read_table
-from ..sources.writers import Written, folder_bytes, write_table
+from ..sources.writers import Written, folder_bytes, write_bundle, write_table
 from ..spec import EventSpec
 
 
@@ -33,7 +34,8 @@ def clean_events(
     The wide rows move once, into ranges of (date, session): the layout in which they are stored. The
     successor of a session's last event of a day comes from a narrow table of first times per day; it
     travels as a row of its own behind that event and is dropped after the ordering. Text is
-    repaired after the move.
+    repaired after the move. With a spec that was `measured`, the rows of hot sessions go in ranges of
+    (session, time, id) instead, so that no task holds a whole one.
     """
     kept = cleaning.drop_pii(cleaning.project_keep(raw, keep), pii)
     times = kept.select(
@@ -42,6 +44,10 @@ def clean_events(
         parsed_time(kept, spec.columns["created"]).alias("create_ts"),
         F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("kept"),
     ).withColumn("date_utc", F.to_date(naive(F.col("create_ts"))))
+    large = None
+    if spec.hot:
+        times, hot = split_hot(times, spec.hot)
+        large = in_order(hot, spec).neighbour({"next_ts": "create_ts"}, 1).plain()
     days = (
         times.filter(F.col("session_id").isNotNull() & F.col("date_utc").isNotNull())
         .groupBy("session_id", "date_utc")
@@ -61,7 +67,9 @@ def clean_events(
     moved = times.unionByName(markers).withColumn("_spread", spread).repartitionByRange(*keys)
     order = Window.partitionBy(*keys).orderBy(*time_order())
     next_ts = F.when(F.col("session_id").isNotNull(), F.lead("create_ts").over(order))
-    timed = moved.withColumn("next_ts", next_ts).filter(F.col("kept").isNotNull())
+    timed = moved.withColumn("next_ts", next_ts).filter(F.col("kept").isNotNull()).drop("_spread")
+    if large is not None:
+        timed = timed.unionByName(large)
     clean = timed.select(
         "kept.*",
         F.col("create_ts"),
@@ -89,21 +97,22 @@ def run_clean(
     `mode="error"` refuses to. `clean_csv` also writes the clean events as CSV.
     """
     spark, folder = raw.sparkSession, folder.rstrip("/")
-    clean = clean_events(raw, spec, **options)
     session = spec.columns["session_id"]
+    # One narrow look at the raw table; text repair does not change which sessions are large.
+    spec = measured(raw.select(raw[session].cast("string").alias("session_id")), spec)
+    clean = clean_events(raw, spec, **options)
     done: dict[str, Written] = {}
 
     def save(name: str, df: DataFrame, fmt: str, **layout) -> None:
         rows = write_table(df, f"{folder}/{name}", fmt, mode=mode, **layout)
         done[name] = Written(rows, folder_bytes(spark, f"{folder}/{name}"))
 
-    # The rows are in ranges of (date, session) already.
-    save("events_clean", clean, "parquet", partition_by=["date_utc"], sort_by=[session], rebalance=False)
+    # The rows are in ranges of (date, session) already, those of hot sessions apart.
+    save("events_clean", clean, "parquet", partition_by=["date_utc"], sort_by=[session], rebalance=bool(spec.hot))
     stored = read_table(spark, f"{folder}/events_clean")
     if clean_csv:
         save("events_clean_csv", stored, "csv")
     events = cleaning.canonical_events(stored, spec)
-    spec = measured(events, spec)
     save("event_duration", dwell.active_events(events, spec), "csv")
     by_views = dwell.link_dwell(events, spec).orderBy(F.desc("views"), "link")
     save("link_duration", by_views, "csv")
@@ -113,9 +122,9 @@ def run_clean(
 def run_aggregates(
     events: DataFrame, spec: EventSpec, folder: str, mode: str = "overwrite"
 ) -> dict[str, Written]:
-    """Write the eleven aggregate tables and the filter metadata of a canonical event table.
+    """Write the eleven aggregate tables, the cubes and the filter metadata of a canonical event table.
 
-    Sessions, patterns and conversion pairs are read back for the tables built on them. Returns rows
+    The cubes hold sketches, which answer distinct counts and percentiles of any slice. Sessions, patterns and conversion pairs are read back for the tables built on them. Returns rows
     and bytes of each. A rerun replaces the tables; `mode="error"` refuses to.
     """
     spark, folder, spec = events.sparkSession, folder.rstrip("/"), measured(events, spec)
@@ -139,9 +148,31 @@ def run_aggregates(
     pairs = save("product_conversion", conversion.product_conversion(events, sessions, spec))
     save("event_duration", dwell.event_dwell(events, spec))
     save("top_products", conversion.top_products(pairs))
+    save("destination_cube", cubes.destination_cube(events, spec))
+    save("visitor_cube", cubes.visitor_cube(sessions, spec))
+    save("link_dwell_cube", cubes.dwell_cube(events, spec))
+    save("event_dwell_cube", cubes.dwell_cube(events, spec, by="name"))
+    save("funnel_grains", cubes.funnel_grains(sessions, spec))
+    save("reach_in_order", ordered_funnel.reach_in_order(events, spec))
     return done
 
 
+def publish_aggregates(events: DataFrame, spec: EventSpec, folder: str) -> Generation:
+    """The tables of `run_aggregates` as a new generation: readers have the old set until all are there."""
+    return publish(events.sparkSession, folder, lambda path: run_aggregates(events, spec, path, mode="error"))
+
+
+def publish_report(tables: Mapping[str, DataFrame], folder: str) -> Generation:
+    """The tables of a report as a new generation."""
+    spark = next(iter(tables.values())).sparkSession
+
+    def write(path: str) -> dict[str, Written]:
+        rows = write_bundle(tables, path)
+        return {name: Written(n, folder_bytes(spark, f"{path}/{name}")) for name, n in rows.items()}
+
+    return publish(spark, folder, write)
+
+
 def build_report(
     events: DataFrame, sessions: DataFrame, pairs: DataFrame, spec: EventSpec
 ) -> dict[str, DataFrame]:

@@ -14,11 +14,16 @@ from ..functions.times import local_date, local_hour, naive, parsed_time
 from ..functions.urls import canonical_link, first_group
 from ..operators import breakdowns, cleaning, conversion, cubes, dwell, funnel, ordered_funnel, paths, profiling
 from ..operators import sessions as session_views
+from ..operators.ordering import measured
 from ..session import configure, fresh_path
-from ..sources.demo import CLICKS_PII, CLICKS_SPEC, clicks
+from ..sources import generations, quarantine
+from ..sources.demo import CLICKS_PII, CLICKS_SPEC, clicks, clicks_of
 from ..sources.readers import read_table
 from ..sources.writers import write_table
-from ..spec import FilterSpec
+from ..spec import EventSpec, FilterSpec
+from ..streaming import rollups
+from . import pipeline, refresh
+from .router import Router
 
 SPEC = CLICKS_SPEC
 SLICE = FilterSpec(device="mobile", date_from=date(2024, 1, 5), date_to=date(2024, 1, 20))
@@ -42,17 +47,29 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.canonical_events(raw(spark, folder), SPEC)
 
 
+#: The spec with the hot sessions of a folder, by application and folder.
+_MEASURED: dict[tuple[str, str], EventSpec] = {}
+
+
+def spec_of(spark: SparkSession, folder: str) -> EventSpec:
+    """The spec with the sessions that are too large for one task, looked up once per table."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MEASURED:
+        _MEASURED[key] = measured(events(spark, folder), SPEC)
+    return _MEASURED[key]
+
+
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return session_views.session_rollup(events(spark, folder), SPEC)
+    return session_views.session_rollup(events(spark, folder), spec_of(spark, folder))
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    found, spec = events(spark, folder), SPEC
+    found, spec = events(spark, folder), spec_of(spark, folder)
     return conversion.product_conversion(found, session_views.session_rollup(found, spec), spec)
 
 
 def session_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    return paths.session_pattern(events(spark, folder), SPEC)
+    return paths.session_pattern(events(spark, folder), spec_of(spark, folder))
 
 
 # ---- one slice by source, country and dates over every view ------------------------------------
@@ -71,8 +88,8 @@ def slice_funnel(spark, folder):
 @query
 def slice_patterns(spark, folder):
     found = events(spark, folder)
-    chosen = REGION.apply(session_views.session_rollup(found, SPEC))
-    return paths.patterns(paths.patterns_of(paths.session_pattern(found, SPEC), chosen))
+    chosen = REGION.apply(session_views.session_rollup(found, spec_of(spark, folder)))
+    return paths.patterns(paths.patterns_of(paths.session_pattern(found, spec_of(spark, folder)), chosen))
 
 
 @query
@@ -114,12 +131,12 @@ def hour_of_day_views_only(spark, folder):
 
 @query
 def active_events_everywhere(spark, folder):
-    return dwell.active_events(events(spark, folder), SPEC, exclude_home=False)
+    return dwell.active_events(events(spark, folder), spec_of(spark, folder), exclude_home=False)
 
 
 @query
 def link_dwell_null_link(spark, folder):
-    spec = replace(SPEC, null_link="(none)")
+    spec = replace(spec_of(spark, folder), null_link="(none)")
     table = dwell.link_dwell(cleaning.canonical_events(raw(spark, folder), spec), spec)
     return table.select("link", "views", "unique_sessions", "unique_users")
 
@@ -127,8 +144,8 @@ def link_dwell_null_link(spark, folder):
 @query
 def product_conversion_ordered(spark, folder):
     found = events(spark, folder)
-    rolled = session_views.session_rollup(found, SPEC)
-    return conversion.product_conversion(found, rolled, SPEC, ordered_intent=True).select(
+    rolled = session_views.session_rollup(found, spec_of(spark, folder))
+    return conversion.product_conversion(found, rolled, spec_of(spark, folder), ordered_intent=True).select(
         "profile_id", "product_id", "views", "intent", "booked"
     )
 
@@ -295,24 +312,24 @@ def column_profile(spark, folder):
 
 @query
 def dwell_events(spark, folder):
-    return dwell.dwell_events(events(spark, folder), SPEC)
+    return dwell.dwell_events(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def active_events(spark, folder):
-    return dwell.active_events(events(spark, folder), SPEC)
+    return dwell.active_events(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def link_dwell(spark, folder):
-    table = dwell.link_dwell(events(spark, folder), SPEC)
+    table = dwell.link_dwell(events(spark, folder), spec_of(spark, folder))
     times = [c for c in table.columns if c.endswith("_sec")]
     return table.withColumns({c: F.round(c, 3) for c in times})
 
 
 @query
 def event_dwell(spark, folder):
-    return dwell.event_dwell(events(spark, folder), SPEC)
+    return dwell.event_dwell(events(spark, folder), spec_of(spark, folder))
 
 
 @query
@@ -323,7 +340,7 @@ def duration_study(spark, folder):
 
 @query
 def pipeline_summary(spark, folder):
-    return profiling.pipeline_summary(events(spark, folder), SPEC)
+    return profiling.pipeline_summary(events(spark, folder), spec_of(spark, folder))
 
 
 # ---- sessions -----------------------------------------------------------------------------------
@@ -346,12 +363,12 @@ def session_explorer(spark, folder):
 
 @query
 def session_timeline(spark, folder):
-    return session_views.session_timeline(events(spark, folder), SPEC)
+    return session_views.session_timeline(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def session_timeline_totals(spark, folder):
-    return session_views.session_timeline_totals(events(spark, folder), SPEC)
+    return session_views.session_timeline_totals(events(spark, folder), spec_of(spark, folder))
 
 
 @query
@@ -359,10 +376,10 @@ def session_lookup(spark, folder):
     """The drill-down: the session that the explorer lists first, step by step."""
     found = events(spark, folder)
     explored = session_views.session_explorer(
-        session_views.session_rollup(found, SPEC), SPEC, min_events=1, limit=1
+        session_views.session_rollup(found, spec_of(spark, folder)), SPEC, min_events=1, limit=1
     )
     chosen = F.broadcast(explored.select("session_id"))  # one row
-    return session_views.session_timeline(found.join(chosen, "session_id", "left_semi"), SPEC)
+    return session_views.session_timeline(found.join(chosen, "session_id", "left_semi"), spec_of(spark, folder))
 
 
 @query
@@ -375,18 +392,18 @@ def kpi_filtered(spark, folder):
 
 @query
 def event_sequence(spark, folder):
-    return paths.event_sequence(events(spark, folder), SPEC)
+    return paths.event_sequence(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def link_sequence(spark, folder):
-    return paths.link_sequence(events(spark, folder), SPEC)
+    return paths.link_sequence(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def journeys(spark, folder):
     found = events(spark, folder)
-    spec = SPEC
+    spec = spec_of(spark, folder)
     return paths.journeys(found, session_views.session_rollup(found, spec), spec)
 
 
@@ -415,7 +432,7 @@ def pattern_search_totals(spark, folder):
 @query
 def patterns_filtered(spark, folder):
     found = events(spark, folder)
-    spec = SPEC
+    spec = spec_of(spark, folder)
     chosen = SLICE.apply(session_views.session_rollup(found, spec))
     return paths.patterns(paths.patterns_of(paths.session_pattern(found, spec), chosen))
 
@@ -586,7 +603,7 @@ def os_breakdown(spark, folder):
 @query
 def summary(spark, folder):
     found = events(spark, folder)
-    spec = SPEC
+    spec = spec_of(spark, folder)
     rolled = session_views.session_rollup(found, spec)
     return profiling.summary(
         found, rolled, conversion.product_conversion(found, rolled, spec), spec
@@ -637,9 +654,9 @@ def link_dwell_sketches(spark, folder):
     """Dwell statistics of a slice by the stored cube, with a check of the percentiles' ranks among the measured times."""
     found = events(spark, folder)
     path = fresh_path(spark, "dwell-cube")
-    write_table(cubes.dwell_cube(found, SPEC), path)
+    write_table(cubes.dwell_cube(found, spec_of(spark, folder)), path)
     near = cubes.dwell_of(read_table(spark, path), "link", REGION)
-    timed = dwell.valid_events(found, SPEC, ("link", "date_local", *cubes.SLICES))
+    timed = dwell.valid_events(found, spec_of(spark, folder), ("link", "date_local", *cubes.SLICES))
     timed = REGION.apply(timed, date_column="date_local").withColumn("sec", F.col("dwell_us") / F.lit(1_000_000.0))
 
     def rank(column: str, fraction: float):
@@ -653,7 +670,7 @@ def link_dwell_sketches(spark, folder):
 @query
 def event_dwell_sketches(spark, folder):
     """All measured events per name from the cube of names."""
-    near = cubes.dwell_of(cubes.dwell_cube(events(spark, folder), SPEC, by="name"), "name")
+    near = cubes.dwell_of(cubes.dwell_cube(events(spark, folder), spec_of(spark, folder), by="name"), "name")
     return near.select("name", "views", F.round("total_time_sec", 6).alias("total_time_sec"), F.round("avg_time_sec", 6).alias("avg_time_sec"))
 
 
@@ -664,16 +681,82 @@ def funnel_grains(spark, folder):
 
 @query
 def funnel_in_order(spark, folder):
-    return ordered_funnel.ordered_funnel(events(spark, folder), SPEC)
+    return ordered_funnel.ordered_funnel(events(spark, folder), spec_of(spark, folder))
 
 
 @query
 def funnel_in_order_within(spark, folder):
     """Chains of at most two hours."""
-    return ordered_funnel.ordered_funnel(events(spark, folder), SPEC, 7200)
+    return ordered_funnel.ordered_funnel(events(spark, folder), spec_of(spark, folder), 7200)
 
 
 @query
 def reach_in_order(spark, folder):
     """When each session reaches each step within a day, by one session per row."""
-    return ordered_funnel.reach_in_order(events(spark, folder), SPEC, 86_400)
+    return ordered_funnel.reach_in_order(events(spark, folder), spec_of(spark, folder), 86_400)
+
+
+# ---- tables kept up to date, published, looked up; intake ---------------------------------------
+
+
+@query
+def refreshed_sessions(spark, folder):
+    """Sessions after the tables of 7 in 10 events were refreshed with the others."""
+    table = raw(spark, folder).drop("create_ts_raw")
+    path, options = fresh_path(spark, "refreshed"), {"keep": table.columns, "pii": CLICKS_PII, "repair": False}
+    late = F.pmod(F.xxhash64("id"), F.lit(10)) >= 7
+    refresh.build(table.filter(~late), SPEC, path, **options)
+    refresh.refresh(table.filter(late), SPEC, path, **options)
+    return read_table(spark, f"{path}/sessions").drop("bucket").select(*sessions(spark, folder).columns)
+
+
+@query
+def session_index(spark, folder):
+    """The drill-down by the index: the session that the explorer lists first."""
+    found, path = events(spark, folder), fresh_path(spark, "session-index")
+    refresh.SessionIndex.write(found, SPEC, path)
+    first = session_views.session_explorer(sessions(spark, folder), SPEC, min_events=1, limit=1).first()["session_id"]
+    return refresh.SessionIndex(spark, path, SPEC).timeline(first)
+
+
+@query
+def published_funnel(spark, folder):
+    """The funnel as readers of the newest generation see it."""
+    path = fresh_path(spark, "published")
+    pipeline.publish_report({"funnel": funnel.funnel(events(spark, folder), SPEC)}, path)
+    return generations.current(spark, path).table(spark, "funnel")
+
+
+@query
+def routed_slice(spark, folder):
+    """Sessions per step and device of a slice, from the smallest table that has them."""
+    path, found = fresh_path(spark, "routed"), sessions(spark, folder)
+    pipeline.publish_report({"sessions": found, "funnel_rollup": funnel.funnel_rollup(found, SPEC), "funnel_grains": cubes.funnel_grains(found, SPEC)}, path)
+    router = Router(spark, generations.current(spark, path), SPEC)
+    return router.answer(["sessions", *(s.reached for s in SPEC.steps)], REGION, ["device_type"])
+
+
+@query
+def quarantine_counts(spark, folder):
+    return quarantine.counts(quarantine.split(raw(spark, folder), SPEC)[1])
+
+
+def _streamed(spark, folder, make):
+    """Closed windows of the events read as a stream, from Parquet."""
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # A pattern, as a stream takes a single file for a folder otherwise.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    path = fresh_path(spark, "streamed")
+    rows = make(clicks_of(configure(spark), stream), SPEC)
+    rollups.append_to(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return read_table(spark, f"{path}/rows", schema=rows.schema)
+
+
+@query
+def streamed_hours(spark, folder):
+    return _streamed(spark, folder, rollups.hourly_windows)
+
+
+@query
+def streamed_sessions(spark, folder):
+    return _streamed(spark, folder, rollups.session_windows)

@@ -75,5 +75,9 @@ CLICKS_PII = ("contact_email", "full_name")
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
     """The click table over `folder`/events.parquet."""
-    events = spark.read.parquet(f"{folder.rstrip('/')}/events.parquet")
+    return clicks_of(spark, spark.read.parquet(f"{folder.rstrip('/')}/events.parquet"))
+
+
+def clicks_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The click table over an events table, or a stream of it."""
     return spark.sql(CLICKS_SQL, events=events)

@@ -25,12 +25,17 @@ def write_table(
     sort_by: Iterable[str] = (),
     mode: str = "error",
     rebalance: bool = True,
+    bloom_by: Iterable[str] = (),
+    dynamic: bool = False,
+    **options,
 ) -> int:
     """Write `df` as zstd Parquet, CSV with a header, or JSON, and return the number of rows.
 
     With `partition_by`, rows are first rebalanced on those columns, unless they are laid out already: a
     small partition gets one file, and a large one is split over several tasks. `sort_by` orders the rows of each file, so
-    that a filter on those columns skips most row groups.
+    that a filter on those columns skips most row groups; `bloom_by` adds bloom filters of columns, which
+    skip row groups where the range of values does not. `dynamic` with mode "overwrite" replaces only
+    the partitions that `df` has rows for. Further options are those of the format.
     """
     seen = Observation()
     partition_by, sort_by = list(partition_by), list(sort_by)
@@ -39,7 +44,11 @@ def write_table(
         df = df.hint("rebalance", *(F.col(c) for c in partition_by))
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
-    writer = df.write.mode(mode)
+    writer = df.write.mode(mode).options(**options)
+    if dynamic:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    for column in bloom_by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "parquet":

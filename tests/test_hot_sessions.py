@@ -6,12 +6,13 @@ from collections import Counter
 from itertools import groupby
 
 import pytest
-from fixtures import SPEC, at, raw_events
+from fixtures import SPEC, at, raw_events, records
 from pyspark.sql import functions as F
 
 from stridelog import canonical_events
 from stridelog.operators import conversion, dwell, paths, sessions
 from stridelog.operators.ordering import in_order, measured
+from stridelog.plans.pipeline import clean_events
 
 NAMES = ("view", "view", "search", None, "cart", "cart", "cart", "order", "view")
 LOW = SPEC.with_limits(hot_session_rows=60, chunk_rows=25)
@@ -165,3 +166,19 @@ def test_all_pattern_ranks_by_ranges(events):
     counts = paths.pattern_counts(patterns).orderBy(*paths.pattern_order()).collect()
     ranked = paths.ranked_patterns(patterns).orderBy("rank").collect()
     assert [(i + 1, *c) for i, c in enumerate(map(tuple, counts))] == [tuple(r) for r in ranked]
+
+
+def test_clean_events_with_a_hot_day(spark):
+    """A session with most rows of its date, over many ranges, cleaned as by the plain plan."""
+    rows = [{"session_id": "big", "name": "view", "created": at(i // 3), "page_url": f"https://a.example/p{i}"} for i in range(300)]
+    rows += [{"session_id": f"s{i % 7}", "name": "cart", "created": at(i * 800)} for i in range(60)]
+    rows += [{"session_id": "big", "name": "done", "created": None}, {"session_id": None, "name": "view", "created": at(1)}]
+    raw = raw_events(spark, *rows)
+    spec = SPEC.with_limits(hot_session_rows=50, chunk_rows=40)
+    seen = measured(raw.select("session_id"), spec)
+    assert seen.hot.sessions == 1
+    options = {"keep": raw.columns, "pii": ()}
+    plain, split = (clean_events(raw, s, **options) for s in (spec, seen))
+    assert plain.columns == split.columns
+    assert records(plain, "id") == records(split, "id")
+    assert sum(r["duration_sec"] is not None for r in records(split)) > 300
