@@ -35,7 +35,7 @@ def symbols(text: bytes) -> bytes:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_LATIN.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode()))
+    return bool(_LATIN.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
 @dataclass(frozen=True)

@@ -108,17 +108,21 @@ def _secrets() -> str:
 WITH docs AS (
   SELECT row_number() OVER () AS line, doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
 spans AS ({each}),
-owned AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM spans GROUP BY value),
+owned AS (
+  SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(DISTINCT (coalesce(owner, chr(1)), doc_id)) AS copies
+  FROM spans GROUP BY value),
 judged AS (
   SELECT line, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
          count(*) FILTER (WHERE kind = 'hex') AS n_hex,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
-         count(*) FILTER (WHERE owners < 3) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example
+         count(*) FILTER (WHERE owners < 3 AND copies < 100) AS n_live, count(*) FILTER (WHERE owners >= 3 OR copies >= 100) AS n_example,
+         max(copies) AS most_docs, max(owners) AS most_owners
   FROM spans JOIN owned USING (value) GROUP BY line)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(most_docs, 0) AS most_docs, coalesce(most_owners, 0) AS most_owners
 FROM docs LEFT JOIN judged USING (line)"""
 
 

@@ -73,7 +73,7 @@ def secret_spans(documents: DataFrame, kinds: tuple = KINDS) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Documents and owners of every candidate value: value_key, n_docs, n_owners, n_rows.
+    """Documents and owners of every candidate value: value_key, n_docs, n_owners.
 
     Counted in two steps, so that a value found in a third of all documents is first added up per
     owner inside the map tasks. A null owner counts as one owner, rows repeated as a whole as one document.
@@ -85,11 +85,12 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_key").agg(F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(documents: DataFrame, example_owners: int = 3) -> DataFrame:
-    """doc_id, owner, text_key, spans, n_live, n_example per document row.
+def scan(documents: DataFrame, example_owners: int = 3, example_docs: int = 100) -> DataFrame:
+    """doc_id, owner, text_key, spans, n_live, n_example, most_docs, most_owners per document row.
 
-    A span is an example if its value is held by at least `example_owners` owners, else it is
-    live-looking. Rows that are equal in doc_id and text have equal results. Columns other than
+    A span is an example if its value is copied widely: held by at least `example_owners` owners, or by at least
+    `example_docs` documents whoever owns them. Else it is specific to its owner and live-looking. most_docs and
+    most_owners are the counts of the row's most copied values, 0 without one. Rows that are equal in doc_id and text have equal results. Columns other than
     doc_id, text and source are not read.
     """
     # Narrow rows, read three times; the patterns run once.
@@ -101,17 +102,20 @@ def scan(documents: DataFrame, example_owners: int = 3) -> DataFrame:
         .distinct()  # rows repeated as a whole
         .select("doc_id", "text_key", F.xxhash64("span.value").alias("value_key"))
     )
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_docs") >= example_docs)
     judged = (
         single.join(owned, "value_key")
         .groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         .agg(
-            F.sum((F.col("n_owners") < example_owners).cast("long")).alias("n_live"),
-            F.sum((F.col("n_owners") >= example_owners).cast("long")).alias("n_example"),
+            F.count_if(~copied).alias("n_live"),
+            F.count_if(copied).alias("n_example"),
+            F.max("n_docs").alias("most_docs"),
+            F.max("n_owners").alias("most_owners"),
         )
     )
     return spans.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").select(
         "doc_id", "owner", "text_key", "spans",
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "most_docs", "most_owners")),
     )
 
 
@@ -130,13 +134,15 @@ def secret_report(documents: DataFrame) -> DataFrame:
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
-        F.col("n_live").cast("long").alias("n_live"),
-        F.col("n_example").cast("long").alias("n_example"),
+        "n_live",
+        "n_example",
+        "most_docs",
+        "most_owners",
     )
 
 
-def without_live_secrets(documents: DataFrame, example_owners: int = 3) -> DataFrame:
+def without_live_secrets(documents: DataFrame, example_owners: int = 3, example_docs: int = 100) -> DataFrame:
     """The rows without a live-looking credential; copied examples do no harm and stay."""
-    judged = scan(documents, example_owners).where(F.col("n_live") > 0)
+    judged = scan(documents, example_owners, example_docs).where(F.col("n_live") > 0)
     live = judged.select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key")).distinct()
     return documents.join(sized(written(live, "live-secrets")), same_row(documents), "left_anti")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelog.llm.batches import slices, texts
+from stridelog.session import written
 
 # Letters that look like Latin ones (Cyrillic, Greek, full width by rule), and signs used as letters.
 LOOKALIKES = {
@@ -125,9 +126,12 @@ def learn(
 ) -> Lexicon:
     """A lexicon from rows whose crc32(doc_id as text) mod 5 is not 0.
 
-    `max_rows` bounds the labelled rows of each class that are used (the first by a hash of the id);
-    `max_entries` bounds the lexicon. An entry needs `least_docs` toxic texts and log odds of
-    `least_weight`. A row with a null id, label or text teaches nothing; of repeated labels each counts.
+    `max_rows` bounds the labels of each class that are used (the first by a hash of the id), and the rows of each
+    class that the two weights of the score are fitted on (the first by a hash of id and text), so what comes to
+    the driver is bounded however many rows an id has. `max_entries` bounds the lexicon, and words over 40
+    letters are no entries. An entry needs `least_docs` toxic texts and log odds of `least_weight`. A row
+    with a null id, label or text teaches nothing; of repeated labels and rows each counts. Bytes that are no
+    UTF-8 are read as U+FFFD. Without labels or texts the lexicon has its seed words only.
     """
     spark = documents.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
@@ -135,7 +139,7 @@ def learn(
     for value in (0, 1):
         one = known.where((F.col("toxic") >= 1) == bool(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = one if picked is None else picked.unionByName(one)
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("place"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = (Counter(), Counter())
@@ -151,7 +155,7 @@ def learn(
 
         for batch in slices(batches):
             for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist(), strict=True):
-                tallies[toxic >= 1].update(_entries(text.decode(), *beginnings))
+                tallies[toxic >= 1].update(_entries(text.decode("utf-8", "replace"), *beginnings))
                 rows[toxic >= 1] += 1
             if len(tallies[0]) + len(tallies[1]) > 500_000:
                 yield out()
@@ -173,20 +177,23 @@ def learn(
     sums.unpersist()
     words = dict.fromkeys(SEEDS, SEED_WEIGHT) | {r.entry: float(r.weight) for r in heavy}
     lexicon = Lexicon(words)
-    return Lexicon(words, fit=_fitted(spark, lexicon, rows)) if n_bad and n_clean else lexicon
+    return Lexicon(words, fit=_fitted(lexicon, rows, max_rows)) if n_bad and n_clean else lexicon
 
 
-def _fitted(spark, lexicon: Lexicon, rows: DataFrame) -> tuple[float, float, float]:
-    """Logistic regression on the two features of the bounded training rows, by Newton steps."""
+def _fitted(lexicon: Lexicon, rows: DataFrame, max_rows: int) -> tuple[float, float, float]:
+    """Logistic regression on the two features of the first `max_rows` training rows of each class, by Newton steps."""
 
     def measured(batches):
         for batch in slices(batches):
-            pairs = [lexicon.features(t.decode()) for t in texts(batch)]
+            pairs = [lexicon.features(t.decode("utf-8", "replace")) for t in texts(batch)]
             x, y = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), batch.column("toxic").cast(pa.float64())], ["x", "y", "toxic"])
+            columns = [pa.array(x), pa.array(y), batch.column("toxic").cast(pa.float64()), batch.column("place")]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "toxic", "place"])
 
-    # At most 2 x max_rows rows of three numbers.
-    table = np.array([tuple(r) for r in rows.mapInArrow(measured, "x double, y double, toxic double").collect()])
+    # Narrow rows, of which at most 2 x max_rows come to the driver.
+    all_ = written(rows.mapInArrow(measured, "x double, y double, toxic double, place long"), "toxicity-features")
+    first = [all_.where(c).orderBy("place", "x", "y").limit(max_rows) for c in (F.col("toxic") >= 1, F.col("toxic") < 1)]
+    table = np.array([tuple(r) for r in first[0].unionByName(first[1]).drop("place").collect()])
     table = table[np.lexsort(table.T)]
     features, toxic = np.column_stack([np.ones(len(table)), table[:, :2]]), np.minimum(table[:, 2], 1)
     w = np.zeros(3)
@@ -206,7 +213,7 @@ def toxicity_scores(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def scored(batches):
         for batch in slices(batches):
-            scores = [lexicon.score((t or b"").decode()) for t in texts(batch)]
+            scores = [lexicon.score((t or b"").decode("utf-8", "replace")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return (
@@ -222,7 +229,7 @@ def without_toxic(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def kept(batches):
         for batch in slices(batches):
-            fine = [lexicon.score((t or b"").decode()) < 0.5 for t in texts(batch)]
+            fine = [lexicon.score((t or b"").decode("utf-8", "replace")) < 0.5 for t in texts(batch)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return documents.mapInArrow(kept, schema)

@@ -137,6 +137,19 @@ def test_secret_nasty_and_ownership(spark):
     assert sorted(r.doc_id for r in secrets.without_live_secrets(df).collect()) == [*range(8), 10]
 
 
+def test_secret_copied_within_one_source(spark):
+    """500 documents of one source hold the same value: an example. 99 copies are not many enough."""
+    rows = [(i, "x password=example-of-the-manual", "hot") for i in range(500)] + [(1000 + i, "token=ours-and-live", "hot") for i in range(99)]
+    rows += [(2000, "password=example-of-the-manual token=ours-and-live secret=mine-alone-7", "b"), (2000, "password=example-of-the-manual", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {(r.doc_id, len(r.spans)): (r.n_live, r.n_example, r.most_docs, r.most_owners) for r in secrets.scan(df).collect()}
+    assert found[3, 1] == (0, 1, 501, 2) and found[1003, 1] == (0, 1, 100, 2)
+    assert found[2000, 3] == (1, 2, 501, 2) and found[2000, 1] == (0, 1, 501, 2)
+    alone = {r.doc_id: r.n_live for r in secrets.scan(df.where("doc_id != 2000")).collect()}
+    assert alone[3] == 0 and alone[1003] == 1
+    assert secrets.without_live_secrets(df).count() == 500 + 99 + 1
+
+
 # mixing ----------------------------------------------------------------------------------------
 
 

@@ -157,6 +157,63 @@ def test_toxicity_without_labels(spark):
     assert rows[10] == 1 and sum(rows.values()) == 1
 
 
+def naive_sums(lexicon, text):
+    """Every entry searched for at every place, word by word."""
+    folded = toxicity.fold(text)
+    starts = [i for i in range(len(folded)) if not (i and folded[i - 1].isalnum())]
+
+    def ends(at):
+        return at == len(folded) or not folded[at].isalnum()
+
+    excused = [(i, i + len(p)) for i in starts for p in map(toxicity.fold, lexicon.exceptions) if folded.startswith(p, i) and ends(i + len(p))]
+    best = {}
+    for i in starts:
+        for entry, weight in lexicon.words.items():
+            key = entry.rstrip("*")
+            fits = folded.startswith(key, i) and (entry.endswith("*") or ends(i + len(key)))
+            if fits and not any(a <= i and i + len(key) <= b for a, b in excused):
+                best[i] = max(best.get(i, 0.0), weight)
+    return sum(best.values()), len(best)
+
+
+def test_automaton_against_naive_search():
+    random = np.random.default_rng(5)
+    lexicon = toxicity.Lexicon({"ab": 2.0, "abc*": 3.0, "b": 1.0, "bca": 5.0, "ca*": 0.5, "abcab": 7.0, "c*": 0.25}, ("ab ca", "b c b", "abc"))
+    found = 0
+    for _ in range(3000):
+        text = "".join(random.choice(list("aabbcc  .A4"), int(random.integers(0, 30))))
+        got = lexicon.sums(text)
+        assert got == pytest.approx(naive_sums(lexicon, text)), text
+        found += got[1]
+    assert found > 3000
+
+
+def test_toxicity_hard_inputs(spark):
+    """Bytes that are no UTF-8, an id with very many rows, repeated rows and empty tables."""
+    bad = "SELECT 1L AS doc_id, CAST(unhex('FF696469C3') AS STRING) AS text UNION ALL SELECT 2L, 'you idiot you stupid clown' UNION ALL SELECT 6L, CAST(unhex('FFFE') AS STRING)"
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (3, 1)], "doc_id bigint, toxic int")
+    docs = spark.sql(bad)
+    rows = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert rows[2].predicted == 1 and rows[1].predicted == rows[6].predicted == 0
+    assert toxicity.without_toxic(docs, toxicity.learn(docs, labels)).count() == 2
+    assert {r.lang_pred for r in languages.language_report(docs.selectExpr("*", "'en' AS lang")).collect() if r.doc_id == 6} == {"und"}
+    many = spark.range(20_000).selectExpr("3L AS doc_id", "concat('you fool number ', id) AS text").unionByName(docs)
+    seen = []
+    solve = np.linalg.solve
+    try:
+        np.linalg.solve = lambda a, b: (seen.append(a[0, 0]), solve(a, b))[1]
+        lexicon = toxicity.learn(many, labels, max_rows=50)
+    finally:
+        np.linalg.solve = solve
+    # The first step's weights are a quarter for each row of the fit.
+    assert seen[0] <= 100 / 4 + 1
+    assert all(r.predicted == 1 for r in toxicity.toxicity_scores(many.where("doc_id = 3").limit(20), lexicon).collect())
+    none = spark.createDataFrame([], DOCUMENTS_DDL)
+    assert toxicity.toxicity_report(none, labels).count() == 0
+    assert toxicity.toxicity_report(docs, labels.limit(0)).count() == 3
+    assert toxicity.without_toxic(none, toxicity.learn(none, labels)).count() == 0
+
+
 # language model --------------------------------------------------------------------------------
 
 
