@@ -55,30 +55,45 @@ JOIN (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(DISTINCT win)
 def _licenses() -> str:
     rows = ", ".join(f"({i}, '{t.label}', {str(t.exact).lower()}, string_split('{t.words}', ' '))" for i, t in enumerate(BASE + NOTICES))
     return rf"""
-WITH templates(template, label, exact, words) AS (VALUES {rows}),
-grams AS (
-  SELECT template, label, exact, len(words) AS n, unnest(range(len(words) - 1)) AS place,
-         unnest(list_zip(words[1:len(words) - 1], words[2:len(words)])) AS pair FROM templates),
+WITH RECURSIVE templates(template, label, exact, words) AS (VALUES {rows}),
 docs AS (
   SELECT row_number() OVER () AS line, doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{A_Z}', '{A_Z.lower()}'),
                      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+places AS (
+  SELECT template, label, exact, len(words) AS n, unnest(range(len(words))) AS place, unnest(words) AS word,
+         unnest(list_concat([NULL], words[:len(words) - 1])) AS prior, unnest(list_concat(words[2:], [NULL])) AS follow FROM templates),
 spots AS (
-  SELECT line, unnest(range(len(words) - 1)) AS spot,
-         unnest(list_zip(words[1:len(words) - 1], words[2:len(words)])) AS pair FROM docs WHERE len(words) > 1),
-votes AS (
-  SELECT line, template, label, exact, n, spot - place AS diagonal, bit_or(1::BIGINT << place::INT) AS bits
-  FROM spots JOIN grams USING (pair) GROUP BY ALL),
-marked AS (
-  SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > 3, true) THEN 1 ELSE 0 END AS begins
-  FROM votes WHERE NOT exact OR bit_count(bits) = n - 1
-  WINDOW w AS (PARTITION BY line, template ORDER BY diagonal)),
-runs AS (
-  SELECT *, sum(begins) OVER (PARTITION BY line, template ORDER BY diagonal) AS run FROM marked),
+  SELECT line, unnest(range(len(words))) AS spot, unnest(words) AS word,
+         unnest(list_concat([NULL], words[:len(words) - 1])) AS prior, unnest(list_concat(words[2:], [NULL])) AS follow FROM docs),
+same AS (
+  SELECT line, template, label, exact, n, spot, place, coalesce(s.follow = p.follow, false) AS pair
+  FROM spots s JOIN places p USING (word) WHERE s.prior = p.prior OR s.follow = p.follow),
+whole AS (
+  SELECT line, label, exact, spot - place AS start, 1.0::DOUBLE AS cover FROM same
+  WHERE exact GROUP BY line, template, label, exact, n, spot - place HAVING count(*) = n),
+starts AS (
+  SELECT DISTINCT line, template, label, n, spot - place AS start FROM same WHERE pair AND NOT exact),
+likely AS (
+  SELECT s.line, s.template, s.label, s.n, start
+  FROM starts s JOIN same h ON h.line = s.line AND h.template = s.template AND h.pair AND h.spot - h.place - s.start BETWEEN 0 AND 8
+  GROUP BY ALL HAVING count(DISTINCT h.place) >= 0.7 * (s.n - 1)),
+marks AS (
+  SELECT l.line, l.template, l.start, h.spot, list(DISTINCT h.place) AS fits
+  FROM likely l JOIN same h ON h.line = l.line AND h.template = l.template AND h.spot - h.place - l.start BETWEEN 0 AND 8
+  GROUP BY ALL),
+longest AS (
+  SELECT line, template, label, n, start, 0 AS step, list_transform(range(n + 1), lambda j: 0) AS best FROM likely
+  UNION ALL
+  SELECT l.line, l.template, l.label, l.n, l.start, step + 1,
+         list_transform(range(1, l.n + 2), lambda k: list_max(list_transform(range(1, k + 1), lambda j:
+           CASE WHEN j > 1 AND list_contains(m.fits, j - 2) THEN greatest(best[j], best[j - 1] + 1) ELSE best[j] END)))
+  FROM longest l LEFT JOIN marks m ON m.line = l.line AND m.template = l.template AND m.start = l.start AND m.spot = l.start + step
+  WHERE step <= l.n + 8),
 spans AS (
-  SELECT line, label, exact, greatest(min(diagonal), 0) AS start, bit_count(bit_or(bits)) / (n - 1)::DOUBLE AS cover
-  FROM runs GROUP BY line, template, label, exact, n, run
-  HAVING bit_count(bit_or(bits)) / (n - 1)::DOUBLE >= 0.7)
+  SELECT line, label, exact, start, cover FROM whole
+  UNION ALL
+  SELECT line, label, false, start, best[n + 1] / n::DOUBLE FROM longest WHERE step = n + 9 AND best[n + 1] / n::DOUBLE >= 0.7)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM docs LEFT JOIN (

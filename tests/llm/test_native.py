@@ -105,6 +105,70 @@ def test_license_with_changed_words(spark):
     assert rows[2].labels == "" and rows[2].score == 0.0
 
 
+def in_order(words, template, start, reach=8):
+    """The longest common sequence, by the plain table, of words that stand beside the same word."""
+
+    def same(i, j):
+        if not start <= i - j <= start + reach or not 0 <= i < len(words) or words[i] != template[j]:
+            return False
+        before = i > 0 and j > 0 and words[i - 1] == template[j - 1]
+        return before or (i + 1 < len(words) and j + 1 < len(template) and words[i + 1] == template[j + 1])
+
+    best = [0] * (len(template) + 1)
+    for i in range(start, start + len(template) + reach + 1):
+        new = best[:]
+        for j in range(len(template)):
+            new[j + 1] = max(best[j + 1], new[j], best[j] + 1 if same(i, j) else 0)
+        best = new
+    return best[-1]
+
+
+def expected_notices(text, reach=8, least=0.7):
+    """Labels of the notices, by trying every place of the text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(A_Z))
+    out = {}
+    for notice in licenses.NOTICES:
+        t = notice.words.split()
+        pairs = defaultdict(set)
+        for i, pair in enumerate(zip(words, words[1:])):
+            for j in range(len(t) - 1):
+                if pair == (t[j], t[j + 1]):
+                    pairs[i - j].add(j)
+        for d in pairs:
+            if len(set().union(*(pairs.get(d + k, ()) for k in range(reach + 1)))) >= least * (len(t) - 1):
+                cover = in_order(words, t, d, reach) / len(t)
+                if cover >= least:
+                    out[notice.label] = max(out.get(notice.label, 0), cover)
+    return out
+
+
+def test_license_spans_are_in_order(spark):
+    """Every edit of a notice against the plain search: words moved, put in, left out, backwards, repeated."""
+    random, texts = __import__("random").Random(5), []
+    for notice in licenses.NOTICES:
+        words = notice.words.split()
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        texts += [" ".join(reversed(pairs)), " x y ".join(pairs), " x y z ".join(words), notice.words, f"{notice.words} {notice.words}"]
+        texts += [f"{' '.join(words[k:])} {' '.join(words[:k])}" for k in range(1, len(words), 3)]
+        for _ in range(30):
+            edited = words[:]
+            for _ in range(random.randint(1, 6)):
+                at = random.randrange(len(edited))
+                edited[at : at + random.randint(0, 1)] = random.choice([[], ["new"], ["new", "words", "here"], [random.choice(words)]])
+            texts.append("a b " * random.randint(0, 3) + " ".join(edited))
+    texts.append(" ".join(random.choice(licenses.NOTICES[3].words.split()) for _ in range(20_000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: {s.label: s.cover for s in reversed(sorted(r.spans, key=lambda s: -s.cover)) if not s.exact} for r in licenses.license_spans(df).collect()}
+    assert {i: pytest.approx(expected_notices(t)) for i, t in enumerate(texts)} == rows
+    by_nc = [i for i, t in enumerate(texts) if t.startswith("4 0 nc 4 by nc") or "under x y under cc" in t]
+    assert len(by_nc) == 2 and not any("cc-by-nc-4.0" in rows[i] for i in by_nc)
+
+
+def test_license_templates_fit_a_long(spark):
+    with pytest.raises(ValueError):
+        licenses.license_spans(nasty(spark), (licenses.Template("long", "w " * 63),))
+
+
 # secrets ---------------------------------------------------------------------------------------
 
 
