@@ -381,13 +381,13 @@ def one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     named = [F.col("row.doc_id").alias("llm_id"), F.col("row.text_key").alias("llm_key")]
     judged = found.join(first, "component")
     going = written(judged.where("row != first").select(*named), "gram-going")
-    kept = documents.join(sized(going), same_row(documents), "left_anti")
+    kept = documents.join(sized(going), same_row(documents, going), "left_anti")
     twice = written(judged.where("row = first AND times > 1").select(*named), "gram-twice")
     if twice.isEmpty():
         return kept
     names = [f"`{c}`" for c in documents.columns]
     sortable = [f"`{f.name}`" for f in documents.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    again = kept.join(sized(twice), same_row(documents), "left_semi")
+    again = kept.join(sized(twice), same_row(documents, twice), "left_semi")
     whole, order = F.struct(*names), F.struct(*sortable)
     single = again.groupBy(F.col("doc_id").alias("llm_id"), F.xxhash64(text_of()).alias("llm_key")).agg(F.min_by(whole, order).alias("llm_row")).select("llm_row.*")
-    return kept.join(sized(twice), same_row(documents), "left_anti").unionByName(single)
+    return kept.join(sized(twice), same_row(documents, twice), "left_anti").unionByName(single)

@@ -111,12 +111,10 @@ def minhash_classes(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
 
 
 def without_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `documents` that `minhash_classes` keeps, all their columns as they are.
-
-    The columns `llm_id` and `llm_key` must not be in use.
-    """
+    """The rows of `documents` that `minhash_classes` keeps, all their columns as they are."""
     going = minhash_classes(documents, n, percent).where("NOT kept").select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key")).distinct()
-    return documents.join(sized(written(going, "minhash-going")), same_row(documents), "left_anti")
+    going = written(going, "minhash-going")
+    return documents.join(sized(going), same_row(documents, going), "left_anti")
 
 
 def _narrow(documents: DataFrame) -> DataFrame:

@@ -145,4 +145,5 @@ def without_live_secrets(documents: DataFrame, example_owners: int = 3, example_
     """The rows without a live-looking credential; copied examples do no harm and stay."""
     judged = scan(documents, example_owners, example_docs).where(F.col("n_live") > 0)
     live = judged.select(F.col("doc_id").alias("llm_id"), F.col("text_key").alias("llm_key")).distinct()
-    return documents.join(sized(written(live, "live-secrets")), same_row(documents), "left_anti")
+    live = written(live, "live-secrets")
+    return documents.join(sized(live), same_row(documents, live), "left_anti")

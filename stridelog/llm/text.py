@@ -63,7 +63,7 @@ def sized(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if few else narrow
 
 
-def same_row(documents: DataFrame) -> Column:
-    """Whether a row of documents is the one named by columns `llm_id` and `llm_key` of the other side."""
+def same_row(documents: DataFrame, named: DataFrame) -> Column:
+    """Whether a row of documents is the one that columns `llm_id` and `llm_key` of `named` name; documents may have such columns too."""
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    return documents["doc_id"].eqNullSafe(F.col("llm_id")) & (F.xxhash64(text) == F.col("llm_key"))
+    return documents["doc_id"].eqNullSafe(named["llm_id"]) & (F.xxhash64(text) == named["llm_key"])

@@ -356,6 +356,80 @@ def test_leaks_against_brute_force(spark):
     assert want and want <= got and len(got - want) <= 2
 
 
+def most_similar(words, items):
+    """For each item the largest weighted similarity of any window of its size, by trying all of them."""
+
+    def grams(some):
+        return {tuple(some[i : i + 3]) for i in range(len(some) - 2)}
+
+    spread = Counter(g for w in items.values() for g in grams(w))
+    out = {}
+    everywhere = grams(words)
+    for item, w in items.items():
+        if everywhere.isdisjoint(grams(w)):
+            continue
+        weight = {g: 1 + math.log(len(items) / spread[g]) for g in grams(w)}
+        total = sum(weight.values())
+        for start in range(len(words)):
+            here = grams(words[start : start + len(w)])
+            shared = sum(weight[g] for g in here if g in weight)
+            if shared:
+                found = shared / (total + sum(g not in weight for g in here) * total / len(weight))
+                out[item] = max(out.get(item, 0.0), found)
+    return out
+
+
+def test_leaks_recall_of_edited_passages(spark):
+    """Items with up to a sixth of their words replaced, against every window: at least 98 of 100 within the limit are found, and none else."""
+    random = __import__("random").Random(3)
+    items = {i: [f"w{random.randrange(400)}" for _ in range(random.randint(8, 60))] for i in range(150)}
+    texts = {}
+    for doc in range(900):
+        words = items[doc % 150][:]
+        for at in random.sample(range(len(words)), random.randint(0, len(words) // 6)):
+            words[at] = f"new{random.randrange(400)}"
+        texts[doc] = [f"x{random.randrange(400)}" for _ in range(random.randint(0, 20))] + words + ["y"] * random.randint(0, 5)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leak_report(docs, table).collect()}
+    all_found = {(d, i): s for d, w in texts.items() for i, s in most_similar(w, items).items()}
+    # Exact ties with the limit depend on the order of sums.
+    want = {pair for pair, s in all_found.items() if s >= 0.5 + 1e-9}
+    assert len(want) > 650 and set(got) <= {pair for pair, s in all_found.items() if s >= 0.5 - 1e-9}
+    print("recall", len(set(got) & want), len(want))
+    assert len(set(got) & want) >= 0.98 * len(want)
+    # Windows that no shared shingle places, such as ones cut off by the end of the text, may be a little more similar.
+    assert all(0.5 <= got[pair] <= all_found[pair] + 1e-9 for pair in got)
+
+
+def test_leaks_common_stem_names_no_pairs(spark, monkeypatch):
+    """2,000 documents and 400 items begin with the same eight words: no (document, item) pair comes from that."""
+    stem = "which of the following statements is most accurate"
+    items = spark.createDataFrame([(i, f"{stem} " + " ".join(f"i{i}w{k}" for k in range(12))) for i in range(400)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, f"{stem} " + " ".join(f"d{d}w{k}" for k in range(12))) for d in range(2000)] + [(-1, f"{stem} " + " ".join(f"i7w{k}" for k in range(12)))], "doc_id bigint, text string")
+    kept = {}
+    keep = leaks.written
+    monkeypatch.setattr(leaks, "written", lambda df, name: kept.setdefault(name, keep(df, name)))
+    assert [(r.doc_id, r.item_id) for r in leaks.leak_report(docs, items).collect()] == [(-1, 7)]
+    assert kept["leak-named"].count() == 1
+
+
+def test_leaks_of_a_very_long_text_and_reserved_names(spark):
+    long = " ".join(f"q{i % 9973}" for i in range(200_000))
+    rows = [(1, f"{long} {ITEM}", 5, "a"), (2, long, None, None), (2, long, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, llm_id bigint, llm_key string")
+    items = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    assert [(r.doc_id, r.start) for r in leaks.leak_report(docs, items).collect()] == [(1, 200_000)]
+    assert sorted(tuple(r)[::2] for r in leaks.without_leaks(docs, items).collect()) == [(2, None), (2, None)]
+
+
+@pytest.mark.parametrize("index", range(4))
+def test_stages_with_reserved_names(spark, index):
+    docs = documents(spark).selectExpr("*", "doc_id AS llm_id", "text AS llm_key", "'x' AS set_key", "lang AS word")
+    name, stage = corpus_pipeline.STAGES[index]
+    assert stage(spark, docs, SMALL).columns == docs.columns, name
+
+
 # pipeline --------------------------------------------------------------------------------------
 
 
