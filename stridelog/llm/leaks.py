@@ -144,17 +144,17 @@ def leaked_windows(documents: DataFrame, benchmark: DataFrame, least: float = 0.
         .withColumn("grams", F.array_distinct(trigrams(F.col("words"))))
     )
     near = F.array(*(F.lit(sum(1 << b for b in bits)) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(13), r)))
-    listed = items.select("item_key", "n", F.inline(_blocks(F.col("mark")))).select(
-        F.col("n").alias("m"), "block", F.explode(F.transform(near, lambda mask: F.col("value").bitwiseXOR(mask))).alias("value"), "item_key"
+    listed = items.select("item_key", "n", "mark", F.inline(_blocks(F.col("mark")))).select(
+        F.col("n").alias("m"), F.col("mark").alias("item_mark"), "block", F.explode(F.transform(near, lambda mask: F.col("value").bitwiseXOR(mask))).alias("value"), "item_key"
     )
     met = (
         windows.select("id", "key", "start", "n", "mark", "grams", F.inline(_blocks(F.col("mark"))))
         .join(listed, ["block", "value"])
-        .where(F.col("n") == F.col("m"))
-        .drop("block", "value", "m")
-        .join(items.select("item_key", "item_id", F.col("mark").alias("item_mark"), "weighted", "total", "mean"), "item_key")
+        # Fingerprints beyond the radius go in the join itself, before rows get wide.
         .withColumn("distance", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))))
-        .where(F.col("distance") <= RADIUS)
+        .where((F.col("n") == F.col("m")) & (F.col("distance") <= RADIUS))
+        .drop("block", "value", "m", "item_mark")
+        .join(items.select("item_key", "item_id", "weighted", "total", "mean"), "item_key")
     )
     common = F.filter("weighted", lambda w: F.array_contains("grams", w.gram))
     shared = F.aggregate(common, F.lit(0.0), lambda s, w: s + w.weight)
