@@ -85,8 +85,13 @@ def duration_label(secs: Column, cap_seconds: int) -> Column:
     """A dwell time as text: missing, an outlier above the cap, or seconds."""
     # The texts of the two cases; "p" stands for minutes.
     cap = f"{cap_seconds // 60}p" if cap_seconds % 60 == 0 else f"{cap_seconds}s"
+
+    # As SQL's printf, a pattern rounds the value that is stored, ties to even; format_string rounds its shortest decimal up.
+    def rounded(pattern: str) -> Column:
+        return F.call_function("format_number", secs, F.lit(pattern))
+
     return (
         F.when(secs.isNull(), F.lit("— (event cuối / không đo được)"))
-        .when(secs > cap_seconds, F.format_string(f"%.0fs (> {cap}, outlier)", secs))
-        .otherwise(F.format_string("%.1fs", secs))
+        .when(secs > cap_seconds, F.concat(rounded("0"), F.lit(f"s (> {cap}, outlier)")))
+        .otherwise(F.concat(rounded("0.0"), F.lit("s")))
     )

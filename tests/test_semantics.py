@@ -357,6 +357,16 @@ def test_duration_labels(spark):
     assert {r["l"] for r in records(over)} == {"1800s (> 10p, outlier)", "1801s (> 10p, outlier)"}
 
 
+def test_duration_labels_round_like_printf(spark):
+    """Values half way between two labels: the stored double decides, an exact tie goes to the even digit."""
+    us = [*range(50_000, 40_000_000, 100_000), *range(1_790_050_000, 1_802_000_000, 50_000), 0, 1, 49_999, 1_800_000_001]
+    table = spark.createDataFrame([(u,) for u in us], "us bigint").withColumn("s", F.col("us") / F.lit(1_000_000.0))
+    got = {r["us"]: r["l"] for r in records(table.select("us", duration_label(F.col("s"), 1800).alias("l")))}
+    wanted = {u: "%.0fs (> 30p, outlier)" % (u / 1e6) if u > 1_800_000_000 else "%.1fs" % (u / 1e6) for u in us}
+    assert got == wanted
+    assert [got[u] for u in (250_000, 350_000, 1_950_000, 1_800_500_000)] == ["0.2s", "0.3s", "1.9s", "1800s (> 30p, outlier)"]
+
+
 def test_timeline(spark):
     events = events_of(spark, ev("a", 0), ev("a", 2000), ev("a", 2001.5, None), ev("b", 0))
     rows = records(views.session_timeline(events, SPEC, "a"), "step")
