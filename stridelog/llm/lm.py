@@ -18,6 +18,7 @@ import ctypes
 import glob
 import os
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -58,15 +59,22 @@ def one_thread() -> None:
 class Numbers(dict):
     """A number for each word, in order of first use."""
 
+    def __init__(self) -> None:
+        self.names: list[bytes] = []
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
+        self[word] = number = len(self.names)
+        self.names.append(word)
         return number
 
 
 class Subwords:
-    """Subword ids of words, each with the blank before it; the words met lately are kept."""
+    """Subword ids of words, each with the blank before it; the words met lately are kept with their numbers.
+
+    `shares` are the base scores of words, where they are wanted.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, shares: dict[bytes, float] | None = None) -> None:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         # Very long words go in pieces, so their cost stays linear.
@@ -75,38 +83,49 @@ class Subwords:
         self.opens = np.zeros(self.end, bool)
         for token, rank in ranks.items():
             self.opens[rank] = token.startswith(b" ")
-        self.kept: dict[bytes, np.ndarray] = {}
-
-    def pieces(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; the empty word stands for the end."""
-        if len(self.kept) > 400_000:
-            self.kept.clear()
-        new = [w for w in words if w and w not in self.kept]
+        self.shares = shares or {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # The empty word stands for the end and has number 0.
+        self.numbers = Numbers()
+        self.numbers[b""]
+        self.flat, self.sizes = np.array([self.end], np.int32), np.ones(1, np.int64)
+        self.share = np.array([self.shares.get(b"", np.nan)])
+
+    def numbered(self, words: Iterable[bytes]) -> np.ndarray:
+        """The number of each word; `flat`, `starts` and `sizes` give the ids of every number, `share` its base score."""
+        if len(self.numbers) > 400_000:
+            self._forget()
+        told = np.fromiter(map(self.numbers.__getitem__, words), np.int64)
+        new = self.numbers.names[len(self.sizes) :]
         if new:
             # All new words in one text: a word begins where an id begins with a blank.
             text = b" " + b" ".join(new)
             ids = np.array(self.encoding.encode_ordinary(text.decode("utf-8", "replace")), np.int32)
             cuts = np.flatnonzero(self.opens[ids])
-            self.kept.update(zip(new, np.split(ids, cuts[1:]), strict=True))
-        end = np.array([self.end], np.int32)
-        return [self.kept[w] if w else end for w in words]
+            self.flat = np.concatenate([self.flat, ids])
+            self.sizes = np.concatenate([self.sizes, np.diff(cuts, append=len(ids))])
+            self.share = np.concatenate([self.share, np.array([self.shares.get(w, np.nan) for w in new])])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        return told
+
+    def pieces(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word; the empty word stands for the end."""
+        told = self.numbered(words)
+        return [self.flat[s : s + n] for s, n in zip(self.starts[told].tolist(), self.sizes[told].tolist(), strict=True)]
 
-    def sequence(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, Numbers, np.ndarray]:
+    def sequence(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """The ids of all documents in a row, each with the end id after it, and their lengths.
 
-        Also the words in use by number, and the number of each word, the ends included.
+        Also all words met by number, and the number of each word, the ends included.
         """
-        numbers = Numbers()
-        words = np.fromiter(map(numbers.__getitem__, chain.from_iterable(chain(d, (b"",)) for d in documents)), np.int64)
-        pieces = self.pieces(list(numbers))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces)
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[words]
+        words = self.numbered(chain.from_iterable(chain(d, (b"",)) for d in documents))
+        each = self.sizes[words]
         upto = np.cumsum(each)
-        ids = flat[np.repeat(starts[words] - (upto - each), each) + np.arange(int(each.sum()))]
+        ids = self.flat[np.repeat(self.starts[words] - (upto - each), each) + np.arange(int(each.sum()))]
         ends = np.cumsum([len(d) + 1 for d in documents])
-        return ids, np.diff(np.concatenate([[0], upto[ends - 1]])), numbers, words
+        return ids, np.diff(np.concatenate([[0], upto[ends - 1]])), self.numbers.names, words
 
 
 @dataclass
@@ -122,25 +141,28 @@ class Model:
     follows: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def each(self, ids: np.ndarray, lengths: np.ndarray, at_once: int = 64) -> np.ndarray:
+    def each(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each subword after those before it in its document."""
-        numbers = self.number[ids]
-        before = np.empty_like(numbers)
-        before[1:] = numbers[:-1]
-        before[np.cumsum(lengths) - lengths] = self.number[self.end]
-        out = self.spread[ids]
-        out += self.follows.take(before.astype(np.int32) * INPUTS + numbers)
-        windows, _ = windows_of(*led(numbers, lengths, self.number[self.end]))
+        return self.spread[ids] + self.of_numbers(*led(self.number[ids], lengths, self.number[self.end]))
+
+    def of_numbers(self, flat: np.ndarray, lengths: np.ndarray, at_once: int = 128) -> np.ndarray:
+        """log10 probability of each number of the rows of `windows_of`, in order, after those before it."""
+        windows, _ = windows_of(flat, lengths)
         found = np.empty((len(windows), NEW), np.float32)
+        follows, places = self.follows.reshape(-1), np.arange(at_once * NEW) * CLASSES
         for at in range(0, len(windows), at_once):
-            wanted = windows[at : at + at_once, AGAIN + 1 :].reshape(-1)
-            logits = lean(self.weights, self.prior, windows[at : at + at_once, :SPAN])
-            own = logits[np.arange(len(wanted)), self.kind[wanted]]
+            some = windows[at : at + at_once].astype(np.int64)
+            wanted = some[:, AGAIN + 1 :].reshape(-1)
+            logits = lean(self.weights, self.prior, some[:, :SPAN])
+            own = logits.reshape(-1).take(places[: len(wanted)] + self.kind.take(wanted))
             np.exp(logits, out=logits)
-            found[at : at + at_once] = (own - np.log(logits @ _ONES)).reshape(-1, NEW)
-        # Windows come in the order of the documents.
-        out += found[windows[:, AGAIN + 1 :] >= 0] * np.float32(np.log10(np.e))
-        return out
+            own -= np.log(logits @ _ONES)
+            own *= np.float32(np.log10(np.e))
+            # Where no number is wanted, any share will do.
+            own += follows.take(some[:, AGAIN:SPAN].reshape(-1) * INPUTS + wanted)
+            found[at : at + at_once] = own.reshape(-1, NEW)
+        # Windows come in the order of the rows.
+        return found[windows[:, AGAIN + 1 :] >= 0]
 
     def logprobs(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each document."""
@@ -228,46 +250,73 @@ def lean(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray) -> np.
 
 
 def gradients(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray, targets: np.ndarray, kind: np.ndarray):
-    """Mean loss in nats and the gradient of each weight."""
-    logits, (x, late, q, k, v, a, o, h) = forward(w, prior, inputs)
-    p = logits.reshape(-1, CLASSES)
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    want = targets.reshape(-1)
+    """Mean loss in nats and the gradient of each weight, in as few passes as `lean`."""
+    n, inputs, want = len(inputs), inputs.astype(np.int64), targets.reshape(-1).astype(np.int64)
+    type_, scale = w["embed"].dtype, w["embed"].dtype.type(WIDTH**-0.5)
+    x = w["embed"].take(inputs, axis=0)
+    x += w["place"]
+    lf, xf = np.ascontiguousarray(x[:, AGAIN:]).reshape(-1, WIDTH), x.reshape(-1, WIDTH)
+    q = (lf @ (w["query"] * scale)).reshape(n, NEW, WIDTH)
+    k = (xf @ w["key"]).reshape(n, SPAN, WIDTH)
+    # The column of ones gives the sum of the weights, and on the way back their mean gradient.
+    v = np.ones((n, SPAN, WIDTH + 1), type_)
+    v[:, :, :WIDTH] = (xf @ w["value"]).reshape(n, SPAN, WIDTH)
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+    a *= _SEEN
+    short = np.flatnonzero((inputs < 0).any(axis=1))
+    if len(short):
+        a[short] *= (inputs[short] >= 0)[:, None, :]
+    o = (a @ v).reshape(-1, WIDTH + 1)
+    per = 1 / np.maximum(o[:, WIDTH:], type_.type(1e-30))
+    mean = o[:, :WIDTH] * per
+    hf = np.ones((len(lf), WIDTH + 1), type_)
+    np.tanh(lf @ w["own"] + mean @ w["mix"], out=hf[:, :WIDTH])
+    p = hf @ np.concatenate([w["out"], w["bias"][None, :]])
+    p += prior.take(inputs[:, AGAIN:].reshape(-1), axis=0)
+    # Only large weights could overflow.
+    if p.max() > 60:
+        p -= p.max(axis=1, keepdims=True)
     real = want >= 0
-    at = np.arange(len(want)), kind[want]
+    at = np.arange(len(want)) * CLASSES + kind.take(want)
     total = max(int(real.sum()), 1)
-    loss = -np.log(p[at] + 1e-30)[real].sum() / total
-    p[at] -= 1
-    p *= (real / np.float32(total)).astype(np.float32)[:, None]
-    flat = lambda m: m.reshape(-1, WIDTH)
-    hf, lf, xf = flat(h), flat(late), flat(x)
-    g = {"out": hf.T @ p, "bias": p.sum(axis=0)}
-    dz = (p @ w["out"].T) * (1 - hf * hf)
+    own = p.reshape(-1).take(at)
+    np.exp(p, out=p)
+    sums = p @ _ONES.astype(type_)
+    loss = (np.log(sums) - own)[real].sum() / total
+    part = real.astype(type_) / type_.type(total)
+    p *= (part / sums)[:, None]
+    p.reshape(-1)[at] -= part
+    both = hf.T @ p
+    g = {"out": both[:WIDTH], "bias": both[WIDTH]}
+    h = hf[:, :WIDTH]
+    dz = (p @ w["out"].T) * (1 - h * h)
     g["own"] = lf.T @ dz
-    g["mix"] = flat(o).T @ dz
-    do = (dz @ w["mix"].T).reshape(o.shape)
+    g["mix"] = mean.T @ dz
+    do = np.empty((len(lf), WIDTH + 1), type_)
+    np.multiply(dz @ w["mix"].T, per, out=do[:, :WIDTH])
+    do[:, WIDTH] = -(do[:, :WIDTH] * mean).sum(axis=1)
+    do = do.reshape(n, NEW, WIDTH + 1)
     da = do @ v.transpose(0, 2, 1)
-    dv = flat(a.transpose(0, 2, 1) @ do)
-    # The sum of a * da over what a query sees is that of o * do.
-    da -= (o * do).sum(axis=2, keepdims=True)
     da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq, dk = flat(da @ k), flat(da.transpose(0, 2, 1) @ q)
+    dv = (a.transpose(0, 2, 1) @ do[:, :, :WIDTH]).reshape(-1, WIDTH)
+    # `q` has the scale in it.
+    dq = (da @ k).reshape(-1, WIDTH) * scale
+    dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
     g["query"] = lf.T @ dq
     g["key"] = xf.T @ dk
     g["value"] = xf.T @ dv
     dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(x.shape)
-    dx[:, AGAIN:] += (dz @ w["own"].T + dq @ w["query"].T).reshape(late.shape)
+    dx[:, AGAIN:] += (dz @ w["own"].T + dq @ w["query"].T).reshape(n, NEW, WIDTH)
     g["place"] = dx.sum(axis=0)
     g["embed"] = np.zeros_like(w["embed"])
     # The rows of one embedding are added up as neighbours.
-    used = inputs.reshape(-1)
+    used = inputs.reshape(-1).astype(np.int16)
     order = np.argsort(used, kind="stable")
     used = used[order]
     starts = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-    g["embed"][used[starts]] = np.add.reduceat(flat(dx)[order], starts, axis=0)
+    g["embed"][used[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
     return loss, g
 
 
@@ -397,32 +446,47 @@ def _id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 
 def learn(
-    documents: DataFrame, counts: DataFrame, n_words: int, path: str, shard_windows: int = 32_768, rounds: int = 16, least_gain: float | None = 0.005
+    documents: DataFrame, counts: DataFrame, n_words: int, path: str, shard_windows: int = 32_768, rounds: int = 16, least_gain: float | None = None
 ) -> Model:
-    """A model with ids and neighbours counted over all training texts, and attention weights learned in rounds.
+    """A model with ids and neighbours counted over all training texts, and attention weights learned from all their windows, in rounds.
 
     Training texts are cut into runs of CHUNK windows. Each run belongs to one round and one shard by a hash of
     (doc_id, text, run), so neither copies nor long texts stay together, and the result does not depend on
     partitions. In a round each shard goes on from the same weights over its windows; then the weights are averaged
     by the numbers of windows. The number of shards, and so what a round learns from, grows with the corpus.
 
-    Windows of a round are new to the model, so their loss before they are learned from is a held-out loss, here
-    taken as a part of what the counts alone lose on them. Rounds end when it has twice in a row not become less than
-    the least so far by the part `least_gain`; with None all windows are learned from. Small corpora pass over their windows again until all rounds would have LEAST_STEPS steps.
+    Small corpora pass over their windows again until all rounds have LEAST_STEPS steps. With `least_gain` the attention
+    learns from a part of the windows: those of a round are new to the model, so their loss before they are learned from is
+    a held-out loss, here taken as a part of what the counts alone lose on them, and rounds end when it has twice in a row
+    not become less than the least so far by the part `least_gain`.
     """
+    ids = _id_counts(counts, path) if n_words else _no_ids(path)
     spark = documents.sparkSession
-    if not n_words:
-        with open(path, "rb") as lines:
-            end = sum(1 for _ in lines)
-        return untrained(np.zeros(end + 1), end, np.zeros((INPUTS, INPUTS)))
-    ids = _id_counts(counts, path)
+    table = fresh_path(spark, "lm-runs")
+    shards, passes = _shards(ids, shard_windows, rounds)
+    _runs(documents, ids, path, rounds, shards).write.partitionBy("round").option("compression", "zstd").parquet(table)
+    model = _learned(spark.read.schema("shard int, numbers binary, round int").parquet(table), ids, shards, passes, rounds, least_gain)
+    remove(spark, table)
+    return model
+
+
+def _no_ids(path: str) -> np.ndarray:
+    with open(path, "rb") as lines:
+        return np.zeros(sum(1 for _ in lines) + 1)
+
+
+def _shards(ids: np.ndarray, shard_windows: int, rounds: int) -> tuple[int, int]:
+    """Shards of a round, and how often each passes over its windows."""
     # Windows hold NEW subwords, so there are about this many.
     about = max(1.0, ids.sum() / NEW)
     shards = int(-(-about // (rounds * shard_windows)))
-    passes = int(-(-LEAST_STEPS // max(1.0, about / shards / BATCH)))
-    table = fresh_path(spark, "lm-runs")
-    _runs(documents, ids, path, rounds, shards).write.partitionBy("round").option("compression", "zstd").parquet(table)
-    runs = spark.read.schema("shard int, numbers binary, round int").parquet(table)
+    return shards, int(-(-LEAST_STEPS // max(1.0, about / shards / BATCH)))
+
+
+def _learned(runs: DataFrame, ids: np.ndarray, shards: int, passes: int, rounds: int, least_gain: float | None) -> Model:
+    """The model of stored training runs."""
+    if not ids.any():
+        return untrained(ids, len(ids) - 1, np.zeros((INPUTS, INPUTS)))
     model = untrained(ids, len(ids) - 1, _pair_counts(runs))
     best, idle = np.inf, 0
     for done in range(rounds):
@@ -438,7 +502,6 @@ def learn(
             if idle == 2:
                 break
         best = min(best, loss)
-    remove(spark, table)
     return model
 
 
@@ -452,15 +515,26 @@ def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
 
 
 def _runs(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shards: int) -> DataFrame:
-    """(round, shard, numbers): the numbers of a run of windows, two bytes each, behind those that the first window sees; -1 is none."""
-    shared = documents.sparkSession.sparkContext.broadcast((numbered(ids)[0], len(ids) - 1))
+    """(round, shard, numbers) of the training rows, see `_encoded`."""
+    return _encoded(documents.where(~held_out()), ids, path, rounds, shards).select("round", "shard", "numbers")
+
+
+def _encoded(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shards: int, shares: dict[bytes, float] | None = None) -> DataFrame:
+    """All rows as runs of windows, with what the scores need beside their numbers.
+
+    numbers are those of the run, two bytes each, behind those that the first window sees; -1 is none. Held-out rows have round -1.
+    The first run (run 0) of a row also has the number of its tokens, and of those with a share; the sum of their shares; of its ids the shares
+    among those of their numbers (score); and its other words with their number of times. Without `shares` only score is set there.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((*numbered(ids), len(ids) - 1, shares))
 
     def dealt(batches):
-        (number, end), subwords = shared.value, Subwords(path)
+        number, spread, end, shares = shared.value
+        subwords = Subwords(path, shares)
         for batch in slices(batches):
-            told, lengths = subwords.sequence([t.lower().split() for t in texts(batch)])[:2]
-            numbers = number[told]
-            flat, room = led(numbers, lengths, number[end])
+            split = [t.lower().split() for t in texts(batch)]
+            told, lengths, names, words = subwords.sequence(split)
+            flat, room = led(number[told], lengths, number[end])
             places = np.cumsum(room) - room
             count = -(-lengths // CHUNK)
             document = np.repeat(np.arange(len(lengths)), count)
@@ -469,13 +543,50 @@ def _runs(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shards:
             last = np.minimum(first + AGAIN + 1 + CHUNK, (places + room)[document])
             keys = batch.column("row_key").to_numpy().view(np.uint64)
             cell = (mixed(keys[document] + mixed(run.astype(np.uint64))) % np.uint64(rounds * shards)).astype(np.int64)
+            held = batch.column("held").to_numpy(zero_copy_only=False)[document]
             blobs = [flat[f:t].tobytes() for f, t in zip(first.tolist(), last.tolist(), strict=True)]
+
+            def once(values):
+                # In the first run of each row, 0 in the others.
+                return np.where(run == 0, values[document], values.dtype.type(0))
+
+            n_tokens = np.array([len(d) + 1 for d in split])
+            starts = np.cumsum(n_tokens) - n_tokens
+            each = subwords.share[words]
+            rare = np.isnan(each)
+            # Rare words of each document with their number of times.
+            at = np.flatnonzero(rare) if shares else np.zeros(0, np.int64)
+            pairs = (np.searchsorted(starts, at, "right") - 1) * len(names) + words[at]
+            pairs, times = np.unique(pairs, return_counts=True)
+            others = pa.StructArray.from_arrays([pa.array([names[w] for w in (pairs % len(names)).tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
+            cuts = np.searchsorted(pairs // len(names), np.append(document, len(split)) + np.append(run > 0, False))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell % rounds, pa.int32()), pa.array(cell // rounds, pa.int32()), pa.array(blobs, pa.binary())], ["round", "shard", "numbers"]
-            )
+                [
+                    batch.column("doc_id").take(pa.array(document)), batch.column("text_key").take(pa.array(document)), pa.array(run, pa.int32()),
+                    pa.array(cell // rounds, pa.int32()), pa.array(blobs, pa.binary()), pa.array(once(n_tokens), pa.int64()),
+                    pa.array(once(np.add.reduceat((~rare).astype(np.int64), starts)), pa.int64()),
+                    pa.array(once(np.add.reduceat(np.where(rare, 0.0, each), starts)), pa.float64()),
+                    pa.array(once(np.add.reduceat(spread[told], np.cumsum(lengths) - lengths, dtype=float)), pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), others), pa.array(np.where(held, -1, cell % rounds), pa.int32()),
+                ],
+                ["doc_id", "text_key", "run", "shard", "numbers", "n_tokens", "n_known", "base_score", "score", "tail", "round"],
+            )
+
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text_of().alias("text"),
+        F.xxhash64(text_of()).alias("text_key"),
+        F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("row_key"),
+        held_out().alias("held"),
+    )
+    return rows.mapInArrow(dealt, RUNS)
+
 
-    rows = documents.where(~held_out()).select(text_of().alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text_of()).alias("row_key"))
-    return rows.mapInArrow(dealt, "round int, shard int, numbers binary")
+#: Rows of `_encoded`; they are stored by round.
+RUNS = (
+    "doc_id long, text_key long, run int, shard int, numbers binary, n_tokens long, n_known long, base_score double, score double, "
+    "tail array<struct<word: binary, times: long>>, round int"
+)
 
 
 def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -563,12 +674,12 @@ def _fitted(runs: DataFrame, model: Model, shards: int, passes: int, done: int)
 
 
 def language_model_scores(
-    documents: DataFrame, path: str = TOKENIZER, shard_windows: int = 32_768, rounds: int = 16, least_gain: float | None = 0.005
+    documents: DataFrame, path: str = TOKENIZER, shard_windows: int = 32_768, rounds: int = 16, least_gain: float | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
-    All training rows are counted, of words, subwords and neighbours; `shard_windows` is what one task learns attention
-    from in a round, `rounds` how often weights are averaged at most, `least_gain` when they are good enough (see `learn`).
+    All training rows are counted, of words, subwords and neighbours, and attention learns from all their windows; `shard_windows`
+    is what one task learns from in a round, `rounds` how often weights are averaged, `least_gain` ends them early (see `learn`).
 
     Rows with a null doc_id teach and are not held out; a null text is an empty one, whose only token is
     its end. Rows equal in doc_id and text have equal results. Other columns are not read.
@@ -580,58 +691,60 @@ def language_model_scores(
     total, distinct, ends = known.n or 0, known.v, known.ends or 0
     floor = np.log10(total + 0.1 * (distinct + 1))
     head = counts.where((F.length("word") > 0) & (F.col("c") * HEAD_WORDS >= total)).toPandas()
-    shared = spark.sparkContext.broadcast(
-        (learn(documents, counts, total - ends, path, shard_windows, rounds, least_gain), dict(zip(map(bytes, head["word"]), head["c"].tolist(), strict=True)))
-    )
+    shares = {bytes(w): float(np.log10(c + 0.1) - floor) for w, c in zip(head["word"], head["c"].tolist(), strict=True)}
+    shares[b""] = float(np.log10(ends + 0.1) - floor)
+
+    # Every row is encoded once, for the training and for its score.
+    ids = _id_counts(counts, path) if total > ends else _no_ids(path)
+    shards, passes = _shards(ids, shard_windows, rounds)
+    table = fresh_path(spark, "lm-runs")
+    _encoded(documents, ids, path, rounds, shards, shares).write.partitionBy("round").option("compression", "zstd").parquet(table)
+    runs = spark.read.schema(RUNS).parquet(table)
+    shared = spark.sparkContext.broadcast(_learned(runs.where("round >= 0"), ids, shards, passes, rounds, least_gain))
 
     def scored(batches):
         one_thread()
-        model, frequent = shared.value
-        subwords = Subwords(path)
-        logs = {w: float(np.log10(c + 0.1) - floor) for w, c in frequent.items()}
-        logs[b""] = float(np.log10(ends + 0.1) - floor)
-        for batch in slices(batches, 1 << 18):
-            documents = [t.lower().split() for t in texts(batch)]
-            ids, lengths, numbers, words = subwords.sequence(documents)
-            score = model.logprobs(ids, lengths)
-            names = list(numbers)
-            each = np.array([logs.get(w, np.nan) for w in names])[words]
-            rare = np.isnan(each)
-            starts = np.cumsum([0] + [len(d) + 1 for d in documents])[:-1]
-            base = np.add.reduceat(np.where(rare, 0.0, each), starts)
-            # The end stands in training texts only if there are any.
-            found = np.add.reduceat((~rare).astype(np.int64), starts) - (ends == 0)
-            # Rare words of each document with their number of times.
-            at = np.flatnonzero(rare)
-            keys = (np.searchsorted(starts, at, "right") - 1) * len(names) + words[at]
-            keys, times = np.unique(keys, return_counts=True)
-            rare_words = pa.array(names, pa.binary()).take(pa.array(keys % len(names)))
-            pairs = pa.StructArray.from_arrays([rare_words, pa.array(times)], names=["word", "times"])
-            cuts = np.searchsorted(keys // len(names), np.arange(len(documents) + 1))
-            tails = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("text_key"), pa.array([len(d) + 1 for d in documents], pa.int64()), pa.array(found, pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(score, pa.float64()), tails,
-                ],
-                ["doc_id", "text_key", "n_tokens", "n_known", "base_score", "score", "tail"],
-            )
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_key", F.xxhash64("text"))
-    schema = "doc_id long, text_key long, n_tokens long, n_known long, base_score double, score double, tail array<struct<word: binary, times: long>>"
-    first = written(rows.mapInArrow(scored, schema), "lm-scores")
-
-    tail = first.where(F.size("tail") > 0).select("doc_id", "text_key", F.posexplode("tail").alias("place", "rare"))
-    tail = tail.select("doc_id", "text_key", "place", "rare.word", "rare.times")
-    # Rows that are repeated as a whole come together here; each has one place 0.
-    copies = F.count_if(F.col("place") == 0)
+        model = shared.value
+        for batch in slices(batches, 1 << 20):
+            flat, lengths = _joined(batch.column("numbers").to_pylist())
+            own = lengths - AGAIN - 1
+            score = np.add.reduceat(model.of_numbers(flat, lengths), np.cumsum(own) - own, dtype=float) + batch.column("score").to_numpy()
+            kept = ["doc_id", "text_key", "run", "n_tokens", "n_known", "base_score", "tail"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "score"])
+
+    kept = "doc_id", "text_key", "run", "numbers", "n_tokens", "n_known", "base_score", "score", "tail"
+    schema = "doc_id long, text_key long, run int, n_tokens long, n_known long, base_score double, tail array<struct<word: binary, times: long>>, score double"
+    every = written(runs.select(*kept).mapInArrow(scored, schema), "lm-scores")
+    remove(spark, table)
+    first = every.where("run = 0")
+    # The end stands in training texts only if there are any.
+    first = first.withColumn("n_known", F.col("n_known") - F.lit(int(ends == 0)))
+
+    zero = F.lit(0.0)
+    tail = first.where(F.size("tail") > 0).select("doc_id", "text_key", F.explode("tail").alias("rare"))
+    tail = tail.select("doc_id", "text_key", "rare.word", "rare.times").join(counts, "word", "left")
+    parts = tail.select(
+        "doc_id",
+        "text_key",
+        (F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.lit(float(floor)))).alias("more"),
+        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("more_known"),
+        zero.alias("more_score"),
+        F.lit(0).alias("copy"),
+    )
+    later = every.where("run > 0").select("doc_id", "text_key", zero, F.lit(0).cast("long"), "score", F.lit(0))
+    # Rows that are repeated as a whole come together here; each of them has one run 0.
+    rows = first.select("doc_id", "text_key", zero, F.lit(0).cast("long"), zero, F.lit(1))
     missing = (
-        tail.join(counts, "word", "left")
+        parts.union(later)
+        .union(rows)
         .groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         .agg(
-            (F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.lit(float(floor)))) / copies).alias("more"),
-            (F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)) / copies).cast("long").alias("more_known"),
+            F.sum("copy").alias("copies"),
+            F.sum("more").alias("more"),
+            F.sum("more_known").alias("more_known"),
+            F.sum("more_score").alias("more_score"),
         )
+        .select("id", "key", *((F.col(c) / F.col("copies")).alias(c) for c in ("more", "more_score")), (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"))
     )
     return first.join(missing, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").select(
         "doc_id",
@@ -640,5 +753,5 @@ def language_model_scores(
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -333,6 +333,44 @@ def test_lm_learns_from_all_windows(spark, monkeypatch):
     assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in models[0].weights)
 
 
+def test_lm_default_leaves_no_window_out(spark, monkeypatch):
+    """Texts that are learned at once, so a held-out loss stops falling long before the last round."""
+    docs = spark.createDataFrame([(i, "red green blue " * 2000) for i in range(1, 21)], "doc_id bigint, text string").cache()
+    counts = lm.word_counts(docs).cache()
+    stored = lm._runs(docs, lm._id_counts(counts, lm.TOKENIZER), lm.TOKENIZER, 16, 1).collect()
+    windows = len(lm.windows_of(*lm._joined([bytes(r.numbers) for r in stored]))[0])
+    learned, fitted = [], lm._fitted
+
+    def seen(*given):
+        rows = fitted(*given).cache()
+        learned.append(sum(r.n for r in rows.collect()))
+        return rows
+
+    monkeypatch.setattr(lm, "_fitted", seen)
+    lm.learn(docs, counts, 1, lm.TOKENIZER)
+    assert len(learned) == 16 and sum(learned) == windows
+    learned.clear()
+    lm.language_model_scores(docs).collect()
+    assert len(learned) == 16 and sum(learned) == windows
+
+
+def test_lm_scores_of_long_and_repeated_rows(spark):
+    """Runs of a text are scored apart and come together again, for rows that occur twice too."""
+    random = np.random.default_rng(9)
+    rows = [(i, " ".join(map(str, random.integers(0, 900, n)))) for i, n in ((20, 4000), (21, 3), (22, 1500), (7, 2600), (None, 2000))]
+    docs = spark.createDataFrame([*rows, rows[0], (20, "a b"), (23, None)], "doc_id bigint, text string").cache()
+    counts = lm.word_counts(docs).cache()
+    model = lm.learn(docs, counts, 1, lm.TOKENIZER)
+    subwords = lm.Subwords(lm.TOKENIZER)
+    got = [(r.doc_id, r.n_tokens, r.score) for r in lm.language_model_scores(docs).collect()]
+    wanted = []
+    for i, text in [*rows, rows[0], (20, "a b"), (23, "")]:
+        words = text.encode().lower().split()
+        wanted.append((i, len(words) + 1, pytest.approx(float(model.logprobs(*subwords.sequence([words])[:2])[0]), rel=1e-5)))
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
 def test_lm_held_out_beats_untrained_and_counts_of_known_words(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     told, teach = ([(r.text or "").encode().lower().split() for r in docs.where(c).collect()] for c in (lm.held_out(), ~lm.held_out()))
