@@ -17,18 +17,18 @@ import base64
 import ctypes
 import glob
 import os
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelog.llm.batches import mixed, slices, texts
+from stridelog.llm.batches import mixed, slices
 from stridelog.llm.text import text_of
 from stridelog.session import fresh_path, remove, written
 
@@ -39,6 +39,8 @@ HEAD_WORDS = 2_000_000
 #: Numbers of ids (each an embedding), width, classes, new and repeated subwords of a window.
 INPUTS, WIDTH, CLASSES, NEW, AGAIN = 2048, 16, 32, 24, 8
 SPAN = NEW + AGAIN
+#: Weight of seeing nothing, beside those of the numbers that are seen.
+SINK = 0.01
 #: Subwords of a run of windows that is learned from as a whole.
 CHUNK = 64 * NEW
 #: Step length of the training, and by how much it is shortened from round to round.
@@ -48,12 +50,20 @@ BATCH, LEAST_STEPS, PARTS = 256, 1000, 16
 
 
 def one_thread() -> None:
-    """Products of matrices in this process use one thread: a task has one core, while Spark allows each as many as its executor has."""
+    """Products of matrices in this process use one thread: a task has one core, while Spark allows each as many as its executor has.
+
+    Arrays of a step are taken from memory that the process keeps: getting its pages anew each time took longer than filling them.
+    """
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
         library = ctypes.CDLL(path)
         for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
             if hasattr(library, name):
                 getattr(library, name)(1)
+    process = ctypes.CDLL(None)
+    if hasattr(process, "mallopt"):
+        # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD of glibc: arrays below 4 MB, up to 64 MB of them.
+        process.mallopt(-3, 4 << 20)
+        process.mallopt(-1, 64 << 20)
 
 
 class Numbers(dict):
@@ -121,11 +131,14 @@ class Subwords:
         Also all words met by number, and the number of each word, the ends included.
         """
         words = self.numbered(chain.from_iterable(chain(d, (b"",)) for d in documents))
+        return *self.laid(words, np.array([len(d) + 1 for d in documents])), self.numbers.names, words
+
+    def laid(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all numbers of words in a row, and how many each stretch of words, `lengths` long, has."""
         each = self.sizes[words]
         upto = np.cumsum(each)
         ids = self.flat[np.repeat(self.starts[words] - (upto - each), each) + np.arange(int(each.sum()))]
-        ends = np.cumsum([len(d) + 1 for d in documents])
-        return ids, np.diff(np.concatenate([[0], upto[ends - 1]])), self.numbers.names, words
+        return ids, np.diff(np.concatenate([[0], upto[np.cumsum(lengths) - 1]]))
 
 
 @dataclass
@@ -195,88 +208,73 @@ def windows_of(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
 
 _SEEN = (np.arange(SPAN)[None, :] <= np.arange(NEW)[:, None] + AGAIN).astype(np.float32)
 _ONES = np.ones(CLASSES, np.float32)
-_CAUSAL = np.where(_SEEN > 0, 0, -1e9).astype(np.float32)
-
-
-def forward(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray):
-    """Class logits (window, NEW, class) and what the way back needs."""
-    x = w["embed"][inputs] + w["place"]
-    late = np.ascontiguousarray(x[:, AGAIN:])
-    q = late @ w["query"]
-    k = x @ w["key"]
-    v = x @ w["value"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += _CAUSAL
-    a += np.where(inputs >= 0, np.float32(0), np.float32(-1e9))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    h = np.tanh(late @ w["own"] + o @ w["mix"])
-    return h @ w["out"] + w["bias"] + prior[inputs[:, AGAIN:]], (x, late, q, k, v, a, o, h)
+_CELLS = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
 
 
-def lean(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray) -> np.ndarray:
-    """The logits of `forward`, two-dimensional, with fewer passes: bounded from above instead of shifted by the largest."""
+def attended(w: dict[str, np.ndarray], inputs: np.ndarray):
+    """What queries see, their weights, and each query's number beside the mean of what it sees, (window x NEW, 2 WIDTH).
+
+    A query weighs a number with (1 + q.k / 4)**4, which is close to the exponential function and takes products only. Keys and
+    values are the embeddings themselves: a matrix of their own would be multiplied with that of the queries, or with `mix`.
+    `SINK` is the weight of seeing nothing.
+    """
+    n, type_ = len(inputs), w["embed"].dtype.type
     x = w["embed"].take(inputs, axis=0)
     x += w["place"]
-    late = np.ascontiguousarray(x[:, AGAIN:]).reshape(-1, WIDTH)
-    x = x.reshape(-1, WIDTH)
-    q = (late @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(-1, NEW, WIDTH)
-    k = (x @ w["key"]).reshape(-1, SPAN, WIDTH)
-    # A column of ones beside the values gives the sum of the weights.
-    v = np.ones((len(inputs), SPAN, WIDTH + 1), np.float32)
-    v[:, :, :WIDTH] = (x @ w["value"]).reshape(-1, SPAN, WIDTH)
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    short = np.flatnonzero((inputs < 0).any(axis=1))
+    both = np.empty((n * NEW, 2 * WIDTH), type_)
+    both[:, :WIDTH].reshape(n, NEW, WIDTH)[:] = x[:, AGAIN:]
+    q = (both[:, :WIDTH] @ (w["look"] * type_(0.25 * WIDTH**-0.5))).reshape(n, NEW, WIDTH)
+    t = q @ x.transpose(0, 2, 1)
+    t += 1
+    t *= _SEEN
+    # Places without a number are the first or the last of a window.
+    short = np.flatnonzero((inputs[:, 0] < 0) | (inputs[:, -1] < 0))
     if len(short):
-        a[short] *= (inputs[short] >= 0)[:, None, :]
-    o = (a @ v).reshape(-1, WIDTH + 1)
-    # A padded query sees nothing; its logits are not used.
-    mean = o[:, :WIDTH] / np.maximum(o[:, WIDTH:], np.float32(1e-30))
-    h = np.ones((len(late), WIDTH + 1), np.float32)
-    np.tanh(late @ w["own"] + mean @ w["mix"], out=h[:, :WIDTH])
-    out = np.concatenate([w["out"], w["bias"][None, :]])
-    logits = h @ out
+        t[short] *= (inputs[short] >= 0)[:, None, :]
+    return x, both, q, t
+
+
+def lean(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Class logits (window x NEW, class) by masked attention, added to those of the counts."""
+    x, both, _, t = attended(w, inputs)
+    t *= t
+    t *= t
+    per = 1 / ((t @ np.ones(SPAN, np.float32)).reshape(-1, 1) + np.float32(SINK))
+    np.multiply((t @ x).reshape(-1, WIDTH), per, out=both[:, WIDTH:])
+    h = both @ np.concatenate([w["own"], w["mix"]])
+    h /= np.abs(h) + 1
+    logits = h @ w["out"]
+    logits += w["bias"]
     # As h is at most 1, so large weights alone could overflow.
-    if np.abs(out).sum(axis=0).max() > 60:
+    if (np.abs(w["out"]).sum(axis=0) + np.abs(w["bias"])).max() > 60:
         np.clip(logits, -60, 60, out=logits)
     logits += prior.take(inputs[:, AGAIN:].reshape(-1), axis=0)
     return logits
 
 
 def gradients(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray, targets: np.ndarray, kind: np.ndarray):
-    """Mean loss in nats and the gradient of each weight, in as few passes as `lean`."""
+    """Mean loss in nats and the gradient of each weight."""
     n, inputs, want = len(inputs), inputs.astype(np.int64), targets.reshape(-1).astype(np.int64)
-    type_, scale = w["embed"].dtype, w["embed"].dtype.type(WIDTH**-0.5)
-    x = w["embed"].take(inputs, axis=0)
-    x += w["place"]
-    lf, xf = np.ascontiguousarray(x[:, AGAIN:]).reshape(-1, WIDTH), x.reshape(-1, WIDTH)
-    q = (lf @ (w["query"] * scale)).reshape(n, NEW, WIDTH)
-    k = (xf @ w["key"]).reshape(n, SPAN, WIDTH)
-    # The column of ones gives the sum of the weights, and on the way back their mean gradient.
-    v = np.ones((n, SPAN, WIDTH + 1), type_)
-    v[:, :, :WIDTH] = (xf @ w["value"]).reshape(n, SPAN, WIDTH)
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= _SEEN
-    short = np.flatnonzero((inputs < 0).any(axis=1))
-    if len(short):
-        a[short] *= (inputs[short] >= 0)[:, None, :]
-    o = (a @ v).reshape(-1, WIDTH + 1)
-    per = 1 / np.maximum(o[:, WIDTH:], type_.type(1e-30))
-    mean = o[:, :WIDTH] * per
-    hf = np.ones((len(lf), WIDTH + 1), type_)
-    np.tanh(lf @ w["own"] + mean @ w["mix"], out=hf[:, :WIDTH])
-    p = hf @ np.concatenate([w["out"], w["bias"][None, :]])
-    p += prior.take(inputs[:, AGAIN:].reshape(-1), axis=0)
+    type_ = w["embed"].dtype.type
+    x, both, q, t = attended(w, inputs)
+    # The weights, and below them the gradients of what they are the fourth power of, meet keys and values in one product.
+    pair, turned = np.empty((n, 2 * NEW, SPAN), type_), np.empty((n, 2 * NEW, WIDTH), type_)
+    cubes = t * t
+    per = 1 / (np.einsum("nqk,nqk->nq", cubes, cubes).reshape(-1, 1) + type_(SINK))
+    shares = cubes.reshape(-1, SPAN) * per
+    shares = shares.reshape(n, NEW, SPAN)
+    a = np.multiply(cubes, shares, out=pair[:, :NEW])
+    t *= shares
+    both[:, WIDTH:] = (a @ x).reshape(-1, WIDTH)
+    joint = np.concatenate([w["own"], w["mix"]])
+    h = both @ joint
+    steep = np.abs(h)
+    steep += 1
+    h /= steep
+    p = h @ w["out"]
+    p += (prior + w["bias"]).take(inputs[:, AGAIN:].reshape(-1), axis=0)
     # Only large weights could overflow.
-    if p.max() > 60:
+    if (np.abs(w["out"]).sum(axis=0) + np.abs(w["bias"])).max() > 60:
         p -= p.max(axis=1, keepdims=True)
     real = want >= 0
     at = np.arange(len(want)) * CLASSES + kind.take(want)
@@ -285,38 +283,32 @@ def gradients(w: dict[str, np.ndarray], prior: np.ndarray, inputs: np.ndarray, t
     np.exp(p, out=p)
     sums = p @ _ONES.astype(type_)
     loss = (np.log(sums) - own)[real].sum() / total
-    part = real.astype(type_) / type_.type(total)
+    part = real.astype(type_) / type_(total)
     p *= (part / sums)[:, None]
     p.reshape(-1)[at] -= part
-    both = hf.T @ p
-    g = {"out": both[:WIDTH], "bias": both[WIDTH]}
-    h = hf[:, :WIDTH]
-    dz = (p @ w["out"].T) * (1 - h * h)
-    g["own"] = lf.T @ dz
-    g["mix"] = mean.T @ dz
-    do = np.empty((len(lf), WIDTH + 1), type_)
-    np.multiply(dz @ w["mix"].T, per, out=do[:, :WIDTH])
-    do[:, WIDTH] = -(do[:, :WIDTH] * mean).sum(axis=1)
-    do = do.reshape(n, NEW, WIDTH + 1)
-    da = do @ v.transpose(0, 2, 1)
-    da *= a
-    dv = (a.transpose(0, 2, 1) @ do[:, :, :WIDTH]).reshape(-1, WIDTH)
-    # `q` has the scale in it.
-    dq = (da @ k).reshape(-1, WIDTH) * scale
-    dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-    g["query"] = lf.T @ dq
-    g["key"] = xf.T @ dk
-    g["value"] = xf.T @ dv
-    dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(x.shape)
-    dx[:, AGAIN:] += (dz @ w["own"].T + dq @ w["query"].T).reshape(n, NEW, WIDTH)
-    g["place"] = dx.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    # The rows of one embedding are added up as neighbours.
-    used = inputs.reshape(-1).astype(np.int16)
-    order = np.argsort(used, kind="stable")
-    used = used[order]
-    starts = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-    g["embed"][used[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
+    g = {"out": h.T @ p, "bias": np.ones(len(p), type_) @ p}
+    dz = p @ w["out"].T
+    steep *= steep
+    dz /= steep
+    above = both.T @ dz
+    g["own"], g["mix"] = above[:WIDTH], above[WIDTH:]
+    dboth = dz @ joint.T
+    turned[:, :NEW] = dboth[:, WIDTH:].reshape(n, NEW, WIDTH)
+    np.multiply(q, 4, out=turned[:, NEW:])
+    da = turned[:, :NEW] @ x.transpose(0, 2, 1)
+    da.reshape(-1, SPAN)[:] -= np.einsum("ij,ij->i", dboth[:, WIDTH:], both[:, WIDTH:])[:, None]
+    dt = np.multiply(da, t, out=pair[:, NEW:])
+    dq = (dt @ x).reshape(-1, WIDTH)
+    dx = pair.transpose(0, 2, 1) @ turned
+    # `q` is a quarter of the query, its power four times as steep.
+    scale = type_(WIDTH**-0.5)
+    g["look"] = (both[:, :WIDTH].T @ dq) * scale
+    late = dq @ (w["look"].T * scale)
+    late += dboth[:, :WIDTH]
+    dx[:, AGAIN:] += late.reshape(n, NEW, WIDTH)
+    g["place"] = (np.ones(n, type_) @ dx.reshape(n, -1)).reshape(SPAN, WIDTH)
+    cells = _CELLS.take(inputs.reshape(-1), axis=0).reshape(-1)
+    g["embed"] = np.bincount(cells, dx.reshape(-1), INPUTS * WIDTH).reshape(INPUTS, WIDTH).astype(type_)
     return loss, g
 
 
@@ -367,7 +359,7 @@ def untrained(counts: np.ndarray, end: int, pairs: np.ndarray, seed: int = 11) -
     def made(*shape, scale):
         return (random.standard_normal(shape) * scale).astype(np.float32)
 
-    square = {name: made(WIDTH, WIDTH, scale=WIDTH**-0.5) for name in ("query", "key", "value", "own", "mix")}
+    square = {name: made(WIDTH, WIDTH, scale=WIDTH**-0.5) for name in ("look", "own", "mix")}
     weights = square | {"embed": made(INPUTS, WIDTH, scale=0.5), "place": made(SPAN, WIDTH, scale=0.1), "out": np.zeros((WIDTH, CLASSES), np.float32)}
     weights["bias"] = np.zeros(CLASSES, np.float32)
     # A class without numbers has no chance anywhere.
@@ -376,27 +368,42 @@ def untrained(counts: np.ndarray, end: int, pairs: np.ndarray, seed: int = 11) -
 
 
 def train(w: dict[str, np.ndarray], prior: np.ndarray, kind: np.ndarray, windows: np.ndarray, passes: int, rate: float, seed: int) -> float:
-    """Adam over all windows, `passes` times in random order, in place; the loss of windows not yet learned from, added up."""
+    """Adam over all windows, `passes` times in random order; `w` gets the new weights. The loss of windows not yet learned from, added up."""
     random, step, fresh = np.random.default_rng(seed), 0, 0.0
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    flat = _packed(w)
+    now = _unpacked(flat, w)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     steps = passes * -(-len(windows) // BATCH)
     for turn in range(passes):
         order = random.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             some = windows[order[at : at + BATCH]]
             targets = some[:, AGAIN + 1 :]
-            loss, g = gradients(w, prior, some[:, :SPAN], targets, kind)
+            loss, g = gradients(now, prior, some[:, :SPAN], targets, kind)
             if turn == 0:
                 fresh += float(loss) * int((targets >= 0).sum())
             step += 1
             pace = rate * min(1.0, step / 20) * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.02)
-            for k in w:
-                first[k] += 0.1 * (g[k] - first[k])
-                second[k] += 0.01 * (g[k] * g[k] - second[k])
-                w[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            slope = _packed(g)
+            first += 0.1 * (slope - first)
+            slope *= slope
+            second += 0.01 * (slope - second)
+            flat -= float(pace / (1 - 0.9**step)) * first / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    w.update(now)
     return fresh
 
 
+def words_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, A-Z in lower case, as bytes, and how many each text has."""
+    # Not cast before: the cast of a slice keeps its first offset, which `ascii_lower` does not expect.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+    words = parts.flatten().cast(pa.large_binary())
+    # Blanks at either end leave an empty part.
+    full = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), np.diff(upto[parts.offsets.to_numpy()])
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
 
@@ -405,20 +412,25 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """(word, c) over all training rows; the empty word stands for the ends."""
 
     def counted(batches):
-        tally: Counter = Counter()
+        held, rows = [], 0
 
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(tally.keys()), pa.binary()), pa.array(list(tally.values()), pa.int64())], ["word", "c"])
-            tally.clear()
-            return batch
+        def merged():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
         for batch in slices(batches):
-            for text in texts(batch):
-                tally.update((text or b"").lower().split())
-                tally[b""] += 1
-            if len(tally) > 500_000:
-                yield out()
-        yield out()
+            words, lengths = words_of(batch)
+            each = words.value_counts()
+            held.append(pa.table([each.field(0).cast(pa.binary()), each.field(1)], ["word", "c"]))
+            held.append(pa.table([pa.array([b""], pa.binary()), pa.array([len(lengths)], pa.int64())], ["word", "c"]))
+            rows += len(each) + 1
+            if rows > 1_000_000:
+                held[:] = [merged()]
+                rows = held[0].num_rows
+                if rows > 500_000:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if held:
+            yield from merged().to_batches()
 
     train_rows = documents.where(~held_out()).select(text_of().alias("text"))
     return train_rows.mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -431,9 +443,9 @@ def _id_counts(counts: DataFrame, path: str) -> np.ndarray:
         subwords = Subwords(path)
         tally = np.zeros(subwords.end + 1)
         for batch in batches:
-            pieces = subwords.pieces(batch.column("word").to_pylist())
-            times = np.repeat(batch.column("c").to_numpy(), [len(p) for p in pieces])
-            tally += np.bincount(np.concatenate(pieces), weights=times, minlength=len(tally))
+            words = subwords.numbered(batch.column("word").to_numpy(zero_copy_only=False).tolist())
+            pieces, sizes = subwords.laid(words, np.ones(len(words), np.int64))
+            tally += np.bincount(pieces, weights=np.repeat(batch.column("c").to_numpy(), sizes), minlength=len(tally))
         yield pa.RecordBatch.from_arrays([pa.array([subwords.end]), pa.array([0.0])], ["id", "c"])
         some = np.flatnonzero(tally)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(tally[some])], ["id", "c"])
@@ -511,7 +523,7 @@ def _packed(weights: dict[str, np.ndarray]) -> np.ndarray:
 
 def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     cuts = np.cumsum([like[k].size for k in sorted(like)])[:-1]
-    return {k: part.reshape(like[k].shape).copy() for k, part in zip(sorted(like), np.split(flat, cuts), strict=True)}
+    return {k: part.reshape(like[k].shape) for k, part in zip(sorted(like), np.split(flat, cuts), strict=True)}
 
 
 def _runs(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shards: int) -> DataFrame:
@@ -532,8 +544,17 @@ def _encoded(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shar
         number, spread, end, shares = shared.value
         subwords = Subwords(path, shares)
         for batch in slices(batches):
-            split = [t.lower().split() for t in texts(batch)]
-            told, lengths, names, words = subwords.sequence(split)
+            # Each different word of a batch is looked up once.
+            split, n_words = words_of(batch)
+            split = split.dictionary_encode()
+            names, which = split.dictionary, split.indices.to_numpy()
+            known = subwords.numbered(names.to_numpy(zero_copy_only=False).tolist())
+            inside = np.repeat(np.arange(len(n_words)), n_words)
+            # Number 0 is the end.
+            words = np.zeros(len(which) + len(n_words), np.int64)
+            words[np.arange(len(which)) + inside] = known[which]
+            n_tokens = n_words + 1
+            told, lengths = subwords.laid(words, n_tokens)
             flat, room = led(number[told], lengths, number[end])
             places = np.cumsum(room) - room
             count = -(-lengths // CHUNK)
@@ -550,16 +571,15 @@ def _encoded(documents: DataFrame, ids: np.ndarray, path: str, rounds: int, shar
                 # In the first run of each row, 0 in the others.
                 return np.where(run == 0, values[document], values.dtype.type(0))
 
-            n_tokens = np.array([len(d) + 1 for d in split])
             starts = np.cumsum(n_tokens) - n_tokens
             each = subwords.share[words]
             rare = np.isnan(each)
             # Rare words of each document with their number of times.
-            at = np.flatnonzero(rare) if shares else np.zeros(0, np.int64)
-            pairs = (np.searchsorted(starts, at, "right") - 1) * len(names) + words[at]
-            pairs, times = np.unique(pairs, return_counts=True)
-            others = pa.StructArray.from_arrays([pa.array([names[w] for w in (pairs % len(names)).tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
-            cuts = np.searchsorted(pairs // len(names), np.append(document, len(split)) + np.append(run > 0, False))
+            at = np.flatnonzero(np.isnan(subwords.share[known])[which]) if shares else np.zeros(0, np.int64)
+            pairs, times = np.unique(inside[at] * len(names) + which[at], return_counts=True)
+            others = names.take(pa.array(pairs % max(len(names), 1))).cast(pa.binary())
+            others = pa.StructArray.from_arrays([others, pa.array(times, pa.int64())], names=["word", "times"])
+            cuts = np.searchsorted(pairs // max(len(names), 1), np.append(document, len(n_words)) + np.append(run > 0, False))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(document)), batch.column("text_key").take(pa.array(document)), pa.array(run, pa.int32()),
@@ -709,19 +729,18 @@ def language_model_scores(
             flat, lengths = _joined(batch.column("numbers").to_pylist())
             own = lengths - AGAIN - 1
             score = np.add.reduceat(model.of_numbers(flat, lengths), np.cumsum(own) - own, dtype=float) + batch.column("score").to_numpy()
-            kept = ["doc_id", "text_key", "run", "n_tokens", "n_known", "base_score", "tail"]
+            kept = ["doc_id", "text_key", "run", "n_tokens", "n_known", "base_score"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "score"])
 
-    kept = "doc_id", "text_key", "run", "numbers", "n_tokens", "n_known", "base_score", "score", "tail"
-    schema = "doc_id long, text_key long, run int, n_tokens long, n_known long, base_score double, tail array<struct<word: binary, times: long>>, score double"
+    kept = "doc_id", "text_key", "run", "numbers", "n_tokens", "n_known", "base_score", "score"
+    schema = "doc_id long, text_key long, run int, n_tokens long, n_known long, base_score double, score double"
     every = written(runs.select(*kept).mapInArrow(scored, schema), "lm-scores")
-    remove(spark, table)
     first = every.where("run = 0")
     # The end stands in training texts only if there are any.
     first = first.withColumn("n_known", F.col("n_known") - F.lit(int(ends == 0)))
 
     zero = F.lit(0.0)
-    tail = first.where(F.size("tail") > 0).select("doc_id", "text_key", F.explode("tail").alias("rare"))
+    tail = runs.where(F.size("tail") > 0).select("doc_id", "text_key", F.explode("tail").alias("rare"))
     tail = tail.select("doc_id", "text_key", "rare.word", "rare.times").join(counts, "word", "left")
     parts = tail.select(
         "doc_id",
@@ -746,6 +765,8 @@ def language_model_scores(
         )
         .select("id", "key", *((F.col(c) / F.col("copies")).alias(c) for c in ("more", "more_score")), (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"))
     )
+    missing = written(missing, "lm-rest")
+    remove(spark, table)
     return first.join(missing, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").select(
         "doc_id",
         held_out().alias("held_out"),

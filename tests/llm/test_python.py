@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import resource
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from nasty import DOCUMENTS_DDL, documents, nasty, nasty_rows
@@ -298,6 +300,30 @@ def test_lm_gradients():
         assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[name][place], rel=1e-3)
 
 
+def test_lm_words_of_a_batch():
+    """Words by Arrow are those of Python for any bytes, and the weights of a model have no product of two matrices."""
+    odd = [b"", b" ", b"\xff\xfe A\x0bB\x0cC", b"\x1c\x1d\x85 x\xc2\xa0y\r\n", " \u00c9 \u0130 \u1e9e \U0001f600".encode(), b"a\x00b A\tc", b"\xe2\x80", b"  Lead trail\n"]
+    text = pa.Array.from_buffers(pa.string(), len(odd), [None, pa.py_buffer(np.cumsum([0, *map(len, odd)]).astype(np.int32)), pa.py_buffer(b"".join(odd))])
+    for part, texts in ((text, odd), (text[2:6], odd[2:6]), (text[:1], odd[:1]), (text[:0], [])):
+        words, lengths = lm.words_of(pa.RecordBatch.from_arrays([part], ["text"]))
+        assert words.to_pylist() == [w for t in texts for w in t.lower().split()] and lengths.tolist() == [len(t.split()) for t in texts]
+    model = small_model(np.random.default_rng(3), 300)
+    assert sum(w.shape == (lm.WIDTH, lm.WIDTH) for w in model.weights.values()) == 3
+
+
+def test_lm_training_step_takes_no_more_memory_than_it_keeps():
+    """Arrays of a step come from memory that the process has, not from new pages each time."""
+    lm.one_thread()
+    random = np.random.default_rng(4)
+    model = small_model(random, 300)
+    windows = random.integers(0, 40, (lm.BATCH * 4, lm.SPAN + 1)).astype(np.int16)
+    lm.train(model.weights, model.prior, model.kind, windows, 1, 0.01, 1)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    lm.train(model.weights, model.prior, model.kind, windows, 5, 0.01, 1)
+    # A step fills about 3,000 pages.
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 3000
+
+
 def test_lm_learns_from_all_windows(spark, monkeypatch):
     """Twenty long texts in many shards, whatever the partitions; the word after "red" depends on the one before it, which only attention sees."""
     random = np.random.default_rng(6)
